@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
     """Cut a batch so that no slice holds more than ``most`` bytes of ``column`` (one row at least)."""
     sizes = batch.column(batch.schema.get_field_index(column))
-    lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if i > start and total + n > most:
