@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_quality, quality_classifier, simhash
+from . import bpe, language_id, line_quality, quality_classifier, simhash, substrings
 from .common import table
 
 
@@ -40,11 +40,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(documents, model)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
     "op6_quality_classifier": op6_quality_classifier,
+    "op10_substrings": op10_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
