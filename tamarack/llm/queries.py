@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_quality, packing, quality_classifier, simhash, substrings
+from . import bpe, language_id, line_quality, packing, private_data, quality_classifier, simhash, substrings
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(documents, model)
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.report(table(spark, sf_dir, "documents"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_quality_classifier": op6_quality_classifier,
+    "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
