@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_quality, packing, private_data, quality_classifier, simhash, substrings
+from . import bpe, language_id, line_quality, packing, private_data, quality_classifier, simhash, substrings, warc
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(documents, model)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.report(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,24 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_warc": op7_warc,
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Base32 of a SHA-1: each five hex digits are four signs of the alphabet.
+_BASE32 = """
+  list_aggregate(list_transform(generate_series(0, 7), lambda g:
+    list_aggregate(list_transform(generate_series(0, 3), lambda k:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 5 * g, 5))::BIGINT >> (15 - 5 * k)) & 31)::INT, 1)
+    ), 'string_agg', '')), 'string_agg', '')
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d""",
+}
