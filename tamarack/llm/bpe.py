@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -182,7 +183,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     """The rows of ``documents`` with a column ``token_ids`` (an array of int; it replaces a column of that name)."""
     kept = [c for c in documents.columns if c.lower() != "token_ids"]
     frame = documents.select(*kept)
-    schema = frame.schema.add("token_ids", "array<int>")
+    schema = T.StructType([*frame.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     at = kept.index("text")
 
     def run(batches):
