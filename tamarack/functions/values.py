@@ -56,6 +56,11 @@ def yes_no(c: Column) -> Column:
     return F.when(c, "yes").otherwise("no")
 
 
+def between(c: Column, low: float, high: float) -> Column:
+    """``c`` kept between two bounds; null stays null, which least and greatest alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def to_number(c: Column | str) -> Column:
     """A double, a comma taken as a point; null if the text is no number."""
     text = F.regexp_replace(clean_text(c), ",", ".")
@@ -69,14 +74,14 @@ def parse_score(c: Column | str, default: int = 0) -> Column:
 
 def clamp_score(c: Column) -> Column:
     """Rounded half to even, between 0 and 100."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.rint(c.cast("double")).cast("int")))
+    return between(F.rint(c.cast("double")).cast("int"), 0, 100)
 
 
 def parse_confidence(c: Column | str, default: float = 0.0) -> Column:
     """Between 0 and 1; numbers above 1 are percent, a percent sign at the end is dropped."""
     number = to_number(F.regexp_replace(clean_text(c), r"%+$", ""))
     share = F.when(number > 1, number / 100.0).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(default))
+    return F.coalesce(between(share, 0.0, 1.0), F.lit(default))
 
 
 def confidence_percent(c: Column | str, default: int = 0) -> Column:
@@ -90,7 +95,7 @@ def first_valid_confidence(*columns: Column | str) -> Column:
 
     def share(c):
         number = to_number(c)
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(number > 1, number / 100.0).otherwise(number)))
+        return between(F.when(number > 1, number / 100.0).otherwise(number), 0.0, 1.0)
 
     return F.coalesce(*(share(c) for c in columns), F.lit(1.0))
 

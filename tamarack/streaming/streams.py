@@ -26,12 +26,17 @@ def stream_upsert(files: DataFrame, folder: str, source: str, checkpoint: str, n
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def timed(events: DataFrame, at: str) -> DataFrame:
+    """Watermarks need a time with a zone: times without one are taken in the session's zone."""
+    return events.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def stream_daily_counts(events: DataFrame, key: str, lateness: str = "1 day", at: str = "ts") -> DataFrame:
     """Rows per day and key; days close once the watermark has passed them."""
-    counts = events.withWatermark(at, lateness).groupBy(F.window(at, "1 day"), key).agg(F.count("*").alias("used"))
+    counts = timed(events, at).withWatermark(at, lateness).groupBy(F.window(at, "1 day"), key).agg(F.count("*").alias("used"))
     return counts.select(F.to_date(F.col("window.start")).alias("day"), key, "used")
 
 
 def stream_cooldown(checks: DataFrame, keys: list[str], days: int, at: str = "ts") -> DataFrame:
     """Drop a key that was already seen within ``days``, by event time as far as the watermark allows."""
-    return checks.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(keys)
+    return timed(checks, at).withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(keys)
