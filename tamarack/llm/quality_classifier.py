@@ -42,22 +42,22 @@ def _features(words: list[str]) -> list[np.ndarray]:
     ids = np.concatenate([sub.whole] + [i + ((k + 1) << BITS) for k, i in enumerate(sub.ids)])
     owner = np.concatenate([np.arange(sub.n)] + sub.word)
     order = np.argsort(owner, kind="stable")
-    return np.split(ids[order], np.cumsum(np.bincount(owner, minlength=sub.n))[:-1])
+    return np.split(ids[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=sub.n))[:-1])
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> dict:
     """Returns each feature's contribution to the log odds of label 1, and the bias."""
     rng = np.random.default_rng(seed)
     size = (len(SIZES) + 1) << BITS
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     output, bias = np.zeros((DIM, 2)), np.zeros(2)
     bags = []
     place: dict[str, int] = {}
-    docs = [[place.setdefault(w, len(place)) for w in words_of(t)] for t in texts]
+    docs = [np.array([place.setdefault(w, len(place)) for w in words_of(t)], dtype=np.int32) for t in texts]
     of = _features(list(place)) if place else []
     for d in docs:
-        ids, n = np.unique(np.concatenate([of[w] for w in d]), return_counts=True) if d else (np.zeros(0, np.int64), np.zeros(0))
-        bags.append((ids, n / max(1, n.sum())))
+        ids, n = np.unique(np.concatenate([of[w] for w in d]), return_counts=True) if len(d) else (np.zeros(0, np.int64), np.zeros(0))
+        bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     total = max(1, epochs * len(bags))
     for step in range(total):
         if step % len(bags or [0]) == 0:
@@ -109,7 +109,7 @@ class WordScores:
         return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 4000) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 1000) -> dict:
     """Learn from at most ``sample`` labelled documents whose crc32(doc_id as text) mod 5 isn't 0.
 
     The sample is bounded: the labelled rows with the smallest hash of doc_id.
