@@ -135,6 +135,8 @@ def label_words(texts: list[str | None], emissions: Emissions) -> tuple[np.ndarr
     docs = [words_of(t) for t in texts]
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
     flat = [w for d in docs for w in d]
+    if not emissions.model["languages"]:
+        return np.zeros((len(flat), 1)), lengths
     return marginals(emissions(flat), chains(lengths), emissions.model["trans"]), lengths
 
 

@@ -45,8 +45,11 @@ def _features(words: list[str]) -> list[np.ndarray]:
     return np.split(ids[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=sub.n))[:-1])
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> dict:
-    """Returns each feature's contribution to the log odds of label 1, and the bias."""
+def train(texts: list[str], labels: list[int], steps: int = 6000, most_epochs: int = 60, rate: float = 0.6, seed: int = 7) -> dict:
+    """Returns each feature's contribution to the log odds of label 1, and the bias.
+
+    One document a step, about ``steps`` steps in whole epochs, so that small samples are seen more often.
+    """
     rng = np.random.default_rng(seed)
     size = (len(SIZES) + 1) << BITS
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
@@ -58,7 +61,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.
     for d in docs:
         ids, n = np.unique(np.concatenate([of[w] for w in d]), return_counts=True) if len(d) else (np.zeros(0, np.int64), np.zeros(0))
         bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    total = max(1, epochs * len(bags))
+    total = len(bags) * min(most_epochs, max(1, -(-steps // max(1, len(bags)))))
     for step in range(total):
         if step % len(bags or [0]) == 0:
             order = rng.permutation(len(bags))

@@ -40,7 +40,7 @@ class Subwords:
             position = np.arange(len(codes), dtype=np.uint64) - gaps[owner].astype(np.uint64)
             spread = (codes + np.uint64(0x51ED27)) * (position * np.uint64(2) + np.uint64(1)) * _MIX
             spread ^= spread >> np.uint64(29)
-            self.whole = _squeeze(np.add.reduceat(spread * _MIX, gaps[:-1]), bits) if self.n else np.zeros(0, np.int64)
+            self.whole = _squeeze(np.add.reduceat((spread * _MIX)[: gaps[-1]], gaps[:-1]), bits) if self.n else np.zeros(0, np.int64)
 
     def sums(self, tables: list[np.ndarray]) -> np.ndarray:
         """Per word, the sum of its n-grams' rows in ``tables`` (one table for each size)."""
