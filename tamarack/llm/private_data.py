@@ -134,9 +134,10 @@ def document_frequency(documents: DataFrame, terms: DataFrame, bits: int = 18) -
     rows = terms.select(word.alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bit"))
     cells = {r.i: r.bits for r in rows.groupBy("i").agg(F.bit_or("bit").alias("bits")).collect()}  # 2**(bits - 6) rows at most
     table = F.lit([cells.get(i, 0) for i in range(1 << (bits - 6))]).cast("array<long>")
-    words = documents.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]++")).alias("term"))
+    # each term once per row, so that counting needs no shuffle of rows
+    words = documents.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]++"))).alias("term"))
     likely = words.where(F.call_function("shiftrightunsigned", F.get(table, word.cast("int")), bit.cast("int")).bitwiseAND(1) == 1)
-    counts = likely.distinct().groupBy("term").agg(F.count("*").alias("df"))
+    counts = likely.groupBy("term").agg(F.count("*").alias("df"))
     return counts.join(terms, "term", "left_semi")
 
 
