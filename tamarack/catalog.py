@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import contacts, markers
 from .functions.values import clamp_score, clean_text, country_hint, is_dach, lead_id, merge_tokens, normalize_category, normalize_domain, normalize_url, parse_confidence, parse_score, split_tokens
 from .operators import budget, classify, facts, merge, pages, search
-from .plans import gates
+from .plans import gates, patches, queue
 from .sources.tables import table
 
 FLAGSHIP = "site_grades"
@@ -547,6 +547,23 @@ SELECT lead_id, need AND NOT active AS handoff_queued, (need AND NOT active) OR
     WHEN lead_quality = 'A+' THEN 'A+ lead is call-ready and stays on the queue.' ELSE 'A lead goes to Clay during the start phase.' END AS handoff_reason FROM n"""
 
 
+def enrichment_queue(spark, sf):
+    """Customers as verified and review rows: one queue with quality, angle and next step."""
+    rows = _queue(spark, sf).drop("lead_id", "lead_quality", "why_relevant").withColumn("ord", F.regexp_extract("domain", r"\d+", 0).cast("long"))
+    good = F.col("lead_type") == "shop"
+    out = queue.build_queue(rows.where(good), rows.where(~good), "now", enabled={"serper": True, "firecrawl": True})
+    return out.select("lead_id", "domain", "lead_quality", "next_enrichment_step", "provider_recommended", "input_bucket", "clay_eligible")
+
+
+def lead_import(spark, sf):
+    """Customers imported as a list, then verified: upsert, patch, grades and review states in the master."""
+    rows = _queue(spark, sf).select(F.regexp_extract("domain", r"\d+", 0).cast("long").alias("ord"), "domain", "company_name", "lead_type", "vhd_fit_score", "is_shop", "is_woocommerce", "possible_shop_levers")
+    empty = rows.select(F.lit("").alias("domain_key"), F.lit("").alias("lead_id")).limit(0)
+    imported = patches.scrape_rows(rows.select("ord", "domain", "company_name"))
+    master, _ = patches.import_and_merge(empty, imported, patches.verification_patch(rows, "t1"), "customers", "r1", "t1")
+    return master.select("domain_key", "lead_id", "company_name", "lead_grade", "verification_status", "domain_alive", "woocommerce_confidence", "review_status", "source_lists")
+
+
 def results_join(spark, sf):
     """Suppliers as hand-off results of customers: by id first, else by domain."""
     leads = _queue(spark, sf).select("lead_id", "domain", "personal_email")
@@ -556,6 +573,15 @@ def results_join(spark, sf):
     return merge.join_handoff_results(leads, results).select("lead_id", "personal_email", "email_verification_status", "email_source", "result_matched")
 
 
+ENRICHMENT_QUEUE = f"""WITH {_Q}, {_STEP.replace(' AND k % 10 <> 0', '')}
+SELECT 'lead_' || substr(sha1('c' || k || '.example.de'), 1, 12) AS lead_id, 'c' || k || '.example.de' AS domain, lead_quality, next_step AS next_enrichment_step,
+  CASE WHEN next_step LIKE 'serper%' THEN 'serper' WHEN next_step LIKE 'firecrawl%' THEN 'firecrawl' WHEN next_step LIKE 'tavily%' THEN 'tavily' WHEN next_step LIKE 'clay%' THEN 'clay' ELSE '' END AS provider_recommended,
+  CASE WHEN kind = 'shop' THEN 'verified' ELSE 'review' END AS input_bucket, CASE WHEN lead_quality = 'A++' AND target AND k % 8 <> 0 AND k % 13 <> 0 AND k % 31 <> 0 THEN 'true' ELSE 'false' END AS clay_eligible FROM d"""
+
+LEAD_IMPORT = f"""WITH {_Q}, g AS (SELECT q.*, c_name, CASE WHEN kind = 'agency' THEN 'Reject' WHEN target AND score >= 85 THEN 'A++' WHEN target AND score >= 70 THEN 'A+' WHEN shop AND score >= 60 THEN 'A' WHEN shop AND score >= 45 THEN 'B' WHEN kind = 'review' OR score >= 35 THEN 'Review' ELSE 'C' END AS lead_grade FROM q JOIN customer ON c_custkey = k)
+SELECT 'c' || k || '.example.de' AS domain_key, 'lead_' || substr(sha1('c' || k || '.example.de'), 1, 12) AS lead_id, c_name AS company_name, lead_grade, 'done' AS verification_status, 'false' AS domain_alive, CASE WHEN target THEN '0.85' ELSE '0.10' END AS woocommerce_confidence,
+  CASE WHEN lead_grade = 'Reject' THEN 'rejected' WHEN lead_grade = 'Review' OR kind = 'review' THEN 'manual_review' ELSE '' END AS review_status, 'customers' AS source_lists FROM g"""
+
 RESULTS_JOIN = """WITH l AS (SELECT c_custkey AS k FROM customer JOIN nation ON c_nationkey = n_nationkey), m AS (SELECT l.k, coalesce(a.s_suppkey, b.s_suppkey) AS s FROM l LEFT JOIN supplier a ON a.s_suppkey = l.k AND l.k % 2 = 0 LEFT JOIN supplier b ON b.s_suppkey + 1 = l.k)
 SELECT 'lead_' || k AS lead_id, CASE WHEN s IS NOT NULL THEN 's' || s || '@example.de' WHEN k % 13 = 0 THEN 'p' || k || '@example.de' ELSE '' END AS personal_email, CASE WHEN s IS NULL THEN '' ELSE 'valid' END AS email_verification_status, CASE WHEN s IS NULL THEN '' ELSE 'clay_manual_import' END AS email_source, CASE WHEN s IS NULL THEN 'false' ELSE 'true' END AS result_matched FROM m"""
 
@@ -616,7 +642,7 @@ QUERIES = {
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
         cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, props_json,
-        quality, pain_scores, next_step, final_gate, run_summary, enrichment_plan, handoff, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
+        quality, pain_scores, next_step, final_gate, run_summary, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
     )
 }
 
@@ -659,6 +685,8 @@ ORACLE_SQL: dict[str, str] = {
     "run_summary": _GATE + "SELECT compliance_status, count(*) AS n FROM g GROUP BY compliance_status",
     "enrichment_plan": ENRICHMENT_PLAN,
     "handoff": HANDOFF,
+    "enrichment_queue": ENRICHMENT_QUEUE,
+    "lead_import": LEAD_IMPORT,
     "results_join": RESULTS_JOIN,
     "planned_queries": PLANNED_QUERIES,
     "values_parsed": VALUES_PARSED,
