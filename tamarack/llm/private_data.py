@@ -137,7 +137,8 @@ def document_frequency(documents: DataFrame, terms: DataFrame, bits: int = 18) -
     # each term once per row, so that counting needs no shuffle of rows
     words = documents.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]++"))).alias("term"))
     likely = words.where(F.call_function("shiftrightunsigned", F.get(table, word.cast("int")), bit.cast("int")).bitwiseAND(1) == 1)
-    counts = likely.groupBy("term").agg(F.count("*").alias("df"))
+    # counted and written first: else the join would be planned below the counting, row by row
+    counts = materialize(likely.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
     return counts.join(terms, "term", "left_semi")
 
 
