@@ -10,7 +10,7 @@
    of neighbours in sorted order are checked against the bytes; a group in which a hash misled is
    sorted by its bytes. Windows that share their right class and their left class are equal.
 4. Groups of more than ``most`` different surroundings are not sorted in one task: their windows are
-   counted by hash in Spark, in blocks of eight, and one by one only where blocks differ.
+   counted by hash in Spark: in blocks of forty, in blocks of eight where those differ, then one by one.
 
 Null text counts as empty. Rows that repeat are texts of their own, so both lose what they share.
 Texts shorter than ``length`` lose nothing. Matches never cross texts. A null doc_id is a value like
@@ -289,47 +289,64 @@ def _sorter(length: int, block: int = 8192):
 # --- large groups --------------------------------------------------------------------------------
 
 
-def _blocks(length: int):
-    """For each anchor and block of eight windows: hashes of their common core, of all their bytes, and of each window."""
+def _blocks(length: int, size: int, windows: bool):
+    """For each anchor and block of ``size`` windows inside the row's range: hashes of the block's common core, of all its bytes, and of each window."""
 
     def run(batches):
         for batch in batches:
             rows = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
             left, right = rows["lhs"].astype(np.int64), rows["rhs"].astype(np.int64)
+            first, last = rows["first"].astype(np.int64), rows["last"].astype(np.int64)
             starts = np.concatenate(([0], np.cumsum(left + right)[:-1])) + left
             hashed = Hashed(np.frombuffer(b"".join(rows["context"]), dtype=np.uint8))
-            for d0 in range(0, length - GRAM + 1, BLOCK):
-                d1 = min(d0 + BLOCK - 1, length - GRAM)
+            for d0 in range(0, length - GRAM + 1, size):
+                d1 = min(d0 + size - 1, length - GRAM)
                 low, high = np.maximum(d0, length - right), np.minimum(d1, left)
-                i = np.flatnonzero(low <= high)
+                i = np.flatnonzero((low <= high) & (first <= d0) & (d1 <= last))
                 if not len(i):
                     continue
                 s, low, high = starts[i], low[i], high[i]
                 with np.errstate(over="ignore"):
                     core = mix(hashed.of(s - d0, s + length - d1)) + np.uint64(d0)
                     whole = mix(hashed.of(s - high, s + length - low)) + low.astype(np.uint64) * np.uint64(7919) + high.astype(np.uint64)
-                n = high - low + 1
-                d = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                window = hashed.of(np.repeat(s, n) - d, np.repeat(s, n) - d + length)
-                windows = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(window.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"][i]), pa.array(rows["text_hash"][i]), pa.array(rows["q"][i]), pa.array(rows["k"][i]), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), windows], names=[*_KEY, "q", "k", "low", "high", "core", "whole", "windows"])
+                columns = [pa.array(rows[n][i]) for n in (*_KEY, "q", "k")]
+                columns += [pa.array(np.full(len(i), d0, dtype=np.int16)), pa.array(np.full(len(i), d1, dtype=np.int16)), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))]
+                if windows:
+                    n = high - low + 1
+                    d = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+                    window = hashed.of(np.repeat(s, n) - d, np.repeat(s, n) - d + length)
+                    columns.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(window.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "q", "k", "first", "last", "low", "high", "core", "whole", *(["windows"] if windows else [])])
 
     return run
 
 
 def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
-    schema = "doc_id long, text_hash long, q int, k long, low short, high short, core long, whole long, windows array<long>"
-    blocks = materialize(contexts.mapInArrow(_blocks(length), schema), "blocks")
-    kinds = materialize(blocks.groupBy("core", "whole").agg(F.sum("k").alias("n"), F.min(F.struct("doc_id", "text_hash", "q", "low", "high")).alias("one"), F.max("windows").alias("windows")), "block-kinds")
-    again = materialize(kinds.where("n > 1").select("core", "whole"), "blocks-again")
-    whole = blocks.where("k = 1").join(again, ["core", "whole"]).select(*_KEY, F.expr("q - high").alias("start"), F.expr(f"q + {length} - low").alias("end"))
-    mixed = materialize(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "mixed-cores")
+    """Repeated windows of anchors in large groups, by blocks of 40, then of 8, then single windows.
+
+    A block whose bytes all occur again is repeated as it is; only blocks that share their core but differ go on.
+    """
+    schema = "doc_id long, text_hash long, q int, k long, first short, last short, low short, high short, core long, whole long"
+    rows = contexts.withColumns({"first": F.lit(0).cast("short"), "last": F.lit(length).cast("short")})
+    found = []
+    for size, windows in ((5 * BLOCK, False), (BLOCK, True)):
+        blocks = materialize(rows.mapInArrow(_blocks(length, size, windows), schema + ", windows array<long>" * windows), "blocks")
+        one = F.struct(*_KEY, "q", "first", "last", "low", "high")
+        kinds = blocks.groupBy("core", "whole").agg(F.sum("k").alias("n"), F.min(one).alias("one"), *([F.max("windows").alias("windows")] if windows else []))
+        kinds = materialize(kinds, "block-kinds")
+        again = materialize(kinds.where("n > 1").select("core", "whole"), "blocks-again")
+        found.append(blocks.where("k = 1").join(again, ["core", "whole"]).select(*_KEY, F.expr("q - high").alias("start"), F.expr(f"q + {length} - low").alias("end")))
+        mixed = materialize(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "mixed-cores")
+        left = kinds.join(mixed, "core")
+        if not windows:
+            left = materialize(left.select("one.*", F.col("n").alias("k")).select(*_KEY, "q", "k", "first", "last"), "blocks-left")
+            rows = contexts.drop("k").join(left, [*_KEY, "q"]).select(*contexts.columns, "first", "last")
     # the place d in the key keeps two anchors of one text from meeting in one and the same window
-    single = kinds.join(mixed, "core").select("core", "n", "one", F.posexplode("windows").alias("i", "window"))
+    single = left.select("core", "n", "one", F.posexplode("windows").alias("i", "window"))
     single = materialize(single.select("core", "n", "one.*", F.expr("one.low + i").alias("d"), "window"), "windows")
     twice = materialize(single.groupBy("core", "d", "window").agg(F.count("*").alias("times")).where("times > 1").select("core", "d", "window"), "windows-again")
-    parts = single.where("n = 1").join(twice, ["core", "d", "window"]).select(*_KEY, F.expr("q - d").alias("start"), F.expr(f"q - d + {length}").alias("end"))
-    return whole.unionByName(parts)
+    found.append(single.where("n = 1").join(twice, ["core", "d", "window"]).select(*_KEY, F.expr("q - d").alias("start"), F.expr(f"q - d + {length}").alias("end")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # --- the operator --------------------------------------------------------------------------------
