@@ -79,7 +79,7 @@ def anchors(hashed: Hashed, valid: np.ndarray, length: int) -> np.ndarray:
     return np.unique(least & place).astype(np.int64)
 
 
-def _pieces(texts: list[bytes], length: int, most: int = 6 << 20):
+def _pieces(texts: list[bytes], length: int, most: int = 3 << 20):
     """(row, offset, piece) of texts; longer ones are cut with an overlap that keeps every window whole."""
     for row, t in enumerate(texts):
         if len(t) >= length:
@@ -94,7 +94,7 @@ def _anchor_rows(length: int):
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()]
                 buffer, held = [], 0
                 for piece in [*_pieces(texts, length), None]:
-                    if piece is None or held + len(piece[2]) > 8 << 20:
+                    if piece is None or held + len(piece[2]) > 4 << 20:
                         if buffer:
                             yield _anchor_batch(buffer, texts, part, length)
                         buffer, held = [], 0
