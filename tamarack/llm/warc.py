@@ -265,7 +265,10 @@ def read(captures: DataFrame, with_payload: bool = False) -> DataFrame:
     Captures are dealt out by stretches of 4 MB of a file and read in file order. A response whose bytes
     don't match its digest raises.
     """
-    spread = captures.select("file", "offset", "length").repartition("file", F.expr("offset div 4194304")).sortWithinPartitions("file", "offset")
+    # the rows are few bytes but stand for much reading: the number of tasks follows the records' bytes
+    total = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, total // (64 << 20))
+    spread = captures.select("file", "offset", "length").repartition(tasks, "file", F.expr("offset div 4194304")).sortWithinPartitions("file", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if with_payload else {})
 
@@ -289,4 +292,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = fresh_path(pages.sparkSession, "warc")
     captures = write(pages, folder)
     parts = build_index(captures, folder)
-    return read(locate(pages, parts))
+    return read(materialize(locate(pages, parts), "located"))
