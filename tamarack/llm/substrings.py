@@ -10,7 +10,7 @@
    of neighbours in sorted order are checked against the bytes; a group in which a hash misled is
    sorted by its bytes. Windows that share their right class and their left class are equal.
 4. Groups of more than ``most`` different surroundings are not sorted in one task: their windows are
-   counted by hash in Spark: in blocks of forty, in blocks of eight where those differ, then one by one.
+   counted by hash in Spark: in blocks of forty, then of eight and of two where those differ, then one by one.
 
 Null text counts as empty. Rows that repeat are texts of their own, so both lose what they share.
 Texts shorter than ``length`` lose nothing. Matches never cross texts. A null doc_id is a value like
@@ -20,6 +20,7 @@ any other. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, slices
 
-GRAM, BLOCK = 48, 8
+GRAM = 48
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -322,14 +323,14 @@ def _blocks(length: int, size: int, windows: bool):
 
 
 def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of anchors in large groups, by blocks of 40, then of 8, then single windows.
+    """Repeated windows of anchors in large groups, by blocks of 40, of 8 and of 2, then single windows.
 
     A block whose bytes all occur again is repeated as it is; only blocks that share their core but differ go on.
     """
     schema = "doc_id long, text_hash long, q int, k long, first short, last short, low short, high short, core long, whole long"
     rows = contexts.withColumns({"first": F.lit(0).cast("short"), "last": F.lit(length).cast("short")})
     found = []
-    for size, windows in ((5 * BLOCK, False), (BLOCK, True)):
+    for size, windows in ((40, False), (8, False), (2, True)):
         blocks = materialize(rows.mapInArrow(_blocks(length, size, windows), schema + ", windows array<long>" * windows), "blocks")
         one = F.struct(*_KEY, "q", "first", "last", "low", "high")
         kinds = blocks.groupBy("core", "whole").agg(F.sum("k").alias("n"), F.min(one).alias("one"), *([F.max("windows").alias("windows")] if windows else []))
@@ -346,7 +347,7 @@ def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
     single = materialize(single.select("core", "n", "one.*", F.expr("one.low + i").alias("d"), "window"), "windows")
     twice = materialize(single.groupBy("core", "d", "window").agg(F.count("*").alias("times")).where("times > 1").select("core", "d", "window"), "windows-again")
     found.append(single.where("n = 1").join(twice, ["core", "d", "window"]).select(*_KEY, F.expr("q - d").alias("start"), F.expr(f"q - d + {length}").alias("end")))
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- the operator --------------------------------------------------------------------------------
