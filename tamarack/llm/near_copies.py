@@ -1,0 +1,189 @@
+"""Near copies by the Jaccard similarity of five-word shingles: every pair of four fifths or more is a link.
+
+No pair is lost: two texts with that similarity share one of the first ``n - ceil(0.8 n) + 1`` of their n
+shingles in any fixed order, so these are the keys under which texts meet. The order puts shingles that are frequent
+in a sample last (the sample decides how many texts meet, never which are linked). Each pair that meets is then compared
+on its whole shingle sets. In groups of more than ``small`` texts all meet a few of them first; what these links
+join needs no more comparing, and only pairs across the components so far are compared after that.
+
+Equal shingle sets are one node. Null text counts as empty; texts without words are copies of each other, texts of
+less than five words are one shingle. Shingles are compared by 64-bit hashes. Ids as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import connected
+from .simhash import LAST, SEED, groups_of
+
+WORDS, STARS, SMALL = 5, 2, 8
+SAMPLE, FREQUENT = 20000, 1 << 18
+
+
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles, as signed longs."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    k = min(size, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], dtype=np.uint64).view(np.int64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is four fifths or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * both >= 4 * (len(a) + len(b))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _columns(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def frequent_shingles(documents: DataFrame, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` shingles that repeat most in about ``sample`` texts, sorted, and their counts."""
+    total = max(documents.count(), 1)
+    some = documents.where(F.pmod(F.xxhash64("text"), F.lit(total)) < sample).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                got = [shingles(t) for t in batch.column(0).slice(at, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got))], names=["h"])
+
+    counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "h").limit(most).toArrow().sort_by("h")
+    return rows["h"].to_numpy(), rows["n"].to_numpy()
+
+
+def keyed(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, text_hash, node, size, keys) for each row; node is the hash of the shingle set."""
+    known, counts = frequent
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingles(t) for t in part.column(2).to_pylist()]
+                keys = []
+                for s in sets:
+                    n = len(s)
+                    if len(known) and n:
+                        where = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[where] == s, counts[where], 0), kind="stable")]
+                    keys.append(s[: n - (4 * n + 4) // 5 + 1])
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), _lists(keys)], names=["doc_id", "text_hash", "node", "size", "keys"])
+
+    return _columns(documents).mapInArrow(run, "doc_id long, text_hash long, node long, size long, keys array<long>")
+
+
+def _pairs(i: np.ndarray, j: np.ndarray, nodes: np.ndarray, sizes: np.ndarray):
+    """Pairs whose sizes allow the similarity, the lesser node first."""
+    a, b = nodes[i], nodes[j]
+    keep = (5 * np.minimum(sizes[i], sizes[j]) >= 4 * np.maximum(sizes[i], sizes[j])) & (a != b)
+    return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _first_pairs(batches):
+    """All pairs of a small group; of a large one, all texts with those of the least nodes."""
+    for _, (_, nodes, sizes) in groups_of(batches):
+        m = len(nodes)
+        order = np.argsort(nodes)
+        nodes, sizes = nodes[order], sizes[order]
+        if m <= SMALL:
+            yield _batch(*_pairs(*np.triu_indices(m, 1), nodes, sizes))
+            continue
+        for i in range(STARS):
+            yield _batch(*_pairs(np.full(m - i - 1, i), np.arange(i + 1, m), nodes, sizes))
+
+
+def _other_pairs(batches):
+    """Of a large group, all pairs across components: each text outside the largest component with all others."""
+    for _, (_, nodes, sizes, parts) in groups_of(batches):
+        if len(nodes) <= SMALL:
+            continue
+        order = np.argsort(nodes)
+        nodes, sizes, parts = nodes[order], sizes[order], parts[order]
+        names, number = np.unique(parts, return_inverse=True)
+        outside = number != np.bincount(number).argmax()
+        for i in np.flatnonzero(outside).tolist():
+            # those outside meet once, as the lesser one's turn; pairs with the first texts are settled
+            other = np.flatnonzero((number != number[i]) & (~outside | (np.arange(len(nodes)) > i)) & (np.arange(len(nodes)) >= STARS)) if i >= STARS else np.zeros(0, np.int64)
+            if len(other):
+                yield _batch(*_pairs(np.full(len(other), i), other, nodes, sizes))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    rows = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x, y = part.column(2), part.column(3)
+                yield part.select(["a", "b"]).filter(pa.array([alike(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(part.num_rows)], pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of ``docs`` (from ``keyed``) exactly as all links would."""
+    nodes = docs.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    nodes = materialize(nodes, "shingle-nodes")
+    every = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    met = materialize(every.join(shared, "key"), "met")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.text_hash")
+    wanted = materialize(wanted, "wanted-nodes")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t) for t in part.column(1).to_pylist()])], names=["node", "hashes"])
+
+    texts = _columns(documents).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    sets = materialize(texts.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+    by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key")
+    first = materialize(_verified(by_key(met.select("key", "node", "size")).mapInArrow(_first_pairs, "a long, b long"), sets), "first-links")
+    parts = materialize(connected(first), "first-parts")
+    large = met.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {SMALL}").select("key")
+    named = met.join(large, "key").join(parts, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+    others = _verified(by_key(named).mapInArrow(_other_pairs, "a long, b long"), sets)
+    return first.unionByName(materialize(others, "other-links"))
+
+
+def components(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) for each row; root is the component's least node, component_id its least doc_id."""
+    docs = materialize(keyed(documents, frequent_shingles(documents)), "keyed-texts")
+    roots = connected(links(docs, documents))
+    light = docs.select("doc_id", "text_hash", "node")
+    firsts = materialize(light.groupBy("node").agg(F.min("doc_id").alias("first")), "first-ids")
+    rooted = materialize(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
+    named = materialize(rooted.join(least, "root").select("node", "root", "component_id"), "named")
+    return light.join(named, "node").select("doc_id", "text_hash", "root", "component_id")
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """One row of each component, the one with the least doc_id (all columns); of rows that repeat it, one."""
+    rows = components(documents).where("doc_id = component_id")
+    keep = materialize(rows.groupBy(F.col("doc_id").alias("_id"), "root").agg(F.min("text_hash").alias("_hash")), "kept")
+    marked = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_hash": F.xxhash64("text")})
+    return marked.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*documents.columns)

@@ -1,0 +1,59 @@
+"""The near-duplicate stage against brute force."""
+
+import random
+from collections import Counter
+from itertools import combinations
+
+import corpus_pipeline
+
+
+def plain_kept(rows):
+    sets = {}
+    for doc_id, text in rows:
+        w = (text or "").lower().split()
+        k = min(5, len(w))
+        sets[doc_id] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def test_stage_against_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for n in (40, 60, 100, 300):  # copies with a few words changed, on both sides of the limit
+        base = [word() for _ in range(n)]
+        for changes in range(8):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(n)] = word()
+            texts.append(" ".join(copy))
+    hot = [word() for _ in range(80)]
+    for _ in range(60):  # a large group in chains
+        copy = list(hot)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(80)] = word()
+        texts.append(" ".join(copy))
+    line = " ".join(word() for _ in range(30))
+    texts += [line + " " + " ".join(word() for _ in range(30)) for _ in range(30)]
+    texts += [None, "", "one two", "One  two", texts[0], "a b c d e", "a b c d e f"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").select("doc_id").collect())
+    assert set(got.values()) == {1} and set(got) == plain_kept(rows)
+    odd = spark.createDataFrame([(None, "x y"), (3, "x y"), (3, "x y"), (None, "alone"), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, odd, "").collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, ""), (-1, "alone"), (3, "x y")]
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
