@@ -1,11 +1,11 @@
 """Personal data: patterns for e-mail, IP, card and phone, and information-theoretic sanitisation of terms.
 
-Everything here is DataFrame operations. Patterns find the protected entities. Words next to an entity
-(up to ``near`` words on either side within 64 characters) are its context. Over all documents, the
-co-occurrence of entity e and term t estimates how much of e's information t discloses:
-``log(p(e,t) / (p(e) p(t))) / -log p(e)``, with p as shares of documents. Where a term was met with the
-entity in ``support`` documents and discloses ``threshold`` of it or more, it is a span of kind ``term`` beside that
-entity: removed if it discloses ``full`` or more, else generalised to a placeholder.
+Everything here is DataFrame operations. Patterns find the protected entities. Over all documents, the
+co-occurrence of entity e and term t in whole documents estimates how much of e's information t discloses:
+``log(p(e,t) / (p(e) p(t))) / -log p(e)``, with p as shares of documents. Where a term stands in ``support``
+documents of the entity and discloses ``threshold`` of it or more, each of its occurrences in documents that hold the
+entity is a span of kind ``term``: removed if it discloses ``full`` or more, else generalised to a placeholder. Terms are words
+of three characters and more with a letter.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Repeated rows count as documents
 of their own and get the same spans. Very long digit runs and words take linear time. Term spans that
@@ -82,7 +82,7 @@ _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}"
 
 
 def entities(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, found) per row; found is an array of (start, rank, end, value, pre, post, post_cut) by start, then kind."""
+    """(doc_id, text_hash, found) per row; found is an array of (start, rank, end, value) by start, then kind; text is null where found is empty."""
     text = F.translate(F.coalesce("text", F.lit("")), MARK, OTHER)
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), text.alias("text"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
@@ -91,86 +91,81 @@ def entities(documents: DataFrame) -> DataFrame:
         ranked = _ranked(_found(F.col("text"), pattern), kind, rank)
         per_kind.append(F.when(F.col("text").rlike(_HINT[kind]), ranked).otherwise(none))
     every = F.array_sort(F.concat(*per_kind))
-    around = F.transform(
-        F.col("found"),
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["rank"].alias("rank"),
-            m["end"].alias("end"),
-            m["value"].alias("value"),
-            F.substring(F.col("text"), F.greatest(m["start"] - 63, F.lit(1)), F.least(m["start"], F.lit(64))).alias("pre"),
-            F.substring(F.col("text"), m["end"] + 1, F.lit(64)).alias("post"),
-            (F.char_length("text") - m["end"] > 64).alias("post_cut"),
-        ),
-    )
-    return rows.withColumn("found", every).select(*_KEY, around.alias("found"))
-
-
-def candidates(found: DataFrame, near: int = 3) -> DataFrame:
-    """(doc_id, text_hash, entity, term, start, end): the words next to each entity; entity is the kind's rank and the value."""
-    one = found.where(F.size("found") > 0).select(*_KEY, F.explode("found").alias("m")).select(*_KEY, "m.*")
-    entity = F.concat_ws(":", "rank", F.when(F.col("rank").isin(2, 3), _digits(F.col("value"))).otherwise(F.lower("value")))
-    one = one.select(*_KEY, entity.alias("entity"), "start", "end", "pre", "post", "post_cut")
-    # a word that the 64 characters cut off is no word
-    pre = F.filter(_found(F.col("pre"), WORD), lambda w: (w["start"] > 0) | (F.col("start") <= 64))
-    pre = F.slice(pre, F.greatest(F.size(pre) - (near - 1), F.lit(1)), near)
-    post = F.slice(F.filter(_found(F.col("post"), WORD), lambda w: (w["end"] < 64) | ~F.col("post_cut")), 1, near)
-    base = F.greatest(F.col("start") - 64, F.lit(0))
-    placed = F.concat(
-        F.transform(pre, lambda w: F.struct(F.lower(w["value"]).alias("term"), (base + w["start"]).alias("start"), (base + w["end"]).alias("end"))),
-        F.transform(post, lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("end") + w["start"]).alias("start"), (F.col("end") + w["end"]).alias("end"))),
-    )
-    words = one.select(*_KEY, "entity", F.explode(placed).alias("w")).select(*_KEY, "entity", "w.*")
-    return words.where((F.char_length("term") >= 3) & F.col("term").rlike(r"\p{L}"))
-
-
-def document_frequency(documents: DataFrame, terms: DataFrame, bits: int = 18) -> DataFrame:
-    """(term, df): number of rows of ``documents`` that hold each of ``terms``.
-
-    A bit map of 2**bits bits, of fixed size, lets only words that may be wanted into the shuffle; the join makes it exact.
+    held = F.when(F.size("found") > 0, F.col("text")).alias("text")
+    return rows.withColumn("found", every).select(*_KEY, "found", held)
+
+
+def _entity(m: Column) -> Column:
+    """An entity's name: the kind's rank, and the value (its digits for cards and phones)."""
+    return F.concat_ws(":", m["rank"], F.when(m["rank"].isin(2, 3), _digits(m["value"])).otherwise(F.lower(m["value"])))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(text, r"[^\p{L}\p{N}]++"), lambda w: F.lower(w)))
+
+
+def document_frequency(documents: DataFrame) -> DataFrame:
+    """(term, df): number of rows of ``documents`` that hold each term, counted once per row, so that little is shuffled."""
+    words = documents.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("df")).where((F.char_length("term") >= 3) & F.col("term").rlike(r"\p{L}"))
+
+
+def _share(both: Column, df: Column, df_e: Column, n: Column) -> Column:
+    return F.log(both * n / (df_e * df)) / F.log(n / df_e)
+
+
+def disclosing(held: DataFrame, documents: DataFrame, threshold: float, support: int, common: int = 2000) -> DataFrame:
+    """(id, term, share): the terms of each row of ``held`` that disclose at least ``threshold`` of an entity in it.
+
+    ``held`` has id, n, text and names (the row's distinct entities). Pairs that no count could bring to the threshold are left out
+    before they are counted; so are the ``common`` most frequent of the terms too frequent for any entity, before any shuffle.
     """
-    slot = F.xxhash64("term")
-    word, bit = F.shiftrightunsigned(slot, 64 - bits + 6), F.shiftrightunsigned(slot, 64 - bits).bitwiseAND(63)
-    rows = terms.select(word.alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bit"))
-    cells = {r.i: r.bits for r in rows.groupBy("i").agg(F.bit_or("bit").alias("bits")).collect()}  # 2**(bits - 6) rows at most
-    table = F.lit([cells.get(i, 0) for i in range(1 << (bits - 6))]).cast("array<long>")
-    # each term once per row, so that counting needs no shuffle of rows
-    words = documents.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]++"))).alias("term"))
-    likely = words.where(F.call_function("shiftrightunsigned", F.get(table, word.cast("int")), bit.cast("int")).bitwiseAND(1) == 1)
-    # counted and written first: else the join would be planned below the counting, row by row
-    counts = materialize(likely.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
-    return counts.join(terms, "term", "left_semi")
-
-
-def disclosing(documents: DataFrame, near_terms: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term, share): the terms that disclose at least ``threshold`` of an entity's information."""
-    total = found.count()
-    pairs = near_terms.select(*_KEY, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = materialize(pairs, "entity-terms")
-    held = found.where(F.size("found") > 0).select(*_KEY, F.explode("found").alias("m"))
-    name = F.concat_ws(":", "m.rank", F.when(F.col("m.rank").isin(2, 3), _digits(F.col("m.value"))).otherwise(F.lower("m.value")))
-    df_e = held.select(*_KEY, name.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    df_t = document_frequency(documents, pairs.select("term").distinct())
-    n = F.lit(float(max(total, 1)))
-    share = F.log(F.col("both") * n / (F.col("df_e") * F.greatest("df", "both"))) / F.log(n / F.col("df_e"))
-    rated = pairs.join(df_e, "entity").join(df_t, "term").where(F.col("df_e") < n).withColumn("share", share)
-    return rated.where(F.col("share") >= threshold).select("entity", "term", "share")
-
-
-def spans(documents: DataFrame, threshold: float = 0.8, support: int = 3, near: int = 3) -> DataFrame:
+    df_t = materialize(document_frequency(documents), "term-counts")
+    names = held.select("id", "n", F.explode("names").alias("entity"))
+    df_e = materialize(names.groupBy("entity").agg(F.count("*").alias("df_e")), "entity-counts")
+    named = materialize(names.join(df_e, "entity").where("df_e < n").withColumn("most", F.col("df_e") * F.pow(F.col("n") / F.col("df_e"), F.lit(1 - threshold)) * 1.000001), "named-entities")
+    limit = named.agg(F.max("most")).first()[0]
+    if limit is None:
+        return named.select("id", F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    frequent = [r.term for r in df_t.where(F.col("df") > limit).orderBy(F.desc("df"), "term").limit(common).collect()]
+    words = held.select("id", F.explode(_terms(F.col("text"))).alias("term"))
+    words = words.where(~F.col("term").isin(frequent)) if frequent else words
+    rare = materialize(words, "held-terms").join(df_t.where(F.col("df") <= limit), "term")
+    pairs = materialize(rare.join(named, "id").where("df <= most").select("id", "n", "entity", "df_e", "term", "df"), "entity-terms")
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("df_e").alias("df_e"), F.first("n").alias("n"))
+    rated = counted.withColumn("share", _share(F.col("both"), F.col("df"), F.col("df_e"), F.col("n"))).where((F.col("share") >= threshold) & (F.col("both") >= support))
+    rated = materialize(rated.select("entity", "term", "share"), "disclosing")
+    return pairs.join(rated, ["entity", "term"]).groupBy("id", "term").agg(F.max("share").alias("share"))
+
+
+def _placed(text: Column, shares: Column) -> Column:
+    """Array of (start, rank, end, share) of each occurrence in ``text`` of the terms in the map ``shares``."""
+    parts = F.split(F.regexp_replace(text, WORD, f"{MARK}$0{MARK}"), MARK, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>").alias("found"))
+
+    def step(a: Column, part: Column) -> Column:
+        end = a["at"] + F.char_length(part)
+        share = F.try_element_at(shares, F.lower(part))
+        hit = F.struct(a["at"].alias("start"), F.lit(4).alias("rank"), end.alias("end"), share.alias("share"))
+        return F.struct(end.alias("at"), F.when(share.isNotNull(), F.concat(a["found"], F.array(hit))).otherwise(a["found"]).alias("found"))
+
+    return F.aggregate(parts, start, step, lambda a: a["found"])
+
+
+def spans(documents: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """(doc_id, text_hash, found, terms) per row: pattern spans, and term spans as (start, rank, end, share).
 
     A null doc_id stands as the largest long.
     """
-    found = materialize(entities(documents), "entities")
-    words = materialize(candidates(found, near), "context-terms")
-    rated = materialize(disclosing(documents, words, found, threshold, support), "disclosing")
-    hits = words.join(rated, ["entity", "term"]).groupBy(*_KEY, "start", "end").agg(F.max("share").alias("share"))
-    terms = hits.groupBy(*_KEY).agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "share")).alias("terms"))
-    terms = materialize(terms, "term-spans")
-    joined = found.join(terms, _KEY, "left")
-    free = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>")), lambda t: ~F.exists(F.col("found"), lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
-    return joined.select(*_KEY, "found", free.alias("terms"))
+    found = materialize(entities(documents).withColumn("id", F.monotonically_increasing_id()), "entities")
+    n = F.lit(float(max(found.count(), 1)))
+    held = found.where("text IS NOT NULL").select("id", n.alias("n"), "text", F.array_distinct(F.transform("found", _entity)).alias("names"))
+    rated = disclosing(held, documents, threshold, support)
+    shares = materialize(rated.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "shares")
+    terms = F.when(F.col("shares").isNotNull(), _placed(F.col("text"), F.col("shares"))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>"))
+    joined = found.join(shares, "id", "left").withColumn("terms", terms)
+    free = F.filter("terms", lambda t: ~F.exists(F.col("found"), lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
+    return materialize(joined.select(*_KEY, "found", free.alias("terms")), "spans")
 
 
 def _named(every: Column) -> Column:

@@ -63,6 +63,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0].n_chars == len(clean[0].text) and private_data.sanitise(df).count() == len(rows)
 
 
+def test_terms_anywhere_in_the_documents_of_an_entity(spark):
+    filler = "the harbour about things wrote from " * 8
+    text = f"Quillon began. {filler} Mail q@mail.example {filler} and quillon ended"
+    rows = [(i, text) for i in range(4)] + [(100 + i, filler) for i in range(60)] + [(500, "Quillon alone")]
+    got = {r.doc_id: r.spans for r in private_data.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    last = text.index("quillon")
+    assert {"term:0:7", f"term:{last}:{last + 7}"} <= set(got[0].split(",")) and got[500] == "" and got[100] == ""
+    assert not any(f"term:{m.start()}:" in got[0] for m in re.finditer("harbour|things|wrote", text))
+
+
 def test_warc_against_sql(spark):
     assert_same(queries.op7_warc(spark, SF), duck(SF), queries.ORACLE_SQL["op7_warc"])
 
