@@ -2,10 +2,11 @@
 
 Everything here is DataFrame operations. Patterns find the protected entities. Over all documents, the
 co-occurrence of entity e and term t in whole documents estimates how much of e's information t discloses:
-``log(p(e,t) / (p(e) p(t))) / -log p(e)``, with p as shares of documents. Where a term stands in ``support``
-documents of the entity and discloses ``threshold`` of it or more, each of its occurrences in documents that hold the
-entity is a span of kind ``term``: removed if it discloses ``full`` or more, else generalised to a placeholder. Terms are words
-of three characters and more with a letter.
+``log(p(e|t) / p(e)) / -log p(e)``, with p as shares of documents and p(e|t) smoothed by a prior that weighs ``PRIOR``
+documents, so that entities met once or twice are rated too and one meeting weighs less than many. Where a term discloses
+``threshold`` of an entity or more, each of its occurrences in documents that hold the entity is a span of kind
+``term``: removed if it discloses ``full`` or more, else generalised to a placeholder. Terms are words of three characters and
+more with a letter. An entity of one document needs 243 documents in all before a term of that document alone is rated.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Repeated rows count as documents
 of their own and get the same spans. Very long digit runs and words take linear time. Term spans that
@@ -32,6 +33,8 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[\p{L}\p{N}]++"
 MARK, OTHER = "\x01", "\x02"
 LAST = (1 << 63) - 1
+#: Documents that the prior weighs: p(e|t) is drawn to p(e) as if t stood in so many more documents without knowledge of e.
+PRIOR = 2
 _KEY = ["doc_id", "text_hash"]
 
 
@@ -111,10 +114,10 @@ def document_frequency(documents: DataFrame) -> DataFrame:
 
 
 def _share(both: Column, df: Column, df_e: Column, n: Column) -> Column:
-    return F.log(both * n / (df_e * df)) / F.log(n / df_e)
+    return F.log((both * n / df_e + PRIOR) / (df + PRIOR)) / F.log(n / df_e)
 
 
-def disclosing(held: DataFrame, documents: DataFrame, threshold: float, support: int, common: int = 2000) -> DataFrame:
+def disclosing(held: DataFrame, documents: DataFrame, threshold: float, common: int = 2000) -> DataFrame:
     """(id, term, share): the terms of each row of ``held`` that disclose at least ``threshold`` of an entity in it.
 
     ``held`` has id, n, text and names (the row's distinct entities). Pairs that no count could bring to the threshold are left out
@@ -123,7 +126,7 @@ def disclosing(held: DataFrame, documents: DataFrame, threshold: float, support:
     df_t = materialize(document_frequency(documents), "term-counts")
     names = held.select("id", "n", F.explode("names").alias("entity"))
     df_e = materialize(names.groupBy("entity").agg(F.count("*").alias("df_e")), "entity-counts")
-    named = materialize(names.join(df_e, "entity").where("df_e < n").withColumn("most", F.col("df_e") * F.pow(F.col("n") / F.col("df_e"), F.lit(1 - threshold)) * 1.000001), "named-entities")
+    named = materialize(names.join(df_e, "entity").where("df_e < n").withColumn("most", (F.col("df_e") + PRIOR * F.col("df_e") / F.col("n")) * F.pow(F.col("n") / F.col("df_e"), F.lit(1 - threshold)) * 1.000001 - PRIOR), "named-entities")
     limit = named.agg(F.max("most")).first()[0]
     if limit is None:
         return named.select("id", F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
@@ -133,7 +136,7 @@ def disclosing(held: DataFrame, documents: DataFrame, threshold: float, support:
     rare = materialize(words, "held-terms").join(df_t.where(F.col("df") <= limit), "term")
     pairs = materialize(rare.join(named, "id").where("df <= most").select("id", "n", "entity", "df_e", "term", "df"), "entity-terms")
     counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("df_e").alias("df_e"), F.first("n").alias("n"))
-    rated = counted.withColumn("share", _share(F.col("both"), F.col("df"), F.col("df_e"), F.col("n"))).where((F.col("share") >= threshold) & (F.col("both") >= support))
+    rated = counted.withColumn("share", _share(F.col("both"), F.col("df"), F.col("df_e"), F.col("n"))).where(F.col("share") >= threshold)
     rated = materialize(rated.select("entity", "term", "share"), "disclosing")
     return pairs.join(rated, ["entity", "term"]).groupBy("id", "term").agg(F.max("share").alias("share"))
 
@@ -152,7 +155,7 @@ def _placed(text: Column, shares: Column) -> Column:
     return F.aggregate(parts, start, step, lambda a: a["found"])
 
 
-def spans(documents: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def spans(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, found, terms) per row: pattern spans, and term spans as (start, rank, end, share).
 
     A null doc_id stands as the largest long.
@@ -160,7 +163,7 @@ def spans(documents: DataFrame, threshold: float = 0.8, support: int = 3) -> Dat
     found = materialize(entities(documents).withColumn("id", F.monotonically_increasing_id()), "entities")
     n = F.lit(float(max(found.count(), 1)))
     held = found.where("text IS NOT NULL").select("id", n.alias("n"), "text", F.array_distinct(F.transform("found", _entity)).alias("names"))
-    rated = disclosing(held, documents, threshold, support)
+    rated = disclosing(held, documents, threshold)
     shares = materialize(rated.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "shares")
     terms = F.when(F.col("shares").isNotNull(), _placed(F.col("text"), F.col("shares"))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>"))
     joined = found.join(shares, "id", "left").withColumn("terms", terms)

@@ -73,6 +73,17 @@ def test_terms_anywhere_in_the_documents_of_an_entity(spark):
     assert not any(f"term:{m.start()}:" in got[0] for m in re.finditer("harbour|things|wrote", text))
 
 
+def test_terms_of_an_entity_met_once(spark):
+    rows = [(i, "the harbour about things wrote from") for i in range(400)]
+    rows += [(900, "the harbour wrote to z@mail.example about Zorblax from things"), (901, "Quorbit wrote from the harbour")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in private_data.report(df).collect()}
+    at = rows[400][1].index("Zorblax")
+    assert got[900].split(",")[1:] == [f"term:{at}:{at + 7}"] and got[901] == "" and got[0] == ""
+    clean = {r.doc_id: r.text for r in private_data.sanitise(df).collect()}
+    assert clean[900] == "the harbour wrote to [EMAIL] about [TERM] from things"
+
+
 def test_warc_against_sql(spark):
     assert_same(queries.op7_warc(spark, SF), duck(SF), queries.ORACLE_SQL["op7_warc"])
 
