@@ -3,8 +3,8 @@
 ``write`` stores one record per page in gzip members, many records to a file. Of pages with equal payloads the
 one with the least page_id is a response; the others are revisit records that point to it and keep
 its HTTP headers. ``build_index`` sorts the captures by reversed-host URL key into compressed blocks and keeps
-a sparse directory with each block's first key. ``locate`` finds captures by binary search over the parts and
-their directories, and reads only the block's range; ``read`` reads the records' ranges.
+a sparse directory with each block's first key and page_id. ``locate`` finds captures by binary search for key and page_id over
+the parts and their directories, and reads only the blocks that hold the pair; ``read`` reads the records' ranges.
 
 Files lie in the folder that driver and executors share, through pyarrow's file systems (local or any
 scheme it knows). Null html is an empty payload; null url is an empty key. Equal payloads of equal page_id
@@ -154,13 +154,20 @@ def write(pages: DataFrame, folder: str, most: int = 512 << 20) -> DataFrame:
 
 
 def build_index(captures: DataFrame, folder: str, block: int = 1000) -> DataFrame:
-    """Sorted compressed blocks and their directories; returns the parts (first_key, last_key, blocks, directory), one for each file."""
+    """Sorted compressed blocks and their directories; returns the parts (first_key, first_page, last_key, last_page, blocks, directory), one for each file."""
     spread = captures.repartitionByRange("url_key", "page_id", "file", "offset").sortWithinPartitions("url_key", "page_id", "file", "offset")
 
+    names = ["first_key", "first_page", "last_key", "last_page", "blocks", "directory"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+
     def run(batches):
         lines: list[str] = []
         entries: list[list] = []
-        out, path, offset, last = None, "", 0, ""
+        out, path, offset, last = None, "", 0, ["", None]
+
+        def pair(line):
+            key, _, rest = line.partition(" ")
+            return [key, json.loads(rest)[0]]
 
         def flush():
             nonlocal out, path, offset, last
@@ -169,8 +176,8 @@ def build_index(captures: DataFrame, folder: str, block: int = 1000) -> DataFram
                 out = _create(path + ".cdx.z")
             data = zlib.compress("\n".join(lines).encode(), 6)
             out.write(data)
-            entries.append([lines[0].split(" ", 1)[0], offset, len(data)])
-            offset, last = offset + len(data), lines[-1].split(" ", 1)[0]
+            entries.append([*pair(lines[0]), offset, len(data)])
+            offset, last = offset + len(data), pair(lines[-1])
             lines.clear()
 
         for batch in batches:
@@ -184,50 +191,55 @@ def build_index(captures: DataFrame, folder: str, block: int = 1000) -> DataFram
             out.close()
             with _create(path + ".dir") as directory:
                 directory.write(json.dumps(entries).encode())
-            yield pa.RecordBatch.from_pylist([{"first_key": entries[0][0], "last_key": last, "blocks": path + ".cdx.z", "directory": path + ".dir"}])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*entries[0][:2], *last, path + ".cdx.z", path + ".dir"], kinds)], names=names)
+
+    return materialize(spread.mapInArrow(run, "first_key string, first_page long, last_key string, last_page long, blocks string, directory string"), "index-parts")
 
-    return materialize(spread.mapInArrow(run, "first_key string, last_key string, blocks string, directory string"), "index-parts")
+
+def _place(key: str, page_id: int | None) -> tuple:
+    """Where a capture stands in the index's order: by key, then page_id, null first."""
+    return key, page_id is not None, page_id or 0
 
 
 class Index:
     """Binary search over the parts, then over a part's directory, then one range read for each block."""
 
-    def __init__(self, parts: list[tuple[str, str, str, str]]):
-        self.parts = sorted(parts)
+    def __init__(self, parts: list[tuple]):
+        self.parts = sorted((_place(a, i), _place(b, j), blocks, directory) for a, i, b, j, blocks, directory in parts)
         self.lasts = [p[1] for p in self.parts]
         self.directory = lru_cache(maxsize=8)(self._directory)
         self.block = lru_cache(maxsize=4)(self._block)
 
-    def _directory(self, path: str) -> tuple[list[str], list[list]]:
+    def _directory(self, path: str) -> tuple[list[tuple], list[list]]:
         entries = json.loads(_reader(path).read_at(_reader(path).size(), 0))
-        return [e[0] for e in entries], entries
+        return [_place(*e[:2]) for e in entries], [e[2:] for e in entries]
 
-    def _block(self, path: str, offset: int, length: int) -> list[tuple[str, list]]:
+    def _block(self, path: str, offset: int, length: int) -> list[tuple[tuple, list]]:
         lines = zlib.decompress(_range(path, offset, length)).decode().split("\n")
-        return [(key, json.loads(rest)) for key, _, rest in (x.partition(" ") for x in lines)]
-
-    def find(self, key: str) -> list[list]:
-        """All captures of a key as [page_id, file, offset, length]."""
-        out = []
-        for first, _, blocks, directory in self.parts[bisect.bisect_left(self.lasts, key) :]:
-            if first > key:
+        split = ((key, json.loads(rest)) for key, _, rest in (x.partition(" ") for x in lines))
+        return [(_place(key, capture[0]), capture) for key, capture in split]
+
+    def find(self, key: str, page_id: int | None):
+        """The captures of a key and page_id, one after the other, as [page_id, file, offset, length]."""
+        place = _place(key, page_id)
+        for first, _, blocks, directory in self.parts[bisect.bisect_left(self.lasts, place) :]:
+            if first > place:
                 break
             firsts, entries = self.directory(directory)
-            for entry in entries[max(0, bisect.bisect_left(firsts, key) - 1) :]:
-                if entry[0] > key:
+            for at in range(max(0, bisect.bisect_left(firsts, place) - 1), len(entries)):
+                if firsts[at] > place:
                     break
-                lines = self.block(blocks, entry[1], entry[2])
-                at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                while at < len(lines) and lines[at][0] == key:
-                    out.append(lines[at][1])
-                    at += 1
-        return out
+                lines = self.block(blocks, *entries[at])
+                for i in range(bisect.bisect_left(lines, place, key=lambda x: x[0]), len(lines)):
+                    if lines[i][0] != place:
+                        break
+                    yield lines[i][1]
 
 
 def locate(wanted: DataFrame, parts: DataFrame) -> DataFrame:
     """The captures of each distinct (url, page_id) of ``wanted``.
 
-    The parts' first and last keys go to every task: a row for each index file, that is for each
+    The parts' first and last pairs go to every task: a row for each index file, that is for each
     task that wrote one, and so bounded by the number of partitions. Rows wanted are sorted by key, so that a task
     reads each block about once.
     """
@@ -243,18 +255,20 @@ def locate(wanted: DataFrame, parts: DataFrame) -> DataFrame:
 
     def run(batches):
         index = Index(known)
-        last, found = None, {}
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=["url_key", "page_id", "file", "offset", "length"])
+
         for batch in batches:
             out = []
             for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key != last:
-                    last, found = key, {}
-                    for capture in index.find(key):
-                        found.setdefault(capture[0], []).append(capture[1:])
-                out.extend((key, page_id, *c) for c in found.get(page_id, []))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["url_key", "page_id", "file", "offset", "length"])
+                for capture in index.find(key, page_id):
+                    out.append((key, *capture))
+                    if len(out) >= 10000:
+                        yield packed(out)
+                        out = []
+            yield packed(out)
 
     return rows.mapInArrow(run, CAPTURE)
 

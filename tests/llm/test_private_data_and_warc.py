@@ -110,3 +110,15 @@ def test_warc_edges(spark):
     found = warc.locate(spark.createDataFrame([("https://nowhere.example/", 1)], "url string, page_id long"), parts)
     assert found.count() == 0
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_find_reads_only_the_pairs_blocks(spark):
+    folder = fresh_path(spark, "warc")
+    captures = spark.createDataFrame([("k", i, "f", i, 1) for i in range(1000)] + [("k", None, "f", 5000, 1), ("k", 500, "f", 5001, 1), ("a", 3, "f", 7, 1), ("z", None, "f", 8, 1)], warc.CAPTURE)
+    index = warc.Index([tuple(r) for r in warc.build_index(captures, folder, block=10).collect()])
+    read, block = [], index.block
+    index.block = lambda *a: read.append(a) or block(*a)
+    assert [c[2] for c in index.find("k", 500)] == [500, 5001] and len(read) <= 2
+    assert [c[2] for c in index.find("k", None)] == [5000] and [c[2] for c in index.find("z", None)] == [8] and [c[2] for c in index.find("a", 3)] == [7]
+    assert list(index.find("k", 1000)) == list(index.find("b", 1)) == list(index.find("zz", 1)) == []
+    assert all([c[2] for c in index.find("k", i)] == [i] for i in range(1000) if i != 500)
