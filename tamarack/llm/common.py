@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -14,16 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_released = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share, or else the one ``setCheckpointDir`` named.
 
-    Where the session names none (tests in one process), a temporary folder of this process.
+    Where there is none: a temporary folder of this process if Spark runs in this process alone, an error on a cluster.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tamarack-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -35,7 +40,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps: it waits for the driver's garbage collection."""
+    """Let Spark's cleaner drop the shuffle files of finished steps, every ten seconds at most: it waits for the driver's garbage collection."""
+    if time.monotonic() - _released[0] < 10:
+        return
+    _released[0] = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -62,6 +70,17 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,14 +22,18 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(now, "edges")
     before = _state(now)
+    if not before[0]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        most = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(most, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = materialize(large, "edges")
+        discard(now, most)
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(large, least)
         after = _state(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -22,31 +22,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected
 
 SEED, TILE = 42, 256
 LAST = (1 << 63) - 1
 
 
-def fingerprint(data: bytes, size: int = 3) -> int:
-    """Unsigned SimHash of a text in UTF-8 over its word shingles, repeats included."""
+def shingle_hashes(data: bytes, size: int = 3) -> np.ndarray:
+    """XXH64 of each word shingle of a text in UTF-8, repeats included; fewer words than ``size`` are one shingle."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     ends = (ends - 1).tolist()
     k = min(size, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - k], ends[k:])], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - k], ends[k:])], dtype="<u8")
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """Unsigned SimHash of hashes: the bits that are set in over half of them."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(sum(1 << j for j in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
 
 
+def fingerprint(data: bytes, size: int = 3) -> int:
+    """Unsigned SimHash of a text in UTF-8 over its word shingles, repeats included."""
+    return bits_of(shingle_hashes(data, size))
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, text_hash) for each row; fp is the fingerprint as a signed long."""
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -152,7 +161,7 @@ def links(distinct: DataFrame, radius: int = 2, most: int = 512) -> DataFrame:
 
 
 def components(documents: DataFrame, radius: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id) for each row; root is the component's least fingerprint, component_id is the least doc_id reachable by links."""
+    """(doc_id, fp, root, component_id) for each row; root is the component's least fingerprint, component_id is the least doc_id reachable by links."""
     docs = materialize(fingerprints(documents), "fingerprints")
     firsts = docs.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
     distinct = materialize(firsts, "distinct-fingerprints")
@@ -160,6 +169,7 @@ def components(documents: DataFrame, radius: int = 2) -> DataFrame:
     rooted = materialize(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    discard(distinct, rooted, least)
     return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "root", F.expr(f"nullif(component_id, {LAST}L)").alias("component_id"))
 
 
@@ -167,11 +177,3 @@ def near_duplicates(documents: DataFrame, radius: int = 2) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id."""
     rows = components(documents, radius)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(documents: DataFrame, radius: int = 2) -> DataFrame:
-    """One row of each component, the one with the least doc_id (all columns); of rows that repeat it, one."""
-    rows = components(documents, radius).where("doc_id <=> component_id")
-    keep = materialize(rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("text_hash").alias("_hash"), "root").groupBy("_id", "root").agg(F.min("_hash").alias("_hash")), "kept")
-    marked = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_hash": F.xxhash64("text")})
-    return marked.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*documents.columns)

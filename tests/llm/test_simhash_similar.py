@@ -1,15 +1,16 @@
-"""The near-duplicate stage against brute force."""
+"""Near-duplicates at a similarity against brute force."""
 
 import random
 from collections import Counter
 from itertools import combinations
 
-import corpus_pipeline
+from tamarack.llm import simhash, simhash_similar
 
 
 def plain_kept(rows):
-    sets = {}
+    sets, fps = {}, {}
     for doc_id, text in rows:
+        fps[doc_id] = simhash.fingerprint((text or "").encode(), 5)
         w = (text or "").lower().split()
         k = min(5, len(w))
         sets[doc_id] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
@@ -22,7 +23,7 @@ def plain_kept(rows):
 
     for i, j in combinations(sorted(sets), 2):
         a, b = sets[i], sets[j]
-        if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b):
+        if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b) and (fps[i] ^ fps[j]).bit_count() <= simhash_similar.RADIUS:
             x, y = sorted((find(i), find(j)))
             parent[y] = x
     return {i for i in sets if find(i) == i}
@@ -50,10 +51,17 @@ def test_stage_against_brute_force(spark):
     texts += [None, "", "one two", "One  two", texts[0], "a b c d e", "a b c d e f"]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").select("doc_id").collect())
+    df = spark.createDataFrame([(i, t, -i, "h", 1) for i, t in rows], "doc_id long, text string, _id long, id string, n int").repartition(3)
+    kept = simhash_similar.keep_first(df).collect()
+    assert all(r._id == -r.doc_id and r.id == "h" and r.n == 1 for r in kept)  # names like those used inside
+    got = Counter(r.doc_id for r in kept)
     assert set(got.values()) == {1} and set(got) == plain_kept(rows)
     odd = spark.createDataFrame([(None, "x y"), (3, "x y"), (3, "x y"), (None, "alone"), (None, None)], "doc_id long, text string")
-    kept = corpus_pipeline.near_duplicates(spark, odd, "").collect()
+    kept = simhash_similar.keep_first(odd).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, ""), (-1, "alone"), (3, "x y")]
-    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+    assert simhash_similar.keep_first(df.limit(0)).count() == 0
+
+
+def test_tiles_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "TILE_ROWS", 4)
+    test_stage_against_brute_force(spark)
