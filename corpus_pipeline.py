@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import near_copies, packing, private_data, quality_classifier, substrings
+from tamarack.llm import packing, private_data, quality_classifier, simhash_similar, substrings
 from tamarack.llm.common import materialize, table
 from tamarack.llm.queries import vocabulary
 
@@ -15,8 +15,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return near_copies.keep_first(docs)
+    """One document of each group of near-duplicates by SimHash: five-word shingles, similarity 0.8 or more."""
+    return simhash_similar.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
