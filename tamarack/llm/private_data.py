@@ -7,18 +7,22 @@ documents, so that entities met once or twice are rated too and one meeting weig
 ``threshold`` of an entity or more, each of its occurrences in documents that hold the entity is a span of kind
 ``term``: removed if it discloses ``full`` or more, else generalised to a placeholder. Terms are words of three characters and
 more with a letter. An entity of one document needs 243 documents in all before a term of that document alone is rated.
+Entities that stand in the same documents are rated as one group: a text with very many addresses of its own has one group.
 
-Offsets are code points, ends exclusive. Null text counts as empty. Repeated rows count as documents
-of their own and get the same spans. Very long digit runs and words take linear time. Term spans that
-overlap a pattern's span are left out. A null doc_id is a value like any other. Other columns are not read.
+Offsets are code points, ends exclusive. Null text counts as empty. Repeated rows count as documents of their own, in
+every count alike, and get the same spans. Time is linear in a text's length and in its number of matches, but for the
+sorting of its spans. Term spans that overlap a pattern's span are left out. A null doc_id is a value like any
+other. Other columns are not read, and in ``sanitise`` stay as they are, whatever they are called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A match may start after a sign that can't be in it, or where the match before ended: all other starts
@@ -35,20 +39,41 @@ MARK, OTHER = "\x01", "\x02"
 LAST = (1 << 63) - 1
 #: Documents that the prior weighs: p(e|t) is drawn to p(e) as if t stood in so many more documents without knowledge of e.
 PRIOR = 2
+#: Parts or cuts of a text that are taken together; even, so that a block of parts never begins with a match.
+BLOCK = 256
 _KEY = ["doc_id", "text_hash"]
+_GROUP = ["first", "rows", "df_e"]
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost matches that don't overlap."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    """Array of (start, end, value) of the leftmost matches that don't overlap.
+
+    Marks are set around the matches and the text is split at them, so every other part is a match. Places are summed up block by
+    block, so that no long array is copied for each match.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(a: Column, part: Column) -> Column:
         end = a["at"] + F.char_length(part)
         match = F.struct(a["at"].alias("start"), end.alias("end"), part.alias("value"))
         return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["found"], F.array(match))).otherwise(a["found"]).alias("found"))
 
-    return F.aggregate(parts, start, step, lambda a: a["found"])
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + F.char_length(x)))
+        firsts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        one = lambda b, first: F.aggregate(b, F.struct(first.alias("at"), F.lit(False).alias("inside"), none.alias("found")), step, lambda a: a["found"])
+        return _let(firsts, lambda firsts: F.flatten(F.transform(blocks, lambda b, i: one(b, F.get(firsts, i)))))
+
+    def blocks_of(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.slice(parts, k * BLOCK + 1, BLOCK))
+
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return _let(parts, lambda parts: _let(blocks_of(parts), placed))
 
 
 def _luhn(digits: Column) -> Column:
@@ -118,57 +143,64 @@ def _share(both: Column, df: Column, df_e: Column, n: Column) -> Column:
 
 
 def disclosing(held: DataFrame, documents: DataFrame, threshold: float, common: int = 2000) -> DataFrame:
-    """(id, term, share): the terms of each row of ``held`` that disclose at least ``threshold`` of an entity in it.
+    """(id, start, end, share): the places of the terms of each row of ``held`` that disclose at least ``threshold`` of an entity in it.
 
     ``held`` has id, n, text and names (the row's distinct entities). Pairs that no count could bring to the threshold are left out
     before they are counted; so are the ``common`` most frequent of the terms too frequent for any entity, before any shuffle.
     """
     df_t = materialize(document_frequency(documents), "term-counts")
     names = held.select("id", "n", F.explode("names").alias("entity"))
-    df_e = materialize(names.groupBy("entity").agg(F.count("*").alias("df_e")), "entity-counts")
-    named = materialize(names.join(df_e, "entity").where("df_e < n").withColumn("most", (F.col("df_e") + PRIOR * F.col("df_e") / F.col("n")) * F.pow(F.col("n") / F.col("df_e"), F.lit(1 - threshold)) * 1.000001 - PRIOR), "named-entities")
-    limit = named.agg(F.max("most")).first()[0]
+    rows = names.groupBy("entity").agg(F.count("*").alias("df_e"), F.min("id").alias("first"), F.expr("bit_xor(xxhash64(id))").alias("rows"))
+    rows = materialize(rows, "entity-rows")
+    most = (F.col("df_e") + PRIOR * F.col("df_e") / F.col("n")) * F.pow(F.col("n") / F.col("df_e"), F.lit(1 - threshold)) * 1.000001 - PRIOR
+    groups = names.join(rows, "entity").where("df_e < n").select("id", "n", *_GROUP, most.alias("most")).distinct()
+    groups = materialize(groups, "entity-groups")
+    limit = groups.agg(F.max("most")).first()[0]
     if limit is None:
-        return named.select("id", F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+        return held.select("id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("share")).limit(0)
     frequent = [r.term for r in df_t.where(F.col("df") > limit).orderBy(F.desc("df"), "term").limit(common).collect()]
-    words = held.select("id", F.explode(_terms(F.col("text"))).alias("term"))
-    words = words.where(~F.col("term").isin(frequent)) if frequent else words
-    rare = materialize(words, "held-terms").join(df_t.where(F.col("df") <= limit), "term")
-    pairs = materialize(rare.join(named, "id").where("df <= most").select("id", "n", "entity", "df_e", "term", "df"), "entity-terms")
-    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("df_e").alias("df_e"), F.first("n").alias("n"))
+    words = held.select("id", F.explode(_found(F.col("text"), WORD)).alias("w")).select("id", F.lower("w.value").alias("term"), "w.start", "w.end")
+    words = words.where((F.char_length("term") >= 3) & F.col("term").rlike(r"\p{L}"))
+    words = materialize(words.where(~F.col("term").isin(frequent)) if frequent else words, "held-words")
+    rare = words.select("id", "term").distinct().join(df_t.where(F.col("df") <= limit), "term")
+    pairs = materialize(rare.join(groups, "id").where("df <= most").select("id", "n", *_GROUP, "term", "df"), "entity-terms")
+    counted = pairs.groupBy(*_GROUP, "term").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("n").alias("n"))
     rated = counted.withColumn("share", _share(F.col("both"), F.col("df"), F.col("df_e"), F.col("n"))).where(F.col("share") >= threshold)
-    rated = materialize(rated.select("entity", "term", "share"), "disclosing")
-    return pairs.join(rated, ["entity", "term"]).groupBy("id", "term").agg(F.max("share").alias("share"))
-
-
-def _placed(text: Column, shares: Column) -> Column:
-    """Array of (start, rank, end, share) of each occurrence in ``text`` of the terms in the map ``shares``."""
-    parts = F.split(F.regexp_replace(text, WORD, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>").alias("found"))
-
-    def step(a: Column, part: Column) -> Column:
-        end = a["at"] + F.char_length(part)
-        share = F.try_element_at(shares, F.lower(part))
-        hit = F.struct(a["at"].alias("start"), F.lit(4).alias("rank"), end.alias("end"), share.alias("share"))
-        return F.struct(end.alias("at"), F.when(share.isNotNull(), F.concat(a["found"], F.array(hit))).otherwise(a["found"]).alias("found"))
-
-    return F.aggregate(parts, start, step, lambda a: a["found"])
+    rated = materialize(rated.select(*_GROUP, "term", "share"), "disclosing")
+    best = materialize(pairs.join(rated, [*_GROUP, "term"]).groupBy("id", "term").agg(F.max("share").alias("share")), "disclosing-terms")
+    out = materialize(words.join(best, ["id", "term"]).select("id", "start", "end", "share"), "term-places")
+    discard(df_t, rows, groups, words, pairs, rated, best)
+    return out
+
+
+def _free(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, terms): the places that overlap no pattern's span of their row."""
+    base = found.select("id", F.explode("found").alias("b")).select("id", "b.start", "b.end", F.lit(None).cast("double").alias("share"))
+    by = Window.partitionBy("id")  # both frames grow from their first row, so each row is added once
+    is_base = F.col("share").isNull()
+    before = F.max(F.when(is_base, F.col("end"))).over(by.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(is_base, F.col("start"))).over(by.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    both = placed.unionByName(base).withColumns({"before": before, "after": after})
+    clear = both.where("share IS NOT NULL AND coalesce(before, 0) <= start AND (after IS NULL OR after >= end)")
+    term = F.struct("start", F.lit(4).alias("rank"), "end", "share")
+    return clear.groupBy("id").agg(F.collect_list(term).alias("terms"))
 
 
 def spans(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, found, terms) per row: pattern spans, and term spans as (start, rank, end, share).
+    """(id, doc_id, text_hash, found, terms) per row: pattern spans, and term spans as (start, rank, end, share).
 
     A null doc_id stands as the largest long.
     """
     found = materialize(entities(documents).withColumn("id", F.monotonically_increasing_id()), "entities")
     n = F.lit(float(max(found.count(), 1)))
     held = found.where("text IS NOT NULL").select("id", n.alias("n"), "text", F.array_distinct(F.transform("found", _entity)).alias("names"))
-    rated = disclosing(held, documents, threshold)
-    shares = materialize(rated.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "shares")
-    terms = F.when(F.col("shares").isNotNull(), _placed(F.col("text"), F.col("shares"))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>"))
-    joined = found.join(shares, "id", "left").withColumn("terms", terms)
-    free = F.filter("terms", lambda t: ~F.exists(F.col("found"), lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
-    return materialize(joined.select(*_KEY, "found", free.alias("terms")), "spans")
+    placed = disclosing(held, documents, threshold)
+    terms = materialize(_free(placed, found), "terms")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,share:double>>")
+    out = found.join(terms, "id", "left").select("id", *_KEY, "found", F.coalesce("terms", none).alias("terms"))
+    out = materialize(out, "spans")
+    discard(found, terms)
+    return out
 
 
 def _named(every: Column) -> Column:
@@ -193,26 +225,57 @@ def report(documents: DataFrame) -> DataFrame:
     return rows.select(doc_id, *counts, F.sha2(_named(_plain(F.col("found"))), 256).alias("base_sha256"), _named(every).alias("spans"))
 
 
+def _cuts(rows: DataFrame, full: float) -> DataFrame:
+    """(id, cuts): the spans of each row, those that overlap as one, as sorted (start, end, label)."""
+    labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    base = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.get(labels, s["rank"]).alias("label")))
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.when(s["share"] >= full, "").otherwise("[TERM]").alias("label")))
+    every = rows.select("id", F.explode(F.concat(base, terms)).alias("s")).select("id", "s.*")
+    order = Window.partitionBy("id").orderBy("start", "rank")
+    opens = F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = every.withColumn("opens", opens).withColumn("run", F.sum(F.col("opens").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = run.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", F.struct("start", "rank")).alias("label"))
+    return merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("cuts"))
+
+
+def _cleaned(text: Column, cuts: Column) -> Column:
+    """The text with its cuts replaced by their labels; stretches of ``BLOCK`` cuts are taken out of the text first."""
+
+    def stretch(k: Column) -> Column:
+        own = F.slice(cuts, k * BLOCK + 1, BLOCK)
+        first = F.when(k == 0, 0).otherwise(F.get(cuts, k * BLOCK)["start"])
+        last = F.coalesce(F.get(cuts, (k + 1) * BLOCK)["start"], F.char_length(text))
+        return F.struct(first.alias("first"), F.substring(text, first + 1, last - first).alias("text"), own.alias("own"))
+
+    def step(part: Column) -> Callable:
+        def add(a: Column, s: Column) -> Column:
+            more = F.concat(a["out"], F.substring(part["text"], a["at"] - part["first"] + 1, s["start"] - a["at"]), s["label"])
+            return F.struct(s["end"].alias("at"), more.alias("out"))
+
+        return add
+
+    def joined(part: Column) -> Column:
+        start = F.struct(part["first"].alias("at"), F.lit("").alias("out"))
+        return F.aggregate(part["own"], start, step(part), lambda a: F.concat(a["out"], F.substring(part["text"], a["at"] - part["first"] + 1, F.char_length(part["text"]))))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / BLOCK).cast("int"))
+    return F.concat_ws("", F.transform(F.transform(numbers, stretch), joined))
+
+
 def sanitise(documents: DataFrame, full: float = 0.95) -> DataFrame:
     """``documents`` with pattern spans and generalised terms replaced by placeholders, and fully disclosing terms removed.
 
-    n_chars, where there is one, is counted anew.
+    Spans that overlap are replaced as one by the first one's placeholder. n_chars, where there is one, is counted anew.
     """
-    rows = spans(documents).where((F.size("found") > 0) | (F.size("terms") > 0)).dropDuplicates(_KEY)
-    labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    base = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["rank"]).alias("label")))
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= full, "").otherwise("[TERM]").alias("label")))
-    cuts = materialize(rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat(base, terms)).alias("_cuts")), "cuts")
-    marked = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_hash": F.xxhash64("text")})
-    text = F.col("text")
-
-    def step(a: Column, s: Column) -> Column:
-        more = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["label"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_cuts", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    out = marked.join(cuts, ["_id", "_hash"], "left").withColumn("text", F.when(F.col("_cuts").isNull(), text).otherwise(clean))
+    i, h, c = unused(documents.columns, "id", "hash", "cuts")
+    found = spans(documents)
+    rows = found.where((F.size("found") > 0) | (F.size("terms") > 0)).dropDuplicates(_KEY)
+    cuts = rows.select("id", *_KEY).join(_cuts(rows, full), "id")
+    cuts = materialize(cuts.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("cuts").alias(c)), "cuts")
+    discard(found)
+    marked = documents.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: F.xxhash64("text")})
+    clean = _cleaned(F.col("text"), F.col(c))
+    out = marked.join(cuts, [i, h], "left").withColumn("text", F.when(F.col(c).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

@@ -1,8 +1,11 @@
+import collections
 import hashlib
+import math
 import random
 import re
 
 import pytest
+import regex
 from oracle import assert_same, duck
 
 from tamarack.llm import private_data, queries, warc
@@ -63,6 +66,53 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0].n_chars == len(clean[0].text) and private_data.sanitise(df).count() == len(rows)
 
 
+def plain_terms(texts, threshold=0.8):
+    """Spans of kind term by the formula, entity by entity, in plain Python."""
+    n, held, words, df = len(texts), [], [], collections.Counter()
+    for t in texts:
+        found = [x.split(":") for x in plain(t).split(",") if x]
+        found = [(k, int(a), int(b)) for k, a, b in found]
+        names = {(k, re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for k, a, b in found}
+        held.append((found, names))
+        own = [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"[\p{L}\p{N}]+", t)]
+        words.append([w for w in own if len(w[2]) >= 3 and regex.search(r"\p{L}", w[2])])
+        df.update({w[2] for w in words[-1]})
+    df_e, both = collections.Counter(), collections.Counter()
+    for (_, names), own in zip(held, words):
+        df_e.update(names)
+        both.update((e, t) for e in names for t in {w[2] for w in own})
+    share = lambda e, t: math.log((both[e, t] * n / df_e[e] + 2) / (df[t] + 2)) / math.log(n / df_e[e])
+    return [[f"term:{a}:{b}" for a, b, t in own if any(df_e[e] < n and share(e, t) >= threshold for e in names) and not any(x < b and a < y for _, x, y in found)] for (found, names), own in zip(held, words)]
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(11)
+    common, rare = [f"word{i}x" for i in range(40)], [f"Rare{i}é" for i in range(60)]
+    mails = [f"p{i}@mail.example" for i in range(12)] + ["1.2.3.4", "+1 234 567 8901", "+12345678901", "4111 1111 1111 1111"]
+    texts = []
+    for i in range(500):
+        parts = [rng.choice(common) for _ in range(12)] + [rng.choice(rare) for _ in range(rng.randrange(3))]
+        parts += [rng.choice(mails) for _ in range(rng.randrange(3))] if i % 3 == 0 else []
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [texts[0], texts[3], texts[3], "only-here Zed9 p0@mail.example9 abc4111111111111111"]
+    texts += [f"many{i} own{i}@far.example" for i in range(20)] + [" ".join(f"own{i}@far.example quux{i}" for i in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in private_data.report(df).collect()}
+    want = plain_terms(texts)
+    assert sum(map(len, want)) > 50
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@m{i % 7}.example is" for i in range(20000))
+    rows = [(i, f"plain text {i}", "x", -i) for i in range(9)] + [(99, text, "y", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash string, id long")
+    clean = {r.doc_id: r for r in private_data.sanitise(df).collect()}
+    assert clean[99].text == " ".join(["[EMAIL] is"] * 20000) and (clean[99]._hash, clean[99].id) == ("y", 5)
+    assert [(clean[i].text, clean[i]._hash, clean[i].id) for i in range(9)] == [(f"plain text {i}", "x", -i) for i in range(9)]
+
+
 def test_terms_anywhere_in_the_documents_of_an_entity(spark):
     filler = "the harbour about things wrote from " * 8
     text = f"Quillon began. {filler} Mail q@mail.example {filler} and quillon ended"
