@@ -3,14 +3,16 @@
 1. Anchors. In each window of 200 bytes the 48-byte gram of least hash is its anchor, so equal windows
    have equal anchors at the same place: one position in 65 is enough to find every repeat.
 2. Anchors whose whole surroundings (all windows that they stand for) occur again are repeats as they
-   are. Of the others, those whose gram occurs elsewhere are compared exactly.
+   are: those of equal gram hash and equal BLAKE2 digest of all their bytes. Of the others, those whose gram occurs
+   elsewhere are compared exactly.
 3. Suffix sort. Inside each group of equal grams the suffixes to the right, and the reversed texts to
    the left, are sorted by mergesort. Prefix polynomial hashes and binary search give the common
    extension of two suffixes, so a comparison takes a logarithmic number of steps. The extensions
    of neighbours in sorted order are checked against the bytes; a group in which a hash misled is
    sorted by its bytes. Windows that share their right class and their left class are equal.
-4. Groups of more than ``most`` different surroundings are not sorted in one task: their windows are
-   counted by hash in Spark: in blocks of forty, then of eight and of two where those differ, then one by one.
+4. Groups of more than ``most`` different surroundings would be too much for one task's sort: their windows are
+   counted in Spark by BLAKE2 digests of their bytes, in blocks of forty, then of eight and of two where those differ, then one
+   by one. Both ways find the same windows. No byte is removed because a polynomial hash alone was equal.
 
 Null text counts as empty. Rows that repeat are texts of their own, so both lose what they share.
 Texts shorter than ``length`` lose nothing. Matches never cross texts. A null doc_id is a value like
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, slices
+from .common import discard, materialize, release, slices, unused
 
 GRAM = 48
+#: Texts are cut into stretches of so many bytes where anchors' surroundings are taken out of them.
+STRETCH = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -52,6 +56,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def digest(data: bytes) -> int:
+    """BLAKE2b of some bytes as a signed long: a check that is independent of the polynomial hashes."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 class Hashed:
     """Prefix polynomial hashes of a buffer: the hash of any part in constant time."""
 
@@ -117,18 +126,11 @@ def _anchor_batch(buffer, texts, part, length):
     q = at - starts[which] + np.array([b[1] for b in buffer])[which]
     total = np.array([len(t) for t in texts])[rows]
     left, right = np.minimum(q, length - GRAM), np.minimum(total - q, length)
-    # the surroundings of an anchor near a cut reach into the next piece: those are hashed apart
-    lo, hi = at - left, at + right
-    inside = (lo >= starts[which]) & (hi <= starts[which] + sizes[which])
-    f = hashed.of(np.where(inside, lo, 0), np.where(inside, hi, 0))
-    for i in np.flatnonzero(~inside):
-        own = np.frombuffer(texts[rows[i]][q[i] - left[i] : q[i] + right[i]], dtype=np.uint8)
-        f[i] = Hashed(own).of(np.array([0]), np.array([len(own)]))[0]
-    with np.errstate(over="ignore"):
-        f = mix(f) + left.astype(np.uint64) * np.uint64(1000003) + right.astype(np.uint64) * np.uint64(7919)
+    around = (texts[r][i:j] for r, i, j in zip(rows.tolist(), (q - left).tolist(), (q + right).tolist()))
+    f = np.fromiter(map(digest, around), np.int64, len(q)) + left * 1000003 + right * 7919
     m = hashed.of(at, at + GRAM)
     ids = part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))
-    return pa.RecordBatch.from_arrays([*ids, pa.array(q.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(m.view(np.int64)), pa.array(f.view(np.int64))], names=[*_KEY, "q", "lhs", "rhs", "m", "f"])
+    return pa.RecordBatch.from_arrays([*ids, pa.array(q.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(m.view(np.int64)), pa.array(f)], names=[*_KEY, "q", "lhs", "rhs", "m", "f"])
 
 
 # --- suffix sort ---------------------------------------------------------------------------------
@@ -299,7 +301,8 @@ def _blocks(length: int, size: int, windows: bool):
             left, right = rows["lhs"].astype(np.int64), rows["rhs"].astype(np.int64)
             first, last = rows["first"].astype(np.int64), rows["last"].astype(np.int64)
             starts = np.concatenate(([0], np.cumsum(left + right)[:-1])) + left
-            hashed = Hashed(np.frombuffer(b"".join(rows["context"]), dtype=np.uint8))
+            data = b"".join(rows["context"])
+            hashed = Hashed(np.frombuffer(data, dtype=np.uint8))
             for d0 in range(0, length - GRAM + 1, size):
                 d1 = min(d0 + size - 1, length - GRAM)
                 low, high = np.maximum(d0, length - right), np.minimum(d1, left)
@@ -309,14 +312,15 @@ def _blocks(length: int, size: int, windows: bool):
                 s, low, high = starts[i], low[i], high[i]
                 with np.errstate(over="ignore"):
                     core = mix(hashed.of(s - d0, s + length - d1)) + np.uint64(d0)
-                    whole = mix(hashed.of(s - high, s + length - low)) + low.astype(np.uint64) * np.uint64(7919) + high.astype(np.uint64)
+                # equal cores only bring blocks together; what is equal is decided by the digests
+                whole = np.fromiter((digest(data[a:b]) for a, b in zip((s - high).tolist(), (s + length - low).tolist())), np.int64, len(i)) + low * 7919 + high
                 columns = [pa.array(rows[n][i]) for n in (*_KEY, "q", "k")]
-                columns += [pa.array(np.full(len(i), d0, dtype=np.int16)), pa.array(np.full(len(i), d1, dtype=np.int16)), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))]
+                columns += [pa.array(np.full(len(i), d0, dtype=np.int16)), pa.array(np.full(len(i), d1, dtype=np.int16)), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(whole)]
                 if windows:
                     n = high - low + 1
                     d = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                    window = hashed.of(np.repeat(s, n) - d, np.repeat(s, n) - d + length)
-                    columns.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(window.view(np.int64))))
+                    window = np.fromiter((digest(data[a : a + length]) for a in (np.repeat(s, n) - d).tolist()), np.int64, len(d))
+                    columns.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(window)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "q", "k", "first", "last", "low", "high", "core", "whole", *(["windows"] if windows else [])])
 
     return run
@@ -353,18 +357,34 @@ def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
 # --- the operator --------------------------------------------------------------------------------
 
 
-def _contexts():
+def _stretches(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_hash, stretch, at, data): each text's bytes in stretches of ``STRETCH``, with ``length`` bytes more on both sides."""
+    cut = docs.select(*_KEY, F.encode("text", "utf-8").alias("data"))
+    cut = cut.select(*_KEY, "data", F.explode(F.sequence(F.lit(0), F.expr(f"CAST(octet_length(data) DIV {STRETCH} AS INT)"))).alias("stretch"))
+    at = F.greatest(F.col("stretch") * STRETCH - length, F.lit(0))
+    return cut.select(*_KEY, "stretch", at.alias("at"), F.substring("data", at + 1, F.lit(STRETCH + 2 * length)).alias("data"))
+
+
+def _contexts(most: int = 8 << 20):
+    names = [*_KEY, "q", "lhs", "rhs", "m", "k", "large", "context"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*out)) or [()] * len(names), kinds)], names=names)
+
     def run(batches):
+        out, held = [], 0
         for batch in batches:
-            out = {n: [] for n in (*_KEY, "q", "lhs", "rhs", "m", "k", "large", "context")}
-            for doc_id, text_hash, text, items in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = text.encode("utf-8", "replace")
-                for it in items:
+            for doc_id, text_hash, at, data, items in zip(*batch.columns):
+                doc_id, text_hash, at, data = (x.as_py() for x in (doc_id, text_hash, at, data))
+                for it in items.as_py():
                     q, lhs, rhs = it["q"], it["lhs"], it["rhs"]
-                    for n, v in (("doc_id", doc_id), ("text_hash", text_hash), ("q", q), ("lhs", lhs), ("rhs", rhs), ("m", it["m"]), ("k", it["k"]), ("large", it["large"]), ("context", data[q - lhs : q + rhs])):
-                        out[n].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+                    out.append((doc_id, text_hash, q, lhs, rhs, it["m"], it["k"], it["large"], data[q - at - lhs : q - at + rhs]))
+                    held += lhs + rhs
+                    if held > most:
+                        yield packed(out)
+                        out, held = [], 0
+        yield packed(out)
 
     return run
 
@@ -382,9 +402,10 @@ def spans(documents: DataFrame, length: int = 200, most: int = 500) -> DataFrame
     kinds = materialize(repeated.where("mixed").groupBy("m", "f").agg(F.count("*").alias("k"), F.min(F.struct(*_KEY, "q", "lhs", "rhs")).alias("one")), "kinds")
     sizes = materialize(kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.min("k").alias("least")).where("least = 1").select("m", F.expr(f"kinds > {most}").alias("large")), "gram-sizes")
     chosen = materialize(kinds.join(sizes, "m").select("one.*", "m", "k", "large"), "compared")
-    per_doc = chosen.groupBy(*_KEY).agg(F.collect_list(F.struct("q", "lhs", "rhs", "m", "k", "large")).alias("items"))
+    stretch = F.expr(f"q DIV {STRETCH}").cast("int").alias("stretch")
+    parts = chosen.groupBy(*_KEY, stretch).agg(F.collect_list(F.struct("q", "lhs", "rhs", "m", "k", "large")).alias("items"))
     schema = "doc_id long, text_hash long, q int, lhs short, rhs short, m long, k long, large boolean, context binary"
-    contexts = materialize(docs.join(per_doc, _KEY).select(*_KEY, "text", "items").mapInArrow(_contexts(), schema), "contexts")
+    contexts = materialize(_stretches(docs, length).join(parts, [*_KEY, "stretch"]).select(*_KEY, "at", "data", "items").mapInArrow(_contexts(), schema), "contexts")
     small = contexts.where("not large").drop("large").repartition("m").sortWithinPartitions("m").mapInArrow(_sorter(length), "doc_id long, text_hash long, start int, end int")
     part = small.unionByName(_large_groups(contexts.where("large"), length))
     single = chosen.where("k = 1").select(*_KEY, "q")
@@ -455,10 +476,11 @@ def remove(documents: DataFrame, length: int = 200) -> DataFrame:
 
     n_chars, where there is one, is counted anew. Rows stay, whatever is left of their texts.
     """
-    found = spans(documents, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    i, h, c = unused(documents.columns, "id", "hash", "cuts")
+    found = spans(documents, length).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(c))
     release(documents.sparkSession)
-    marked = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")})
-    rows = marked.join(found, ["_id", "_hash"], "left").select(*documents.columns, "_spans")
+    marked = documents.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), h: F.xxhash64("text")})
+    rows = marked.join(found, [i, h], "left").select(*documents.columns, c)
     at = documents.columns.index("text")
 
     def run(batches):

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from oracle import assert_same, duck
@@ -94,9 +95,10 @@ def plain_cut(texts, length=200):
         yield len(t), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("most", [500, 1])
-def test_substrings(spark, most, monkeypatch):
+@pytest.mark.parametrize("most, stretch", [(500, 1 << 20), (1, 300)])
+def test_substrings(spark, most, stretch, monkeypatch):
     monkeypatch.setattr(substrings.spans, "__defaults__", (200, most))
+    monkeypatch.setattr(substrings, "STRETCH", stretch)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9)))
     passage = " ".join(word() for _ in range(60))
@@ -106,12 +108,13 @@ def test_substrings(spark, most, monkeypatch):
         texts.append(own[: len(own) // 2] + passage[rng.randrange(40) : len(passage) - rng.randrange(40)] + own[len(own) // 2 :])
     texts += [texts[0], "ab " * 150, "x" * 199, "y" * 200, "y" * 200, "z" * 5000, "", None, "short", passage[:199], passage[:200]]
     rows = list(enumerate(texts)) + [(900, texts[3]), (900, texts[3])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("q", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"q": F.lit("clash"), "_hash": F.col("doc_id") + 1, "id": F.lit("mine"), "Cuts": F.lit(3)})
     want = collections.Counter(zip((d for d, _ in rows), plain_cut([(t or "").encode() for _, t in rows])))
     got = collections.Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in substrings.digests(df).collect())
     assert got == want
     out = substrings.remove(df)
     assert out.columns == df.columns and out.count() == len(rows)
+    assert out.where("q = 'clash' and _hash = doc_id + 1 and id = 'mine' and Cuts = 3").count() == len(rows)
     assert out.where("doc_id = 900 and text = ''").count() == 2
     assert substrings.digests(df.limit(0)).count() == 0
 
@@ -135,6 +138,33 @@ def test_misled_hashes_are_caught():
     assert right_order.tolist() == want and right_lcp.tolist() == lcp.tolist()
 
 
+class Weak(substrings.Hashed):
+    """Polynomial hashes cut to two bits: most of them collide."""
+
+    def of(self, start, end):
+        return super().of(start, end) & np.uint64(3)
+
+
+def test_weak_hashes_remove_nothing_wrongly(monkeypatch):
+    rng = random.Random(5)
+    gram = bytes(rng.choice(b"ab") for _ in range(48))
+    tail = bytes(rng.choice(b"ab") for _ in range(152))
+    contexts = [bytes(rng.choice(b"ab") for _ in range(152)) + gram + (tail if i % 3 else bytes(rng.choice(b"ab") for _ in range(152))) for i in range(30)]
+    left, right, group = np.full(30, 152), np.full(30, 200), np.zeros(30, dtype=np.int64)
+    want = substrings.repeats(contexts, left, right, group, 200)
+    assert [bool(x) for x in want[0] + want[1]] == [i % 3 > 0 for i in range(30)]
+    monkeypatch.setattr(substrings, "Hashed", Weak)
+    got = substrings.repeats(contexts, left, right, group, 200)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    fields = {"doc_id": group, "text_hash": group, "q": np.arange(30, dtype=np.int32), "lhs": left.astype(np.int16), "rhs": right.astype(np.int16), "k": group + 1, "first": group.astype(np.int16), "last": (group + 200).astype(np.int16)}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, fields.values()), pa.array(contexts)], names=[*fields, "context"])
+    seen = collections.defaultdict(set)
+    for out in substrings._blocks(200, 40, False)([batch]):
+        for r in out.to_pylist():
+            seen[r["core"], r["whole"]].add(contexts[r["q"]][152 - r["high"] : 152 + 200 - r["low"]])
+    assert seen and all(len(v) == 1 for v in seen.values())
+
+
 def test_embeddings_against_sql(spark):
     assert_same(queries.op8_embeddings(spark, SF), duck(SF), queries.ORACLE_SQL["op8_embeddings"])
 
