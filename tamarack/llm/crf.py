@@ -25,32 +25,65 @@ class Layout:
         return self.starts[: self.active[t]] + t
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Forward-backward. ``emission`` (n, K) and ``trans`` (K, K) are log scores.
+def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False, block: int = 256):
+    """Forward-backward over whole sequences. ``emission`` (n, K) and ``trans`` (K, K) are log scores.
 
-    Returns the label marginals (n, K) and, if asked, the expected transition counts (K, K).
+    Returns the label marginals (n, K) and, if asked, the expected transition counts (K, K). Sequences are worked on in blocks
+    of ``block`` items side by side: the product of a block's transfer matrices carries the sums from block to block, so
+    the result is that of the whole chain, while the loops run over one block's items and over the blocks of the longest sequence.
     """
-    lay = Layout(lengths)
-    e = np.exp(emission - emission.max(axis=1, keepdims=True)) if len(emission) else emission
+    lengths = np.asarray(lengths, dtype=np.int64)
+    k, n = trans.shape[0], len(emission)
+    e = np.exp(emission - emission.max(axis=1, keepdims=True)) if n else emission
     a = np.exp(trans - trans.max())
-    alpha = np.empty_like(e)
-    scale = np.ones(len(e))
+    parts = -(-lengths // block)
+    rank = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    sizes = np.minimum(block, np.repeat(lengths, parts) - rank * block)
+    longer = np.repeat(parts > 1, parts)
+    lay = Layout(sizes)
+    by_size = np.argsort(-sizes, kind="stable")  # the order of the layout
+    starts = np.cumsum(sizes) - sizes
+    before, after = np.ones((len(sizes), k)), np.ones((len(sizes), k))  # sums that enter each block from its neighbours
+    if longer.any():
+        own = by_size[longer[by_size]]  # blocks of sequences of several blocks, longest first
+        step = np.where((rank[own] > 0)[:, None, None], a, np.eye(k)) * e[starts[own]][:, None, :]
+        for t in range(1, int(sizes[own].max())):
+            go = np.searchsorted(-sizes[own], -t, side="left")  # the first of them reach item t
+            step[:go] = (step[:go] @ a) * e[starts[own[:go]] + t][:, None, :]
+            step[:go] /= step[:go].max(axis=(1, 2), keepdims=True)
+        transfer = np.zeros((len(sizes), k, k))
+        transfer[own] = step
+        for r in range(1, int(parts.max())):
+            at = np.flatnonzero(rank == r)
+            now = np.einsum("bi,bij->bj", before[at - 1], transfer[at - 1])
+            before[at] = now / now.sum(axis=1, keepdims=True)
+        for r in range(int(parts.max()) - 1, 0, -1):
+            at = np.flatnonzero(rank == r)
+            now = np.einsum("bij,bj->bi", transfer[at], after[at])
+            after[at - 1] = now / now.sum(axis=1, keepdims=True)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones(n)
+    if n:
+        beta[starts[sizes > 0] + sizes[sizes > 0] - 1] = after[sizes > 0]
     for t in range(len(lay.active)):
         idx = lay.at(t)
-        now = e[idx] if t == 0 else (alpha[idx - 1] @ a) * e[idx]
+        if t == 0:
+            b = by_size[: len(idx)]
+            now = np.where((rank[b] > 0)[:, None], before[b] @ a, 1.0) * e[idx]
+        else:
+            now = (alpha[idx - 1] @ a) * e[idx]
         total = now.sum(axis=1)
         alpha[idx], scale[idx] = now / total[:, None], total
-    beta = np.ones_like(e)
-    expected = np.zeros_like(a)
     for t in range(len(lay.active) - 1, 0, -1):
         idx = lay.at(t)
-        up = beta[idx] * e[idx] / scale[idx][:, None]
-        beta[idx - 1] = up @ a.T
-        if pairs:
-            expected += (alpha[idx - 1].T @ up) * a
+        beta[idx - 1] = (beta[idx] * e[idx] / scale[idx][:, None]) @ a.T
     out = alpha * beta
     out /= np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
-    return (out, expected) if pairs else out
+    if not pairs:
+        return out
+    inner = np.setdiff1d(np.arange(n), np.cumsum(lengths) - lengths)
+    x, y = alpha[inner - 1], e[inner] * beta[inner]
+    y = y / np.maximum(((x @ a) * y).sum(axis=1, keepdims=True), 1e-300)
+    return out, (x.T @ y) * a
 
 
 def viterbi(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:

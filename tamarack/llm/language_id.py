@@ -2,12 +2,13 @@
 
 Emissions come from hashed affixes and character n-grams (sizes 2 to 4 with the word's edges) and
 from a lexicon of words seen in training; transitions between neighbouring words are learned with
-them, so runs of one language inside code-switched text hold together. A chain starts anew after
-every 256 words, so that the recursions stay short on very long texts. A text's language has the
-largest share of its words' marginals.
+them, so runs of one language inside code-switched text hold together. A text is one chain, whatever its
+length. A text's language has the largest share of its words' marginals.
 
 Null text, or a text without a letter: ``und``, score 0. Words are runs of letters; a very long text
-is labelled whole. Rows that repeat are predicted alike. Nothing but the text is read for a prediction.
+is labelled whole. Every language that a row to learn from names is learned; equal words and repeated rows count as
+often as they stand there, and ties go to the language first in order. Rows that repeat are predicted alike. Nothing but
+the text is read for a prediction.
 """
 
 from __future__ import annotations
@@ -20,28 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import materialize, remainder, slices
 from .crf import Adam, marginals
 from .subword import Subwords
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES, BITS = (2, 3, 4), 16
-CHAIN = 256
+#: Weights of a table of n-grams at most, over all languages: with more than 64 of them, n-grams share more places.
+WEIGHTS = 1 << 22
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def chains(lengths: np.ndarray) -> np.ndarray:
-    """Lengths of the chains that texts of so many words fall into."""
-    lengths = np.asarray(lengths, dtype=np.int64)
-    n = -(-lengths // CHAIN)
-    out = np.full(n.sum(), CHAIN, dtype=np.int64)
-    last = np.cumsum(n)[n > 0] - 1
-    out[last] = (lengths - (n - 1) * CHAIN)[n > 0]
-    return out
+    """Runs of letters in lower case; numerals and marks that the pattern takes for letters part words."""
+    words = WORD.findall(text.lower()) if text else []
+    if not words or text.isascii():
+        return words
+    return [x for w in words for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Emissions:
@@ -57,7 +53,7 @@ class Emissions:
             self.index, self.rows = {}, self.rows[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.index]
         if new:
-            scores = Subwords(new, SIZES, BITS).sums(self.model["tables"])
+            scores = Subwords(new, SIZES, self.model["bits"]).sums(self.model["tables"])
             lexicon = self.model["lexicon"]
             at = np.fromiter((lexicon.get(w, -1) for w in new), np.int64, len(new))
             scores[at >= 0] += self.model["lexicon_weights"][at[at >= 0]]
@@ -77,56 +73,65 @@ def train(texts: list[str], langs: list[str], epochs: int = 25, rate: float = 0.
     vocab = list(counts)
     lexicon = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= min_count))}
     k = len(languages)
-    tables = [np.zeros((1 << BITS, k)) for _ in SIZES]
+    bits = min(BITS, int(np.log2(WEIGHTS / max(1, k))))
+    tables = [np.zeros((1 << bits, k)) for _ in SIZES]
     lex, trans = np.zeros((len(lexicon), k)), np.eye(k)
-    model = {"languages": languages, "tables": tables, "lexicon": lexicon, "lexicon_weights": lex, "trans": trans}
+    model = {"languages": languages, "bits": bits, "tables": tables, "lexicon": lexicon, "lexicon_weights": lex, "trans": trans}
     if not docs:
         return model
-    sub = Subwords(vocab, SIZES, BITS)
+    sub = Subwords(vocab, SIZES, bits)
     place = {w: i for i, w in enumerate(vocab)}
     flat = np.fromiter((place[w] for d in docs for w in d), np.int64)
     lengths = np.array([len(d) for d in docs])
-    y = np.repeat(gold, lengths)
+    gold = np.array(gold)
+    total = len(flat)
     at = np.fromiter((lexicon.get(w, -1) for w in vocab), np.int64, len(vocab))
-    seen = np.zeros((k, k))
-    for g, n in zip(gold, lengths):
-        seen[g, g] += n - -(-n // CHAIN)
-    lengths = chains(lengths)
-    hot = np.eye(k)[y]
     steps = [Adam(t.shape, rate) for t in (*tables, lex, trans)]
+    # texts are worked on by the million of marginals
+    ends = np.cumsum(lengths)
+    cuts = np.searchsorted(ends, np.arange(0, total, max(1, (4 << 20) // k)), side="right")
+    cuts = np.unique(np.append(cuts, len(docs)))
     for _ in range(epochs):
         emission = sub.sums(tables)
         emission[at >= 0] += lex[at[at >= 0]]
-        p, expected = marginals(emission[flat], lengths, trans, pairs=True)
-        diff = (hot - p) / len(y)
-        per_word = np.stack([np.bincount(flat, weights=diff[:, j], minlength=len(vocab)) for j in range(k)], axis=1)
+        per_word, change = np.zeros((len(vocab), k)), np.zeros((k, k))
+        for a, b in zip(cuts, cuts[1:]):
+            words = flat[ends[a] - lengths[a] : ends[b - 1]]
+            p, expected = marginals(emission[words], lengths[a:b], trans, pairs=True)
+            p = -p
+            p[np.arange(len(p)), np.repeat(gold[a:b], lengths[a:b])] += 1
+            for j in range(k):
+                per_word[:, j] += np.bincount(words, weights=p[:, j], minlength=len(vocab))
+            change += np.diag(np.bincount(gold[a:b], weights=lengths[a:b] - 1, minlength=k)) - expected
+        per_word /= total
         for ids, word, table, step in zip(sub.ids, sub.word, tables, steps):
-            grad = np.stack([np.bincount(ids, weights=per_word[word, j], minlength=1 << BITS) for j in range(k)], axis=1)
+            grad = np.stack([np.bincount(ids, weights=per_word[word, j], minlength=1 << bits) for j in range(k)], axis=1)
             step.step(table, grad - decay * table)
         grad = np.zeros_like(lex)
         grad[at[at >= 0]] = per_word[at >= 0]
         steps[-2].step(lex, grad - decay * lex)
         # a prior count keeps switches possible, although each training text has one language
-        steps[-1].step(trans, (seen - expected) / len(y) - 1e-3 * trans)
+        steps[-1].step(trans, change / total - 1e-3 * trans)
     for t in tables:
         t[:] = np.round(t, 5)
     model["tables"] = [t.astype(np.float32) for t in tables]
     return model
 
 
-def fit(documents: DataFrame, per_language: int = 120) -> dict:
-    """Learn from about ``per_language`` documents of each language (the bound of the sample).
+def fit(documents: DataFrame, per_language: int = 120, in_all: int = 4000) -> dict:
+    """Learn from about ``per_language`` documents of each language (the bound of the sample), of very many languages fewer: about ``in_all`` in all, but eight of each.
 
     Only rows whose crc32(doc_id as text) mod 5 isn't 0 and whose lang isn't null. Which of them is a
     matter of the hash of doc_id; the languages themselves are counted over all rows.
     """
     rows = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id") != 0))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not counts:
-        return train([], [])
-    wanted = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    counts = materialize(rows.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("n")), "languages")
+    known = counts.count()
+    each = min(per_language, max(8, in_all // max(1, known)))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    got = rows.where(share < wanted[F.col("lang")]).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * per_language * len(counts)).collect()
+    # a row for each language, all of which the model holds anyway; small languages give all they have
+    some = rows.select("doc_id", "text", "lang").join(F.broadcast(counts), F.col("lang") == F.col("name")).where(share * F.col("n") < each)
+    got = some.select("doc_id", "text", "lang").orderBy("doc_id", "text", "lang").limit(2 * each * max(1, known)).collect()
     return train([r.text for r in got], [r.lang for r in got])
 
 
@@ -137,7 +142,7 @@ def label_words(texts: list[str | None], emissions: Emissions) -> tuple[np.ndarr
     flat = [w for d in docs for w in d]
     if not emissions.model["languages"]:
         return np.zeros((len(flat), 1)), lengths
-    return marginals(emissions(flat), chains(lengths), emissions.model["trans"]), lengths
+    return marginals(emissions(flat), lengths, emissions.model["trans"]), lengths
 
 
 def predict(documents: DataFrame, model: dict) -> DataFrame:

@@ -1,6 +1,8 @@
 """Learned operators: decoding against brute force, and held-out accuracy on the test tables."""
 
+import collections
 import itertools
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,10 +42,81 @@ def test_subwords_are_those_of_each_word_alone():
             assert sorted(a) == sorted(ids[owner == i])
 
 
-def test_chains_cover_each_text():
-    lengths = np.array([0, 1, 256, 257, 1000])
-    out = language_id.chains(lengths)
-    assert out.sum() == lengths.sum() and out.max() <= 256 and len(out) == 0 + 1 + 1 + 2 + 4
+def test_blocks_carry_the_whole_chain():
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 0, 7, 23, 4, 8])
+    emission, trans = rng.normal(size=(lengths.sum(), 3)) * 2, rng.normal(size=(3, 3)) * 2
+    want, pairs = crf.marginals(emission, lengths, trans, pairs=True, block=1000)
+    for block in (1, 2, 4, 7):
+        got, expected = crf.marginals(emission, lengths, trans, pairs=True, block=block)
+        assert np.allclose(got, want) and np.allclose(expected, pairs)
+    # a first word that settles all others reaches to the end of a text of 5000 words
+    emission, trans = np.zeros((5000, 2)), np.array([[0.0, -40.0], [-40.0, 0.0]])
+    emission[0] = (30, 0)
+    assert (crf.marginals(emission, np.array([5000]), trans)[:, 0] > 0.999).all()
+
+
+def test_words_are_letters_only():
+    assert language_id.words_of("½ ² ⅷ ١") == [] and language_id.words_of("a½b Été٣x _y") == ["a", "b", "été", "x", "y"]
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "WEIGHTS", 1 << 19)
+    rng = np.random.default_rng(6)
+    word = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" + "".join(rng.choice(list("aeiou"), 3))
+    rows = [(3 * i + j, " ".join(word(i) for _ in range(30)), f"l{i:03}") for i in range(300) for j in range(3)]
+    df = spark.createDataFrame(rows + [(9000, "½ ²", "l001"), (9001, None, None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    learned = {r.lang for r in df.where("lang is not null and pmod(crc32(cast(doc_id as string)), 5) != 0").select("lang").distinct().collect()}
+    assert model["languages"] == sorted(learned) and len(learned) > 256
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    assert (got[9000].lang_pred, got[9000].score) == (got[9001].lang_pred, got[9001].score) == ("und", 0.0)
+    known = [(i, lang) for i, _, lang in rows if lang in learned]
+    assert np.mean([got[i].lang_pred == lang for i, lang in known]) > 0.9
+
+
+def test_code_switched_text():
+    rng = np.random.default_rng(8)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(60)] for lang, letters in (("x", "abcde"), ("y", "fghij"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    model = language_id.train([text(lang, 40) for lang in "xyxyxy"], list("xyxyxy"))
+    p, lengths = language_id.label_words([text("x", 3000) + " " + text("y", 2500), text("y", 3)], language_id.Emissions(model))
+    assert lengths.tolist() == [5500, 3]
+    assert (p[:, 0] > 0.5).tolist() == [True] * 3000 + [False] * 2503
+
+
+def plain_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = collections.Counter(windows)
+    inside = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside)
+
+
+def test_base_counts_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = queries.op1_quality_rules(spark, SF).collect()
+    want = collections.Counter()
+    for doc_id, text in docs:
+        n = plain_base(text or "")
+        want[(doc_id, *n, n[0] < 50 or 100 * n[4] > 50 * n[0])] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.content_share >= 0.5) for r in got)
+
+
+def test_labels_switch_inside_a_text():
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join(rng.choice(["river", "stone", "harbour", "walked", "quietly", "evening"], 12)).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(["BUY", "NOW", "###", "$$$", "99", "!!!"], 6))
+    texts = ["\n".join(f() for _ in range(8)) for f in (good, bad) * 30]
+    model = line_quality.train(texts, [1, 0] * 30)
+    lines = [good() for _ in range(5)] + [bad() for _ in range(4)] + [good() for _ in range(3)]
+    rows, sizes = line_quality.line_features("\n".join(lines).encode())
+    labels = crf.viterbi(model["weights"][line_quality.buckets(rows)].sum(axis=1), np.array([len(rows)]), model["trans"])
+    assert labels.tolist() == [0] * 5 + [1] * 4 + [0] * 3
+    share = line_quality.content_shares(["\n".join(lines).encode()], model)[0]
+    assert abs(share - sum(s for s, y in zip(sizes, labels) if y == 0) / sum(sizes)) < 1e-12
 
 
 def test_base_counts():
