@@ -1,11 +1,14 @@
 """Quality rules: a linear-chain CRF labels each line content or boilerplate; content share decides.
 
 The CRF is learned from documents whose quality is labelled: lines of a document of quality 1 stand
-for content and those of quality 0 for boilerplate (distant labels; the chain smooths over clean
-lines inside bad documents). Viterbi decoding labels the lines of every whole text.
+for content and those of quality 0 for boilerplate at first (distant labels). What a first CRF then finds clearly of the other
+kind by its own features, whatever its neighbours, is labelled so: boilerplate lines of good documents and clean lines
+of bad ones. The second CRF learns from these, from the documents and from as many texts spliced of runs of good and bad
+ones, so that its transitions know how labels switch inside a text. Viterbi decoding labels the lines of every whole text.
 
 Null text counts as empty: no words, base rules fail, not kept. A text of one very long line is one
-line. Rows that repeat are judged alike, each on its own. Other columns of the input are not read.
+line. Rows that repeat are judged alike, each on its own, and ties of two labels go to content. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, remainder
+from .common import hash_sample, remainder, slices
 from .crf import Adam, marginals, viterbi
 
 SYMBOLS = "#*$%&|<>"
@@ -88,22 +91,10 @@ def buckets(rows: list[tuple]) -> np.ndarray:
     return np.stack([np.searchsorted(np.array(e), raw[:, k], side="left") + OFFSETS[k] for k, e in enumerate(EDGES)], axis=1)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.1, decay: float = 1e-4) -> dict:
-    """Weights by gradient ascent on the likelihood of the line labels (Adam, full batch)."""
+def _learn(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, epochs: int, rate: float, decay: float) -> dict:
     weights, trans = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    feats, lengths, gold = [], [], []
-    for text, quality in zip(texts, labels):
-        rows, _ = line_features((text or "").encode("utf-8", "replace"))
-        if rows:
-            feats.extend(rows)
-            lengths.append(len(rows))
-            gold.extend([CONTENT if quality else BOILERPLATE] * len(rows))
-    if not feats:
-        return {"weights": weights, "trans": trans}
-    x, y, lengths = buckets(feats), np.array(gold), np.array(lengths)
     hot = np.eye(2)[y]
-    ends = np.cumsum(lengths)
-    inner = np.setdiff1d(np.arange(1, len(y)), ends)
+    inner = np.setdiff1d(np.arange(1, len(y)), np.cumsum(lengths))
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[inner - 1], y[inner]), 1)
     a, b = Adam(weights.shape, rate), Adam(trans.shape, rate)
@@ -116,6 +107,44 @@ def train(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0
     return {"weights": weights, "trans": trans}
 
 
+def splices(lengths: np.ndarray, quality: np.ndarray, rng: np.random.Generator, mean: int = 6) -> list[np.ndarray]:
+    """Lines (their numbers) of texts that take turns: a run of a good text, a run of a bad one, and so on to the ends of both."""
+    starts = np.cumsum(lengths) - lengths
+    good, bad = (rng.permutation(np.flatnonzero(quality == q)) for q in (1, 0))
+    out = []
+    for i in range(len(lengths) if len(good) and len(bad) else 0):
+        pair = [good[i % len(good)], bad[i % len(bad)]]
+        at, turn, lines = [0, 0], i % 2, []
+        while at[turn] < lengths[pair[turn]]:
+            end = min(at[turn] + int(rng.geometric(1 / mean)), lengths[pair[turn]])
+            lines.append(np.arange(at[turn], end) + starts[pair[turn]])
+            at[turn], turn = end, 1 - turn
+        out.append(np.concatenate(lines))
+    return out
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.1, decay: float = 1e-4, sure: float = 0.9) -> dict:
+    """Weights by gradient ascent on the likelihood of the line labels (Adam, full batch)."""
+    feats, lengths, quality = [], [], []
+    for text, good in zip(texts, labels):
+        rows, _ = line_features((text or "").encode("utf-8", "replace"))
+        if rows:
+            feats.extend(rows)
+            lengths.append(len(rows))
+            quality.append(int(bool(good)))
+    if not feats:
+        return {"weights": np.zeros((N_FEATURES, 2)), "trans": np.zeros((2, 2))}
+    x, lengths, quality = buckets(feats), np.array(lengths), np.array(quality)
+    y = np.repeat(np.where(quality == 1, CONTENT, BOILERPLATE), lengths)
+    first = _learn(x, y, lengths, epochs, rate, decay)
+    score = first["weights"][x].sum(axis=1)
+    clear = np.abs(score[:, 0] - score[:, 1]) >= np.log(sure / (1 - sure))
+    y = np.where(clear, score.argmax(axis=1), y)
+    mixed = splices(lengths, quality, np.random.default_rng(3))
+    lines = np.concatenate([np.arange(len(y)), *mixed])
+    return _learn(x[lines], y[lines], np.concatenate((lengths, np.array([len(m) for m in mixed], dtype=np.int64))), epochs, rate, decay)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> dict:
     """Learn from at most ``sample`` labelled documents that aren't held out (crc32 of doc_id mod 5 isn't 0).
 
@@ -152,8 +181,7 @@ def judge(documents: DataFrame, model: dict, min_share: float = 0.5, min_words:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
                 shares = content_shares(texts, shared.value)
                 counts = [base_counts(t) for t in texts]
