@@ -3,8 +3,8 @@
 Vectors link when their labels are equal and their cosine in double precision is ``threshold`` or more. Equal
 vectors are compared once and counted as often as they occur. Each label's vectors are dealt into
 tiles along the principal directions of a bounded sample; the tiles' boxes in those directions bound the
-distance of unit vectors from below, so tile pairs that can't hold a link are skipped without loss. In a pair of
-tiles every vector is quantised to int8 with a scale of its own; the norm of what quantising
+distance of unit vectors from below, so tile pairs that can't hold a link are skipped without loss, and of the others
+only vectors that come near enough to the other tile's box take part. In a pair of tiles every vector is quantised to int8 with a scale of its own; the norm of what quantising
 took away bounds the error of each product, and only pairs whose bound reaches the threshold are
 computed in double precision.
 
@@ -102,8 +102,10 @@ def _tile_links(threshold: float):
     def run(batches):
         for _, (_, side, rep, weight, vector) in groups_of(batches):
             unit = _matrix(vector)
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            same = not len(right)
+            same = side[0] == 2
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
+            if not len(left) or not same and not len(right):
+                continue
             i, j = linked(unit[left], unit[left if same else right], threshold)
             i, j = left[i], (left if same else right)[j]
             if same:
@@ -124,7 +126,7 @@ def _tile_links(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024, sample: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 512, sample: int = 4096) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept. The directions are fitted on ``sample`` vectors at most."""
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST)).alias("vec_id"), F.col("label"), F.transform(F.col("embedding").cast("array<double>"), lambda v: v + 0.0).alias("vector"))
@@ -153,10 +155,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 102
     a, b = boxes.alias("a"), boxes.alias("b")
     gap = " + ".join(f"power(greatest(0D, a.l{k} - b.h{k}, b.l{k} - a.h{k}), 2)" for k in range(DIRECTIONS))
     close = F.expr(f"a.label = b.label AND a.dim = b.dim AND a.tile <= b.tile AND {gap} <= {2 - 2 * threshold + 1e-6}D")
-    pairs = a.join(b, close).select(F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.col("a.tile").alias("first"), F.col("b.tile").alias("second"))
-    pairs = materialize(pairs.withColumn("pair", F.monotonically_increasing_id()), "tile-pairs")
-    uses = pairs.select("label", "dim", "pair", F.expr("explode(if(first = second, array(named_struct('side', 0, 'tile', first)), array(named_struct('side', 0, 'tile', first), named_struct('side', 1, 'tile', second)))) AS u"))
-    work = tiled.join(uses.select("label", "dim", "pair", "u.*"), ["label", "dim", "tile"]).select("pair", "side", "rep", "weight", "vector")
+    box = lambda t: F.struct(*(F.col(f"{t}.{n}{k}").alias(f"{n}{k}") for k in range(DIRECTIONS) for n in "lh"))
+    names = [F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.col("a.tile").alias("first"), F.col("b.tile").alias("second"), box("a").alias("first_box"), box("b").alias("second_box")]
+    pairs = materialize(a.join(b, close).select(*names).withColumn("pair", F.monotonically_increasing_id()), "tile-pairs")
+    # 0 and 1: the sides of a pair; 2: a tile with itself. other: the box that a vector has to come near to
+    ends = F.expr("""if(first = second, array(named_struct('side', 2, 'tile', first, 'other', first_box)),
+        array(named_struct('side', 0, 'tile', first, 'other', second_box), named_struct('side', 1, 'tile', second, 'other', first_box)))""")
+    uses = pairs.select("label", "dim", "pair", F.explode(ends).alias("u")).select("label", "dim", "pair", "u.*")
+    away = " + ".join(f"power(greatest(0D, x[{k}] - other.h{k}, other.l{k} - x[{k}]), 2)" for k in range(DIRECTIONS))
+    t, u = tiled.alias("t"), uses.alias("u")
+    near = F.expr(f"t.label = u.label AND t.dim = u.dim AND t.tile = u.tile AND {away} <= {2 - 2 * threshold + 1e-6}D")
+    work = t.join(u, near).select("pair", "side", "rep", "weight", "vector")
     found = work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_tile_links(threshold), "rep long, links long, root long")
     found = materialize(found, "vector-links")
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -118,9 +118,9 @@ def _range(path: str, offset: int, length: int) -> bytes:
 
 
 def write(pages: DataFrame, folder: str, most: int = 512 << 20) -> DataFrame:
-    """Write the archives below ``folder``; returns the captures (url_key, page_id, file, offset, length)."""
+    """Write the archives below ``folder``; payloads are equal where their SHA-256 is (the records carry SHA-1). Returns the captures (url_key, page_id, file, offset, length)."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"))
     light = materialize(rows.select("page_id", "sha"), "payload-digests")
     first = materialize(light.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("sha", "first"), "first-payloads")
     revisits = light.join(first, "sha").where("NOT page_id <=> first").select(F.coalesce("page_id", F.lit(-1 << 63)).alias("id"), "sha", "first").distinct()
