@@ -9,6 +9,7 @@ from .functions import contacts, markers
 from .functions.values import clamp_score, clean_text, country_hint, is_dach, lead_id, merge_tokens, normalize_category, normalize_domain, normalize_url, parse_confidence, parse_score, split_tokens
 from .operators import budget, classify, facts, merge, pages, search
 from .plans import gates, patches, queue
+from .plans import waterfall as waterfalls
 from .sources.tables import table
 
 FLAGSHIP = "site_grades"
@@ -418,23 +419,29 @@ SELECT conv_id, coalesce(string_agg(t, ' | ' ORDER BY r) FILTER (r <= 3 AND t <>
 def responses_ingested(spark, sf):
     """Pages as archived search answers: JSON bodies are built, parsed and scored, and hits in blocked places dropped."""
     p = table(spark, sf, "pages")
-    hit = F.struct(F.col("url"), F.substring("html", 1, 300).alias("title"), F.substring("html", 300, 400).alias("description"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    hit = F.struct(F.col("url"), title.alias("title"), F.coalesce("html", F.lit("")).alias("description"))
     body = F.to_json(F.struct(F.struct(F.array(hit).alias("results")).alias("web")))
     return search.ingest_search_responses(p.select(F.col("page_id").alias("query_id"), body.alias("body"))).select("query_id", F.col("pos").cast("long").alias("pos"), "domain", "url", "score", F.array_join("signals", "|").alias("signals"))
 
 
+_FILTER = {"active_shop": ["with", "und "], "cart_checkout": ["thing"], "imprint": ["keit"], "wordpress": ["ción"]}
+
+
 def search_filter(spark, sf):
-    """Pages as search results with dictionaries of words that occur: blocked hosts and non-shops out, then the mailing columns."""
-    p = table(spark, sf, "pages").select("page_id", F.col("url"), normalize_domain("url").alias("domain"), F.lit("").alias("title"), F.substring(pages.html_text("html"), 1, 400).alias("snippet"), (F.col("page_id") % 101).cast("int").alias("score"), F.array(F.when(F.col("page_id") % 2 == 0, "active_shop").otherwise("imprint")).alias("signals"))
-    text = F.col("snippet")
-    dropped = search.looks_like_non_shop(text, F.col("url"), ["eauaux"], ["thing"], ["keit"])
-    kept = p.where(~search.is_blocked(F.col("domain"), ["casino", "bets"]) & ~dropped & (F.col("score") >= 20) & F.array_contains("signals", "active_shop"))
-    return kept.select("page_id", "domain", "score")
+    """Pages as search results with dictionaries of words that occur: signals and score from the whole text, blocked hosts and non-shops out."""
+    p = table(spark, sf, "pages").select("page_id", "url", normalize_domain("url").alias("domain"), F.lit("").alias("title"), pages.html_text("html").alias("snippet"))
+    p = p.withColumn("signals", search.signals(F.col("snippet"), F.col("url"), _FILTER))
+    p = p.withColumn("score", search.search_score(F.col("signals"), F.lit(""), F.lit("")))
+    kept = search.qualified_leads(p, 20, ["active_shop"], ["casino", "bets"], (["eauaux"], ["thing"], ["keit"]))
+    return kept.select("page_id", "domain", "score", F.array_join("signals", "|").alias("signals"))
 
 
-SEARCH_FILTER = f"""WITH s AS (SELECT page_id, {HOST} AS domain, lower(substr({TEXT}, 1, 400)) AS snippet, lower(url) AS u, (page_id % 101)::INT AS score FROM pages)
-SELECT page_id, domain, score FROM s WHERE domain <> '' AND NOT regexp_matches(domain, '^(demo|dev|staging|test)\\.') AND NOT contains(domain, 'casino') AND NOT contains(domain, 'bets') AND score >= 20 AND page_id % 2 = 0
-AND NOT (contains(substr(snippet, 1, 180) || ' ' || domain, 'eauaux') OR (NOT contains(snippet || ' ' || u, 'thing') AND contains(snippet || ' ' || u, 'keit')))"""
+_HAS = {label: " OR ".join(f"contains(every, '{w}')" for w in words) for label, words in _FILTER.items()}
+SEARCH_FILTER = f"""WITH t AS (SELECT page_id, {HOST} AS domain, lower({TEXT}) AS snippet, lower({TEXT}) || ' ' || lower(url) AS every FROM pages),
+s AS (SELECT *, concat_ws('|', {", ".join(f"CASE WHEN {c} THEN '{label}' END" for label, c in _HAS.items())}) AS signals, ({" + ".join(f"CASE WHEN {c} THEN {search.WEIGHTS[label]} ELSE 0 END" for label, c in _HAS.items())})::INT AS score, ({_HAS["active_shop"]}) AS wanted FROM t)
+SELECT page_id, domain, score, signals FROM s WHERE domain <> '' AND NOT regexp_matches(domain, '^(demo|dev|staging|test)\\.') AND NOT contains(domain, 'casino') AND NOT contains(domain, 'bets') AND score >= 20 AND wanted
+AND NOT (contains(substr(snippet, 1, 180) || ' ' || domain, 'eauaux') OR (NOT contains(every, 'thing') AND contains(every, 'keit')))"""
 
 
 def props_json(spark, sf):
@@ -573,7 +580,9 @@ def results_join(spark, sf):
     return merge.join_handoff_results(leads, results).select("lead_id", "personal_email", "email_verification_status", "email_source", "result_matched")
 
 
-ENRICHMENT_QUEUE = f"""WITH {_Q}, {_STEP.replace(' AND k % 10 <> 0', '')}
+# a queue that is built anew begins with no provider used
+_BEGIN = _STEP.replace(" AND k % 10 <> 0", "").replace("AND k % 14 = 0", "AND false").replace("AND k % 18 = 0", "AND false")
+ENRICHMENT_QUEUE = f"""WITH {_Q}, {_BEGIN}
 SELECT 'lead_' || substr(sha1('c' || k || '.example.de'), 1, 12) AS lead_id, 'c' || k || '.example.de' AS domain, lead_quality, next_step AS next_enrichment_step,
   CASE WHEN next_step LIKE 'serper%' THEN 'serper' WHEN next_step LIKE 'firecrawl%' THEN 'firecrawl' WHEN next_step LIKE 'tavily%' THEN 'tavily' WHEN next_step LIKE 'clay%' THEN 'clay' ELSE '' END AS provider_recommended,
   CASE WHEN kind = 'shop' THEN 'verified' ELSE 'review' END AS input_bucket, CASE WHEN lead_quality = 'A++' AND target AND k % 8 <> 0 AND k % 13 <> 0 AND k % 31 <> 0 THEN 'true' ELSE 'false' END AS clay_eligible FROM d"""
@@ -615,14 +624,25 @@ def single_pass(spark, sf):
     return rows.withColumn("g", gate).groupBy("priority", F.col("g.status").alias("status")).agg(F.count("*").alias("n_leads"))
 
 
+def _answers(spark, sf) -> dict[str, DataFrame]:
+    """Archived answers for the customers, from their keys: imprints and people in search hits, scraped imprints, research."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("lead_"), F.col("c_custkey")).alias("lead_id"), F.col("c_custkey").alias("k"))
+    site = F.concat(F.lit("https://c"), "k", F.lit(".example.de/"))
+    hits = c.select("lead_id", "k", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("qno"))
+    good = F.col("k") % 3 + 1 == F.col("qno")
+    hits = hits.select("lead_id", "qno", F.lit(1).alias("position"), F.when(good, "Geschäftsführer: Erika Muster").otherwise("Start").alias("title"), F.concat(site, F.when(good, "impressum").otherwise("start")).alias("link"), F.lit("").alias("snippet"))
+    scrapes = c.where("k % 7 != 3").select("lead_id", F.concat(F.lit("Impressum Nordlicht GmbH Geschäftsführer: Erika Muster E-Mail: info@c"), "k", F.lit(".example.de")).alias("markdown"), F.concat(site, F.lit("impressum")).alias("source_url"), F.lit("Impressum").alias("title"), F.lit("").alias("warning"))
+    result = F.struct(F.lit("Inhaber").alias("title"), site.alias("url"), F.lit("Geschäftsführer: Erika Muster").alias("content"), F.lit("").alias("raw_content"))
+    research = c.where("k % 4 != 1").select("lead_id", F.lit("").alias("answer"), F.array(result).alias("hits"), (F.col("k") % 3).cast("int").alias("credits"))
+    return {"serper": hits, "firecrawl": scrapes, "tavily": research}
+
+
 def waterfall(spark, sf):
-    """Two rounds over three providers with budgets; how many leads each served."""
-    rows = _queue(spark, sf)
-    step = gates.next_step(gates.Cells(rows.columns), {"serper": True, "firecrawl": True, "tavily": True})
-    rows = rows.select(F.regexp_extract("lead_id", r"\d+", 0).cast("long").alias("ord"), F.nullif(step["provider"], F.lit("")).alias("provider"), F.lit(2).alias("serper_need"), F.lit(1).alias("firecrawl_need"), F.lit(0).alias("tavily_need"))
-    rows = rows.withColumn("provider", F.when(F.col("provider").isin("serper", "firecrawl"), F.col("provider")))
-    served, _ = budget.provider_rounds(rows, ["serper", "firecrawl"], {"serper": 50, "firecrawl": 20}, {"serper": "serper_need", "firecrawl": "firecrawl_need"})
-    return served.select(F.array_join("served", "|").alias("served")).groupBy("served").agg(F.count("*").alias("n_leads"))
+    """Two rounds of the three providers over the customers' queue, with budgets that a row's need doesn't divide."""
+    rows = _queue(spark, sf).withColumn("ord", F.regexp_extract("lead_id", r"\d+", 0).cast("long"))
+    done, _ = waterfalls.run_waterfall(rows, _answers(spark, sf), {"serper": 61, "firecrawl": 43, "tavily": 31})
+    columns = ["lead_id", "next_enrichment_step", "provider_recommended", "enrichment_status", "imprint_url", "managing_director_name", "managing_director_source", "serper_used", "serper_confidence_score", "firecrawl_used", "firecrawl_confidence_score", "tavily_used", "tavily_confidence_score", "confidence_score", "free_enrichment_status"]
+    return done.select(*columns)
 
 
 def values_parsed(spark, sf):

@@ -1,7 +1,7 @@
 """Budgets, cooldowns, counters and query rotation.
 
-Budgets are running sums over a whole table. They are taken in two levels: sums inside buckets of the
-order, then prefix sums over the few buckets, so that no task holds the table.
+Budgets are running sums over a whole table. They are taken in two levels: sums inside ranges of the order that hold about
+equally many rows, then prefix sums over these few ranges, so that no task holds the table.
 """
 
 from __future__ import annotations
@@ -10,21 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spent_before(rows: DataFrame, cost: Column | str, order: str = "ord", buckets: int = 64, out: str = "spent_before") -> DataFrame:
-    """``rows`` with the sum of ``cost`` over all earlier rows; ``order`` must be a distinct number."""
+def spent_before(rows: DataFrame, cost: Column | str, order: str = "ord", out: str = "spent_before", per_range: int = 200_000) -> DataFrame:
+    """``rows`` with the sum of ``cost`` over all earlier rows; ``order`` must be a distinct number.
+
+    The order's quantiles part the rows into ranges of about ``per_range`` rows, however the numbers are spread
+    (1000 ranges at most: of a longer table each holds more). Costs are summed as decimals of six places, so sums don't depend on the order of adding.
+    """
     cost = F.col(cost) if isinstance(cost, str) else cost
-    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    low, high = (ends.low or 0), (ends.high or 0)
-    step = max(1, -(-(high - low + 1) // buckets))
-    bucketed = rows.withColumns({"_bucket": F.expr(f"cast(floor((cast({order} as double) - {low}) / {step}) as int)"), "_cost": cost.cast("double")})
-    sums = {r["_bucket"]: r.total for r in bucketed.groupBy("_bucket").agg(F.sum("_cost").alias("total")).collect()}  # ``buckets`` rows at most
-    total, before = 0.0, []
-    for b in range(buckets + 1):
+    parts = max(1, min(1000, -(-rows.count() // per_range)))
+    bounds = []
+    if parts > 1:
+        bounds = sorted(set(rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]))
+    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
+    bucketed = rows.withColumns({"_spent_range": F.size(F.filter(edges, lambda b: b < F.col(order))), "_spent_cost": cost.cast("decimal(28,6)")})
+    sums = {r["_spent_range"]: r.total for r in bucketed.groupBy("_spent_range").agg(F.sum("_spent_cost").alias("total")).collect()}  # a row for each range
+    total, before = 0, []
+    for b in range(parts):
         before.append(total)
-        total += sums.get(b) or 0.0
-    earlier = F.get(F.lit(before), F.col("_bucket"))
-    inside = F.expr(f"coalesce(sum(_cost) OVER (PARTITION BY _bucket ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    return bucketed.withColumn(out, earlier + inside).drop("_bucket", "_cost")
+        total += sums.get(b) or 0
+    earlier = F.get(F.array(*(F.lit(str(x)).cast("decimal(38,6)") for x in before)), F.col("_spent_range"))
+    inside = F.expr(f"coalesce(sum(_spent_cost) OVER (PARTITION BY _spent_range ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    return bucketed.withColumn(out, (earlier + inside).cast("double")).drop("_spent_range", "_spent_cost")
 
 
 def row_budget(rows: DataFrame, eligible: Column, limit: int, order: str = "ord") -> DataFrame:
@@ -83,41 +89,3 @@ def daily_counter(events: DataFrame, key: str, amount: Column | None = None, at:
 def daily_usage(used: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """Usage with the limits of its key: what remains of each day's budget, never below zero."""
     return used.join(limits, key).withColumn("remaining", F.greatest(F.lit(0), F.col("daily_limit") - F.col("used")))
-
-
-def provider_rounds(rows: DataFrame, providers: list[str], limits: dict[str, int], need: dict[str, str], rounds: int = 2, checkpoint=None) -> tuple[DataFrame, list[dict]]:
-    """Rounds over providers in order, each granting its budget to rows queued for it, until a round moves none.
-
-    ``rows`` has ``ord``, ``provider`` (the one it is queued for; null: none) and a need column for each provider. A served row
-    leaves its provider's queue; a row that needs several is queued for the next one in order. Budgets are used up
-    across rounds. ``checkpoint`` cuts the plan between steps. Returns the rows with ``served`` and the steps' report.
-    """
-    used = dict.fromkeys(providers, 0)
-    report = []
-    now = rows.withColumn("served", F.array().cast("array<string>"))
-    for turn in range(rounds):
-        moved = 0
-        for p in providers:
-            left = limits.get(p, 0) - used[p]
-            queued = F.col("provider") == p
-            waiting = now.where(queued).limit(1).count()
-            if not waiting:
-                continue
-            if left <= 0:
-                report.append({"round": turn + 1, "provider": p, "status": "skipped", "rows": 0, "spent": 0})
-                continue
-            priced = spent_before(now, F.when(queued, F.col(need[p])).otherwise(0))
-            runs = queued & (F.col("spent_before") < left)
-            following = providers[providers.index(p) + 1 :]
-            later = F.coalesce(*(F.when(F.col(need[q]) > 0, F.lit(q)) for q in following), F.lit(None).cast("string")) if following else F.lit(None).cast("string")
-            now = priced.withColumns({"served": F.when(runs, F.array_append("served", F.lit(p))).otherwise(F.col("served")), "provider": F.when(runs, later).otherwise(F.col("provider")), "_paid": F.when(runs, F.col(need[p])).otherwise(0)}).drop("spent_before")
-            if checkpoint is not None:
-                now = checkpoint(now)
-            got = now.agg(F.sum("_paid").alias("spent"), F.count_if(F.col("_paid") > 0).alias("n")).first()
-            now = now.drop("_paid")
-            used[p] += int(got.spent or 0)
-            moved += got.n
-            report.append({"round": turn + 1, "provider": p, "status": "completed", "rows": got.n, "spent": int(got.spent or 0)})
-        if not moved:
-            break
-    return now, report

@@ -9,7 +9,6 @@ from ..functions import contacts
 from ..functions.values import clean_text, filled, has, let
 from .classify import points
 from .pages import html_text
-from .search import imprint_hit
 
 
 def identity_facts(text: Column) -> dict[str, Column]:
@@ -26,61 +25,28 @@ def identity_facts(text: Column) -> dict[str, Column]:
     }
 
 
-def public_facts(pages: DataFrame, imprint_tokens: tuple[str, ...] = ("impressum", "imprint"), contact_tokens: tuple[str, ...] = ("kontakt", "contact"), most: int = 7) -> DataFrame:
-    """Facts of each domain from its reachable pages (domain, url, status, html, fetch_order), with confidence and parse status.
+def public_facts(pages: DataFrame, imprint_tokens: tuple[str, ...] = ("impressum", "imprint"), contact_tokens: tuple[str, ...] = ("kontakt", "contact")) -> DataFrame:
+    """Facts of each domain from all its reachable pages (domain, url, status, html, fetch_order), with confidence and parse status.
 
-    Texts are joined in page order, ``most`` pages of a domain at most, since names may cross page borders.
+    Facts are found page by page and then gathered by site: of each fact the first that is filled, from imprint pages before contact
+    pages before others, in page order. A name and its form, and a person and their role, come from one page.
     """
     ok = pages.where((F.col("html") != "") & (F.col("status") >= 200) & (F.col("status") < 400))
-    ranked = ok.withColumn("_rank", F.expr("row_number() OVER (PARTITION BY domain ORDER BY fetch_order)")).where(F.col("_rank") <= most)
     hit = lambda tokens: F.exists(F.array(*map(F.lit, tokens)), lambda t: F.lower("url").contains(t))
-    one = F.struct("_rank", html_text("html").alias("text"))
-    grouped = ranked.groupBy("domain").agg(
-        F.array_sort(F.collect_list(one)).alias("texts"),
-        F.coalesce(F.min_by("url", F.when(hit(imprint_tokens), F.col("_rank"))), F.lit("")).alias("imprint_url"),
-        F.coalesce(F.min_by("url", F.when(hit(contact_tokens), F.col("_rank"))), F.lit("")).alias("contact_url"),
-        F.count("*").alias("pages_used"),
-    )
-    text = grouped.withColumn("text", F.array_join(F.transform("texts", lambda x: x["text"]), " ")).drop("texts")
-    facts = text.withColumns(identity_facts(F.col("text")))
-    found = points((has("imprint_url"), 25), (has("legal_name"), 20), (has("managing_director_name"), 20), (has("general_email") | has("phone_main"), 15), (has("address"), 10))
+    kind = F.when(hit(imprint_tokens), 0).when(hit(contact_tokens), 1).otherwise(2)
+    texts = ok.select("domain", "url", F.struct(kind.alias("kind"), "fetch_order").alias("place"), html_text("html").alias("text"))
+    found = texts.withColumns(identity_facts(F.col("text"))).drop("text")
+    first = lambda value, filled_by: F.min_by(value, F.when(F.col(filled_by) != "", F.col("place")))
+    pick = lambda value, filled_by=None: F.coalesce(first(value, filled_by or value), F.lit("")).alias(value)
+    pairs = [("legal_name", "legal_name"), ("legal_form", "legal_name"), ("managing_director_name", "managing_director_name"), ("managing_director_role", "managing_director_name")]
+    url = lambda k, name: F.coalesce(F.min_by("url", F.when(F.col("place.kind") == k, F.col("place"))), F.lit("")).alias(name)
+    lone_form = F.coalesce(first("legal_form", "legal_form"), F.lit("")).alias("_form")
+    facts = found.groupBy("domain").agg(*(pick(v, by) for v, by in pairs), lone_form, *(pick(c) for c in ("address", "general_email", "phone_main")), url(0, "imprint_url"), url(1, "contact_url"), F.count("*").alias("pages_used"))
+    facts = facts.withColumn("legal_form", F.when(has("legal_name"), F.col("legal_form")).otherwise(F.col("_form"))).drop("_form")
+    score = points((has("imprint_url"), 25), (has("legal_name"), 20), (has("managing_director_name"), 20), (has("general_email") | has("phone_main"), 15), (has("address"), 10))
     most_share = F.when(has("imprint_url"), 95).otherwise(75)
-    confidence = F.least(most_share, 20 + found) / 100.0
-    return facts.drop("text").withColumn("confidence_score", confidence).withColumn("imprint_parse_status", F.when(F.col("confidence_score") >= 0.70, "complete").otherwise("low_confidence"))
-
-
-def scrape_facts(scrapes: DataFrame, key: str = "lead_id") -> DataFrame:
-    """Facts of each scraped page (markdown, source_url), with the weights of a scrape."""
-    facts = scrapes.withColumns(identity_facts(clean_text("markdown")))
-    found = points((has("source_url"), 20), (has("legal_name"), 20), (has("managing_director_name"), 25), (has("general_email") | has("phone_main"), 15), (has("address"), 10))
-    own = F.lower("source_url").rlike("impressum|imprint")
-    return facts.withColumn("scrape_confidence", F.least(F.when(own, 97).otherwise(80), 20 + found) / 100.0).drop("markdown")
-
-
-def search_facts(hits: DataFrame, key: str = "lead_id") -> DataFrame:
-    """From the hits of each key and purpose: the imprint on the own domain, or the decision maker, with confidence.
-
-    Takes key, purpose, domain, qno, position, title, link and snippet.
-    """
-    place = F.struct("qno", "position")
-    own = imprint_hit(F.col("link"), F.col("title"), F.col("snippet"), F.col("domain"))
-    part = F.struct("qno", "position", F.concat_ws(" ", "title", "snippet").alias("text"))
-    grouped = hits.groupBy(key, "purpose").agg(F.coalesce(F.min_by("link", F.when(own, place)), F.lit("")).alias("imprint_url"), F.array_sort(F.collect_list(part)).alias("parts"))
-    who = contacts.decision_maker(F.array_join(F.transform("parts", lambda p: p["text"]), " "))
-    out = grouped.withColumns({"imprint_url": F.when(F.col("purpose") == "imprint", F.col("imprint_url")).otherwise(""), "managing_director_name": F.when(F.col("purpose") == "decision_maker", who["name"]).otherwise("")})
-    confidence = F.when(has("imprint_url"), 0.75).when(has("managing_director_name"), 0.70).otherwise(0.30)
-    return out.withColumn("serper_confidence_score", confidence).drop("parts")
-
-
-def research_facts(research: DataFrame, key: str = "lead_id") -> DataFrame:
-    """Identity from a research answer and its hits (answer, hits, domain), with confidence by own-domain hits and role words."""
-    joined = F.concat_ws(" ", "answer", F.array_join(F.transform("hits", lambda h: F.concat_ws(" ", h["title"], h["content"])), " "))
-    who, company = contacts.decision_maker(joined), contacts.company_identity(joined)
-    out = research.withColumns({"managing_director_name": who["name"], "legal_name": company["legal_name"], "legal_form": company["legal_form"]})
-    own = F.exists("hits", lambda h: F.lower(h["url"]).contains(F.col("domain")) & (F.col("domain") != ""))
-    roles = F.lower(joined).rlike("geschäftsführer|geschaeftsfuehrer|inhaber|owner|ceo|managing director")
-    confidence = F.when(has("managing_director_name") & own & roles, 0.75).when(has("managing_director_name") & own, 0.70).when(has("managing_director_name"), 0.60).when(has("legal_name"), 0.50).otherwise(0.30)
-    return out.withColumn("tavily_confidence_score", confidence)
+    confidence = F.least(most_share, 20 + score) / 100.0
+    return facts.withColumn("confidence_score", confidence).withColumn("imprint_parse_status", F.when(F.col("confidence_score") >= 0.70, "complete").otherwise("low_confidence"))
 
 
 def blank_to_null(c: Column) -> Column:

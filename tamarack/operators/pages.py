@@ -13,7 +13,6 @@ from ..functions.values import absolute_url, as_col, clean_text, lead_id, normal
 
 # Entities that are decoded; numeric ones are decoded by rule.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&euro;": "€", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
-MAX_HTML = 500_000
 
 
 def html_text(html: Column | str) -> Column:
@@ -40,10 +39,10 @@ def decode_entities(text: Column | str) -> Column:
     return t
 
 
-def read_pages(pages: DataFrame, most: int = MAX_HTML) -> DataFrame:
-    """Fetched pages with their site: domain, lead_id, clean_url, and html up to ``most`` characters, as the crawler reads it."""
-    domain = normalize_domain("url")
-    return pages.withColumns({"domain": domain, "lead_id": lead_id("url"), "clean_url": normalize_url("url"), "html": F.substring(F.coalesce("html", F.lit("")), 1, most)})
+def read_pages(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Fetched pages with their site: domain, lead_id, clean_url, and html whole, or up to ``most`` characters where a crawler's limit is asked for."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.withColumns({"domain": normalize_domain("url"), "lead_id": lead_id("url"), "clean_url": normalize_url("url"), "html": html if most is None else F.substring(html, 1, most)})
 
 
 def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markers
 from ..functions.contacts import site_email
-from ..functions.values import clean_text, country_hint, filled, has, merge_signals, normalize_domain, same_domain
+from ..functions.values import clean_text, country_hint, filled, has, merge_signals, normalize_domain, same_domain, truthy
 from .pages import html_text
 
 # Parts of domains that searches should never bring in.
@@ -122,11 +122,11 @@ def merge_search_results(master: DataFrame, fresh: DataFrame, now: str) -> DataF
 SHOP_SIGNALS = ["woocommerce", "cart_checkout", "active_shop"]
 
 
-def qualified_leads(rows: DataFrame, min_score: int = 50, wanted: list[str] = SHOP_SIGNALS, parts: list[str] = BLOCKED_PARTS) -> DataFrame:
+def qualified_leads(rows: DataFrame, min_score: int = 50, wanted: list[str] = SHOP_SIGNALS, parts: list[str] = BLOCKED_PARTS, words: tuple[list[str], list[str], list[str]] = (IDENTITY_TERMS, RESCUE_TERMS, NON_SHOP_TERMS)) -> DataFrame:
     """Rows that aren't blocked, don't look like anything but a shop, and have the score and a wanted signal (array ``signals``)."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
     overlap = F.arrays_overlap("signals", F.array(*map(F.lit, wanted)))
-    return rows.where(~is_blocked(F.col("domain"), parts) & ~looks_like_non_shop(text, F.col("url")) & (F.col("score") >= min_score) & overlap)
+    return rows.where(~is_blocked(F.col("domain"), parts) & ~looks_like_non_shop(text, F.col("url"), *words) & (F.col("score") >= min_score) & overlap)
 
 
 def email_export(rows: DataFrame) -> DataFrame:
@@ -169,6 +169,17 @@ def plan_queries(queue: DataFrame, key: str = "lead_id") -> DataFrame:
     return rows.select(key, "purpose", (F.col("i") + 1).alias("qno"), "query")
 
 
+def plan_research() -> dict[str, Column]:
+    """The research query of a row that is unclear, and what it is about; blank where there is nothing to ask."""
+    domain = normalize_domain(F.coalesce(filled("domain"), filled("website_url")))
+    name = F.coalesce(filled("company_name"), filled("legal_name"), domain)
+    # The words of the two queries.
+    entity = F.trim(F.concat(F.lit('"'), name, F.lit('" Betreiber Firma Impressum Geschäftsführer '), domain))
+    person = F.trim(F.concat(F.lit('"'), name, F.lit('" Geschäftsführer Inhaber Vertreten durch '), domain))
+    about = F.when(truthy("entity_ambiguous"), "entity").when(truthy("decision_maker_ambiguous"), "decision_maker").when(clean_text("next_enrichment_step").contains("ambiguous_entity"), "entity").otherwise("")
+    return {"query": F.when(about == "entity", entity).when(about == "decision_maker", person).otherwise(""), "purpose": about}
+
+
 def summarize_hits(hits: DataFrame, key: str, order: str = "position", most: int = 3, width: int = 220) -> DataFrame:
     """For each key its first hits as ``title: snippet``, cut and joined; and its distinct links in order.
 

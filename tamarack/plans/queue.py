@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contacts import site_email, site_phone
-from ..functions.values import clean_text, company_name, has, lead_id, normalize_url, split_tokens
+from ..functions.contacts import legal_form, site_email, site_phone
+from ..functions.values import bool_string, clean_text, company_name, has, lead_id, normalize_url, split_tokens
 from ..operators.classify import desired_role, lead_quality, outreach_angle, pain_scores, technology_stack
+from ..operators.facts import sanitized
 from ..operators.merge import dedupe_leads
 from ..operators.pages import html_text
 from ..operators.search import search_score, signals, top_candidates
@@ -15,7 +16,10 @@ from ..sources.tables import conform
 from .gates import Cells, handoff_eligibility, next_step
 
 # Columns of the queue, in order, that later steps read or fill.
-QUEUE_COLUMNS = ["lead_id", "domain", "website_url", "company_name", "legal_name", "legal_form", "lead_type", "lead_quality", "vhd_fit_score", "is_shop", "is_woocommerce", "is_dach", "possible_shop_levers", "technology_stack", "general_email", "personal_email", "phone_main", "managing_director_name", "managing_director_source", "address", "imprint_url", "imprint_parse_status", "contact_page_url", "confidence_score", "free_enrichment_status", "enrichment_status", "next_enrichment_step", "provider_recommended", "waterfall_reason", "clay_eligible", "clay_reason", "why_relevant", "pain_summary", "outreach_channel", "compliance_status", "do_not_contact", "do_not_contact_reason", "exclusion_reason", "notes", "last_queued_at"]
+QUEUE_COLUMNS = ["lead_id", "domain", "source_url", "website_url", "company_name", "legal_name", "legal_form", "lead_quality", "vhd_fit_score", "is_shop", "is_woocommerce", "is_dach", "possible_shop_levers", "pain_summary", "why_relevant", "recommended_outreach_channel", "free_enrichment_status", "confidence_score", "imprint_parse_status", "free_enrichment_source_urls", "website_pages_checked", "enrichment_status", "next_enrichment_step", "waterfall_reason", "provider_recommended", "requires_external_provider", "entity_ambiguous", "decision_maker_ambiguous", "imprint_url", "contact_url", "managing_director_name", "managing_director_source", "general_email", "phone_main", "address", "firecrawl_used", "firecrawl_source_url", "firecrawl_markdown_chars", "firecrawl_confidence_score", "firecrawl_summary", "firecrawl_error", "serper_used", "serper_queries", "serper_result_urls", "serper_summary", "serper_confidence_score", "tavily_used", "tavily_queries", "tavily_result_urls", "tavily_answer", "tavily_summary", "tavily_confidence_score", "tavily_credits", "tavily_error", "research_note", "clay_eligible", "clay_reason", "clay_used", "personal_email", "email_verification_status", "email_source", "mutmassliche_einwilligung_reason", "gdpr_legal_basis_note", "compliance_status", "compliance_reason", "unsubscribe_required", "outreach_approved", "outreach_channel", "do_not_contact", "do_not_contact_reason", "next_action", "instantly_pushed", "source_bucket", "last_queued_at", "notes"]
+# Columns that start as no, and columns of yes or no.
+START_NO = ["firecrawl_used", "serper_used", "tavily_used", "clay_used", "outreach_approved", "instantly_pushed"]
+YES_NO = ["is_shop", "is_woocommerce", "is_dach", "entity_ambiguous", "decision_maker_ambiguous", "unsubscribe_required", "do_not_contact"]
 
 
 def union_buckets(verified: DataFrame, review: DataFrame) -> DataFrame:
@@ -51,7 +55,25 @@ def build_queue(verified: DataFrame, review: DataFrame, now: str, limit: int | N
         }
     )
     rows = rows.withColumn("desired_role", desired_role(F.col("overall_priority"), flag("is_woocommerce")))
-    return decide(rows, enabled, QUEUE_COLUMNS)
+    c = Cells(rows.columns)
+    legal = sanitized("legal_name", c["legal_name"])
+    rows = rows.withColumns(
+        {
+            "source_url": c.first("source_url", "url"),
+            "legal_name": legal,
+            "legal_form": F.when(legal == "", "").otherwise(F.coalesce(F.nullif(c["legal_form"], F.lit("")), legal_form(legal))),
+            "pain_summary": F.when(F.size(levers) > 0, outreach_angle(levers)).otherwise(""),
+            "managing_director_name": sanitized("managing_director_name", c.first("managing_director_name", "managing_director", "decision_maker_1_name")),
+            "managing_director_source": c.first("managing_director_source", "decision_maker_1_source"),
+            "general_email": c.first("general_email", "email_general", "email"),
+            "phone_main": sanitized("phone_main", c.first("phone_main", "phone")),
+            "personal_email": c.first("personal_email", "email_personal"),
+            **{n: F.lit("false") for n in START_NO},
+            **{n: bool_string(c.yes(n)) for n in YES_NO},
+        }
+    )
+    out = decide(rows, enabled, QUEUE_COLUMNS)
+    return out.withColumn("requires_external_provider", bool_string(has("provider_recommended")))
 
 
 def decide(rows: DataFrame, enabled: dict[str, bool] | None = None, columns: list[str] | None = None) -> DataFrame:

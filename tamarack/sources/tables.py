@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that driver and executors share and read again: later steps start from there.
+
+    The folder is the one of ``spark.checkpoint.dir``; where the session names none and runs in one process, a temporary one.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tamarack-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sniff_delimiter(header: str, fallback: str = ";") -> str:
     """The delimiter that splits a header line into most columns."""
     best = max((",", ";", "\t"), key=header.count)
@@ -25,15 +45,15 @@ def read_leads(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     headers = spark.read.text(paths, wholetext=False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
     first = headers.where(F.col("at") == 0).groupBy("path").agg(F.min_by("value", "id").alias("header")).collect()  # one row per file
-    by_path = {r.path: sniff_delimiter(r.header.lstrip("﻿")) for r in first}
+    by_path = {r.path: (sniff_delimiter(r.header.lstrip("\ufeff")), r.header.lstrip("\ufeff")) for r in first}
+    number = F.create_map(*[F.lit(x) for i, p in enumerate(sorted(by_path)) for x in (p, i)])
     frames = []
-    for delimiter in sorted(set(by_path.values())):
-        own = sorted(p for p, d in by_path.items() if d == delimiter)
-        for group in own:  # headers differ between files, so each file has its own columns
-            df = spark.read.csv(group, sep=delimiter, header=True, encoding="UTF-8", quote='"', escape='"', multiLine=False)
-            df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-            place = F.struct(F.lit(sorted(by_path).index(group)).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-            frames.append(df.withColumns({"source_name": F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), "ord": place}))
+    for delimiter, header in sorted(set(by_path.values())):  # files of one header are read together
+        own = sorted(p for p, kind in by_path.items() if kind == (delimiter, header))
+        df = spark.read.csv(own, sep=delimiter, header=True, encoding="UTF-8", quote='"', escape='"', multiLine=False)
+        df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+        place = F.struct(number[F.col("_metadata.file_path")].alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+        frames.append(df.withColumns({"source_name": F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), "ord": place}))
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -54,28 +74,37 @@ def conform(df: DataFrame, columns: list[str], defaults: dict[str, str] | None =
 def write_master(df: DataFrame, folder: str) -> str:
     """Write the table as the next version below ``folder``, then switch the pointer; readers see the old or the new whole.
 
-    The version being read is never overwritten.
+    The version being read is never overwritten. Each write has a path of its own, so that one that broke off between
+    the table and the pointer leaves nothing but an unread folder, and the next one goes through.
     """
     spark = df.sparkSession
     version = (current_version(spark, folder) or 0) + 1
-    path = f"{folder}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
-    return path
+    path = f"v={version}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{folder}/{path}")
+    spark.createDataFrame([(version, path)], _POINTER).coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
+    return f"{folder}/{path}"
 
 
-def current_version(spark: SparkSession, folder: str) -> int | None:
+_POINTER = "version long, path string"
+
+
+def _current(spark: SparkSession, folder: str):
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema("version long").parquet(f"{folder}/_versions").agg(F.max("version")).first()[0]
+        return spark.read.schema(_POINTER).parquet(f"{folder}/_versions").agg(F.max(F.struct("version", "path")).alias("v")).first().v
     except AnalysisException:
         return None
 
 
+def current_version(spark: SparkSession, folder: str) -> int | None:
+    found = _current(spark, folder)
+    return found and found.version
+
+
 def read_master(spark: SparkSession, folder: str) -> DataFrame | None:
-    version = current_version(spark, folder)
-    return None if version is None else spark.read.parquet(f"{folder}/v={version}")
+    found = _current(spark, folder)
+    return None if found is None else spark.read.parquet(f"{folder}/{found.path}")
 
 
 def write_buckets(df: DataFrame, folder: str, bucket: str, run_id: str) -> None:

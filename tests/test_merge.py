@@ -64,8 +64,8 @@ def test_budgets_for_any_number_of_buckets(spark):
     rng = random.Random(2)
     rows = [(i * 3 + rng.randrange(3), rng.randrange(4)) for i in range(200)]
     df = spark.createDataFrame(rows, "ord long, need int")
-    for buckets in (1, 7, 500):
-        got = {r.ord: r.spent_before for r in budget.spent_before(df, "need", buckets=buckets).collect()}
+    for per_range in (1000, 29, 1):
+        got = {r.ord: r.spent_before for r in budget.spent_before(df, "need", per_range=per_range).collect()}
         total = 0
         for o, n in sorted(rows):
             assert got[o] == total
@@ -75,10 +75,12 @@ def test_budgets_for_any_number_of_buckets(spark):
     assert budget.row_budget(df, F.col("need") > 1, 10).where("selected").count() == 10
 
 
-def test_rounds_use_up_budgets(spark):
-    rows = spark.createDataFrame([(i, "a", 2, 1) for i in range(10)], "ord long, provider string, need_a int, need_b int")
-    served, report = budget.provider_rounds(rows, ["a", "b"], {"a": 7, "b": 3}, {"a": "need_a", "b": "need_b"})
-    counts = {tuple(r.served): r.n for r in served.groupBy("served").agg(F.count("*").alias("n")).collect()}
-    assert counts == {("a", "b"): 3, ("a",): 1, (): 6}
-    assert report[0] == {"round": 1, "provider": "a", "status": "completed", "rows": 4, "spent": 8}
-    assert report[-1]["status"] == "skipped"
+def test_running_sums_over_many_ranges(spark):
+    rows = [(i * i * i, (i % 7) / 10) for i in range(300)]  # orders far from evenly spread
+    df = spark.createDataFrame(rows, "ord long, cost double").repartition(3)
+    got = {r.ord: r.spent_before for r in budget.spent_before(df, "cost", per_range=20).collect()}
+    total = 0.0
+    for o, c in rows:
+        assert abs(got[o] - total) < 1e-9
+        total += c
+    assert sum(r.runs for r in budget.credit_budget(df, "cost", 10.0).collect()) == sum(1 for o, _ in rows if got[o] < 10.0 - 1e-12)

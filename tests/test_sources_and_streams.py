@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tamarack.sources import tables
@@ -62,3 +63,16 @@ def test_streamed_counts_and_cooldown(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     seen = rows(streams.stream_cooldown(stream, ["user_id"], 14), "append", "cooled")
     assert seen.select("user_id").distinct().count() == batch.select("user_id").distinct().count()
+
+
+def test_a_write_that_broke_off_is_no_hindrance(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "master")
+    tables.write_master(spark.range(3), folder)
+    real = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):  # after the table, before the pointer
+        tables.write_master(spark.range(5), folder)
+    monkeypatch.undo()
+    assert real and tables.read_master(spark, folder).count() == 3
+    tables.write_master(spark.range(7), folder)
+    assert tables.read_master(spark, folder).count() == 7 and tables.current_version(spark, folder) == 2
