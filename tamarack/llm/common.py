@@ -40,8 +40,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, every ten seconds at most: it waits for the driver's garbage collection."""
-    if time.monotonic() - _released[0] < 10:
+    """Let Spark's cleaner drop the shuffle files of finished steps, every three seconds at most: it waits for the driver's garbage collection."""
+    if time.monotonic() - _released[0] < 3:
         return
     _released[0] = time.monotonic()
     gc.collect()

@@ -133,9 +133,21 @@ def _compared(radius: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, name: str) -> DataFrame:
+    """The pairs whose shingle sets are alike; only the texts of nodes in a pair are read again."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_hash"), "wanted-nodes")
+
+    def read(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(h) for h in _hashes(part.column(1))])], names=["node", "hashes"])
+
+    # a row that repeats doc_id and text gives its pairs twice, which changes no component
+    texts = _columns(documents).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    sets = materialize(texts.mapInArrow(read, "node long, hashes array<long>"), "shingle-sets")
     x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-    rows = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -144,29 +156,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = part.column(2), part.column(3)
                 yield part.select(["a", "b"]).filter(pa.array([alike(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(part.num_rows)], pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
+    discard(pairs, wanted, sets)
+    return out
 
 
-def links(docs: DataFrame, documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect the nodes of ``docs`` (from ``keyed``) exactly as all links would."""
+def links(keyed_texts: DataFrame, documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect the nodes of ``keyed_texts`` (from ``keyed``) exactly as all links would."""
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    nodes = materialize(docs.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), one), "shingle-nodes")
-    every = nodes.select(F.explode("keys").alias("key"), "node", "size", "fp")
-    least = F.min(F.struct("node", "size", "fp")).alias("least")
-    shared = materialize(every.groupBy("key").agg(F.count("*").alias("n"), least).where("n > 1"), "shared-keys")
-    met = materialize(every.join(shared.select("key"), "key"), "met")
-    wanted = materialize(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.text_hash"), "wanted-nodes")
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(h) for h in _hashes(part.column(1))])], names=["node", "hashes"])
-
-    texts = _columns(documents).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
-    sets = materialize(texts.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+    nodes = keyed_texts.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), one)
+    nodes = materialize(nodes.select("node", "size", "fp", "one.*", "keys"), "shingle-nodes")
+    discard(keyed_texts)
+    every = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    met = materialize(every.join(shared.select("key"), "key"), "met-keys")
+    met = materialize(met.join(nodes.select("node", "size", "fp"), "node"), "met")
+    least = met.groupBy("key").agg(F.min(F.struct("node", "size", "fp")).alias("least"))
+    shared = materialize(shared.join(least, "key"), "least-nodes")
     near = F.expr(f"node != least.node AND bit_count(fp ^ least.fp) <= {radius} AND 5 * least(size, least.size) >= 4 * greatest(size, least.size)")
     stars = met.join(shared.select("key", "least"), "key").where(near).select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
-    first = materialize(_verified(stars, sets), "first-links")
+    first = _verified(stars, nodes, documents, "first-links")
     parts = materialize(connected(first), "first-parts")
     named = met.join(parts, "node", "left").select("key", "node", "size", "fp", F.coalesce("component", "node").alias("part"))
     leads = shared.where("n > 2").select("key", F.col("least.node").alias("node"))
@@ -182,23 +191,24 @@ def links(docs: DataFrame, documents: DataFrame, radius: int = RADIUS) -> DataFr
     )
     dealt = sides[0].unionByName(sides[1]).select(F.xxhash64("key", "row", "column").alias("task"), "side", "node", "size", "fp", "part")
     others = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_compared(radius), "a long, b long")
-    out = materialize(first.unionByName(_verified(others, sets)), "links")
-    discard(nodes, shared, met, wanted, sets, first, parts, named, tiles)
+    others = _verified(others, nodes, documents, "other-links")
+    out = materialize(first.unionByName(others), "links")
+    discard(nodes, met, shared, first, parts, named, tiles, others)
     return out
 
 
 def components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, root, component_id) for each row; root is the component's least node, component_id its least doc_id."""
     docs = materialize(keyed(documents, frequent_shingles(documents)), "keyed-texts")
+    light = materialize(docs.select("doc_id", "text_hash", "node"), "text-nodes")
     found = links(docs, documents, radius)
     roots = connected(found)
-    light = docs.select("doc_id", "text_hash", "node")
     firsts = materialize(light.groupBy("node").agg(F.min("doc_id").alias("first")), "first-ids")
     rooted = materialize(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = materialize(rooted.join(least, "root").select("node", "root", "component_id"), "named")
     out = materialize(light.join(named, "node").select("doc_id", "text_hash", "root", "component_id"), "members")
-    discard(docs, found, firsts, rooted, least, named)
+    discard(light, found, firsts, rooted, least, named)
     return out
 
 
