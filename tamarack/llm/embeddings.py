@@ -4,9 +4,12 @@ Vectors link when their labels are equal and their cosine in double precision is
 vectors are compared once and counted as often as they occur. Each label's vectors are dealt into
 tiles along the principal directions of a bounded sample; the tiles' boxes in those directions bound the
 distance of unit vectors from below, so tile pairs that can't hold a link are skipped without loss, and of the others
-only vectors that come near enough to the other tile's box take part. In a pair of tiles every vector is quantised to int8 with a scale of its own; the norm of what quantising
-took away bounds the error of each product, and only pairs whose bound reaches the threshold are
-computed in double precision.
+only vectors that come near enough to the other tile's box take part. A vector is sent once for each tile that it
+has to meet, so tiles hold many rows (``TILE``, fewer of vectors so long that a tile would outgrow ``NUMBERS`` components);
+inside a task both sides are ordered along the tree and parts of ``PART`` rows are skipped by their own boxes. Every
+vector is quantised to int8 with a scale of its own; the norm of what quantising took away bounds the error of
+each product, and only pairs whose bound reaches the threshold are computed in double precision. Links are counted
+and their components joined part by part, so a tile of near copies never holds all its pairs at once.
 
 A vector that is null, zero, or holds null or non-finite components, or whose label is null, links with nothing:
 no links, component of its own. Vectors of different length never link. Repeated rows link with each
@@ -27,6 +30,7 @@ from .components import connected
 from .simhash import groups_of
 
 DIRECTIONS, DEPTH = 8, 12
+TILE, PART, NUMBERS = 4096, 256, 1 << 22
 LAST = (1 << 63) - 1
 
 
@@ -39,13 +43,18 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes, scale, np.linalg.norm(decoded, axis=1) * up, np.linalg.norm(unit - decoded, axis=1) * up + 1e-12
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float, chunk: int = 16384) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors in double precision whose product reaches the threshold."""
-    qa, sa, na, ea = quantise(a)
-    qb, sb, nb, eb = quantise(b)
+def quantised(unit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unit vectors in double precision with what ``linked`` needs of them, so that each is quantised once."""
+    codes, scale, norm, error = quantise(unit)
     # products of int8 codes are whole numbers that single precision holds exactly up to 2**24
-    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    near = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64) * sa[:, None] * sb[None, :]
+    kind = np.float32 if unit.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    return unit, codes.astype(kind), scale, norm, error
+
+
+def linked(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], threshold: float, chunk: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two sides of ``quantised`` vectors whose product in double precision reaches the threshold."""
+    (a, qa, sa, na, ea), (b, qb, sb, _, eb) = a, b
+    near = (qa @ qb.T).astype(np.float64) * sa[:, None] * sb[None, :]
     bound = na[:, None] * eb[None, :] + ea[:, None] * (1 + 1e-9)
     i, j = np.nonzero(near + bound >= threshold - 1e-9)
     keep = [np.einsum("ij,ij->i", a[i[k : k + chunk]], b[j[k : k + chunk]]) >= threshold for k in range(0, len(i), chunk)]
@@ -53,6 +62,51 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float, chunk: int = 16384) -
     return i[ok], j[ok]
 
 
+def part_links(unit: np.ndarray, left: np.ndarray, right: np.ndarray, model: tuple[np.ndarray, np.ndarray], threshold: float, part: int = PART):
+    """Linked pairs of the rows ``left`` and ``right`` (or of ``left`` with itself, each once), a part of ``left`` at a time.
+
+    Both are ordered along the tree; parts whose boxes lie too far apart are not multiplied.
+    """
+    directions, cuts = model
+    x = unit @ directions if unit.shape[1] == directions.shape[0] else np.zeros((len(unit), 1))
+    path, same, sides = paths(x, cuts), left is right, quantised(unit)
+    left = left[np.argsort(path[left], kind="stable")]
+    right = left if same else right[np.argsort(path[right], kind="stable")]
+    place = np.zeros(len(unit), dtype=np.int64)
+    place[right] = np.arange(len(right))
+    starts = np.arange(0, len(right), part)
+    low, high = np.minimum.reduceat(x[right], starts), np.maximum.reduceat(x[right], starts)
+    for n, start in enumerate(range(0, len(left), part)):
+        rows = left[start : start + part]
+        gap = np.maximum(0, np.maximum(low - x[rows].max(axis=0), x[rows].min(axis=0) - high))
+        meet = (gap**2).sum(axis=1) <= 2 - 2 * threshold + 1e-6
+        if same:
+            meet[:n] = False
+        columns = right[np.repeat(meet, part)[: len(right)]]
+        if len(columns):
+            i, j = linked(tuple(c[rows] for c in sides), tuple(c[columns] for c in sides), threshold)
+            i, j = rows[i], columns[j]
+            if same:
+                ahead = place[i] < place[j]
+                i, j = i[ahead], j[ahead]
+            yield i, j
+
+
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index of each row's component, after the edges (i, j) have joined components."""
+    while True:
+        i, j = root[i], root[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return root
+        least, root = np.minimum(i, j), root.copy()
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def _matrix(column: np.ndarray) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
     return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -98,35 +152,26 @@ def _projected(model):
     return run
 
 
-def _tile_links(threshold: float):
+def _tile_links(threshold: float, model):
     def run(batches):
         for _, (_, side, rep, weight, vector) in groups_of(batches):
             unit = _matrix(vector)
-            same = side[0] == 2
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
-            if not len(left) or not same and not len(right):
+            if side[0] == 2:
+                right = left
+            if not len(left) or not len(right):
                 continue
-            i, j = linked(unit[left], unit[left if same else right], threshold)
-            i, j = left[i], (left if same else right)[j]
-            if same:
-                ahead = i < j
-                i, j = i[ahead], j[ahead]
-            count = np.bincount(i, weights=weight[j], minlength=len(rep)) + np.bincount(j, weights=weight[i], minlength=len(rep))
-            label = np.arange(len(rep))
-            while len(i):
-                low, before = np.minimum(label[i], label[j]), label.copy()
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
-                label = label[label]
-                if (label == before).all():
-                    break
+            count, root = np.zeros(len(rep)), np.arange(len(rep))
+            for i, j in part_links(unit, left, right, model.value, threshold):
+                count += np.bincount(i, weights=weight[j], minlength=len(rep)) + np.bincount(j, weights=weight[i], minlength=len(rep))
+                root = joined(root, i, j)
             out = np.flatnonzero(count > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(count[out].astype(np.int64)), pa.array(rep[label[out]])], names=["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(count[out].astype(np.int64)), pa.array(rep[root[out]])], names=["rep", "links", "root"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 512, sample: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, sample: int = 4096) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept. The directions are fitted on ``sample`` vectors at most."""
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST)).alias("vec_id"), F.col("label"), F.transform(F.col("embedding").cast("array<double>"), lambda v: v + 0.0).alias("vector"))
@@ -143,12 +188,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 512
     sized = reps.select("rep", "vector", "weight", "label", F.size("vector").alias("dim"))
     schema = T.StructType([*sized.schema.fields, T.StructField("path", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     placed = materialize(sized.mapInArrow(_projected(model), schema), "projected")
-    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / tile)))).cast("int")
-    labels = materialize(placed.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("depth", depth).select("label", "dim", "depth"), "label-sizes")
+    most = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(NUMBERS) / F.col("dim"))))
+    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.col("most"))))).cast("int")
+    labels = placed.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("most", most).withColumn("depth", depth)
+    labels = materialize(labels.select("label", "dim", "most", "depth"), "label-sizes")
     celled = placed.join(labels, ["label", "dim"]).withColumn("cell", F.expr(f"shiftright(path, {DEPTH} - depth)")).drop("path", "depth")
     celled = materialize(celled, "cells")
-    cells = materialize(celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).select("label", "dim", "cell", F.ceil(F.col("n") / tile).alias("parts")), "cell-sizes")
-    tiled = celled.join(cells, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts")
+    cells = celled.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.first("most")).alias("parts"))
+    tiled = celled.join(materialize(cells, "cell-sizes"), ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts", "most")
     tiled = materialize(tiled.withColumn("tile", F.struct("cell", "part")), "tiles")
     sides = [f(F.get("x", k)).alias(f"{n}{k}") for k in range(DIRECTIONS) for n, f in (("l", F.min), ("h", F.max))]
     boxes = materialize(tiled.groupBy("label", "dim", "tile").agg(*sides), "boxes")
@@ -166,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 512
     t, u = tiled.alias("t"), uses.alias("u")
     near = F.expr(f"t.label = u.label AND t.dim = u.dim AND t.tile = u.tile AND {away} <= {2 - 2 * threshold + 1e-6}D")
     work = t.join(u, near).select("pair", "side", "rep", "weight", "vector")
-    found = work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_tile_links(threshold), "rep long, links long, root long")
+    found = work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_tile_links(threshold, model), "rep long, links long, root long")
     found = materialize(found, "vector-links")
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

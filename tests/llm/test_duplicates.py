@@ -187,3 +187,41 @@ def test_embedding_edges(spark):
             assert got[i] == [(0, i)]
         assert got[None] == [(0, None)] and len(got[105]) == 2
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_parts_of_a_tile_against_brute_force():
+    rng = np.random.default_rng(8)
+    for dim in (4, 12):  # 12 is not the model's dimension: no part is skipped
+        model = embeddings.basis(rng.normal(size=(200, 4)))
+        unit = rng.normal(size=(6, dim))[rng.integers(0, 6, 90)] + rng.normal(size=(90, dim)) * 0.1
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        every = np.arange(90)
+        for left, right in ((every, every), (every[:37], every[37:])):
+            got = []
+            for i, j in embeddings.part_links(unit, left, right, model, 0.98, part=7):
+                got += [tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())]
+            close = unit @ unit.T >= 0.98
+            want = {(a, b) if a < b else (b, a) for a in left.tolist() for b in right.tolist() if a != b and close[a, b]}
+            assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_joined_edges_a_part_at_a_time():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        i, j = rng.integers(0, 40, (2, 35))
+        root, plain = np.arange(40), list(range(40))
+        for k in range(0, 35, 6):
+            root = embeddings.joined(root, i[k : k + 6], j[k : k + 6])
+        for _ in range(40):
+            for a, b in zip(i.tolist(), j.tolist()):
+                plain[a] = plain[b] = min(plain[a], plain[b])
+        assert root.tolist() == plain
+
+
+def test_long_vectors_get_smaller_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, (np.ones(6) + rng.normal(size=6) * 0.1).tolist(), 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    whole = sorted(embeddings.near_duplicates(df).collect())
+    monkeypatch.setattr(embeddings, "NUMBERS", 30)  # five vectors a tile
+    assert sorted(embeddings.near_duplicates(df).collect()) == whole
