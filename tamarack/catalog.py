@@ -444,6 +444,26 @@ SELECT page_id, domain, score, signals FROM s WHERE domain <> '' AND NOT regexp_
 AND NOT (contains(substr(snippet, 1, 180) || ' ' || domain, 'eauaux') OR (NOT contains(every, 'thing') AND contains(every, 'keit')))"""
 
 
+def mail_export(spark, sf):
+    """Documents with an address as rows of the mailing hand-off."""
+    email = contacts.site_email("text")
+    d = table(spark, sf, "documents").select(email.alias("email"), F.col("source").alias("company_name"), F.concat(F.lit("https://"), F.split_part(email, F.lit("@"), F.lit(2)), F.lit("/")).alias("url"))
+    return search.email_export(d)
+
+
+MAIL_EXPORT = r"""WITH d AS (SELECT source, lower(trim(regexp_extract(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+', 0), '.,;:()[]<>')) AS email FROM documents)
+SELECT email AS "Email", '' AS "First Name", '' AS "Last Name", source AS "Company", 'https://' || split_part(email, '@', 2) || '/' AS "Website" FROM d WHERE email <> ''"""
+
+
+def first_urls(spark, sf):
+    """For each site the first page whose address holds a token."""
+    p = table(spark, sf, "pages").select(normalize_domain("url").alias("domain"), "url", F.col("page_id").alias("fetch_order"))
+    return pages.first_matching_url(p, ["/de/", "page=2"])
+
+
+FIRST_URLS = f"""SELECT {HOST} AS domain, min_by(url, page_id) FILTER (contains(lower(url), '/de/') OR contains(lower(url), 'page=2')) AS matching_url FROM pages GROUP BY ALL"""
+
+
 def props_json(spark, sf):
     e = table(spark, sf, "events")
     keys = F.map_keys(F.from_json("props", "map<string,string>"))
@@ -532,6 +552,17 @@ def run_summary(spark, sf):
     return gates.run_counts(gates.final_gate(_queue(spark, sf)))
 
 
+def run_registry(spark, sf):
+    """Events as the append-only log of runs, one run for each user: its start and its latest state."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("event_type").alias("status"), F.col("value").alias("total"))
+    clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return gates.run_states(e).select("run_id", clock("started_at"), clock("ts"), "event_id", "status", "total")
+
+
+RUN_REGISTRY = """SELECT user_id AS run_id, strftime(min(ts) OVER (PARTITION BY user_id), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id, event_type AS status, value AS total
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY events.ts DESC NULLS LAST, event_id DESC NULLS LAST) = 1"""
+
+
 def enrichment_plan(spark, sf):
     rows = _queue(spark, sf).withColumns({"lead_grade": F.col("lead_quality"), "legal_name": F.when(F.col("phone_main") != "", F.col("company_name")).otherwise(""), "email_general": F.lit("info@example.de"), "decision_maker_1_name": F.col("managing_director_name")})
     return gates.plan_enrichment(rows).select("lead_id", "enrichment_stage", "next_action", "firecrawl_status", "serper_status", "tavily_status")
@@ -661,8 +692,8 @@ QUERIES = {
     for f in (
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
-        cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, props_json,
-        quality, pain_scores, next_step, final_gate, run_summary, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
+        cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, mail_export, first_urls, props_json,
+        quality, pain_scores, next_step, final_gate, run_summary, run_registry, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
     )
 }
 
@@ -697,12 +728,15 @@ ORACLE_SQL: dict[str, str] = {
     "rotation": ROTATION,
     "hits_summary": HITS_SUMMARY,
     "search_filter": SEARCH_FILTER,
+    "mail_export": MAIL_EXPORT,
+    "first_urls": FIRST_URLS,
     "props_json": PROPS_JSON,
     "quality": f"WITH {_Q} SELECT lead_id, kind AS lead_type, score::VARCHAR AS vhd_fit_score, lead_quality FROM w",
     "pain_scores": PAIN_SCORES,
     "next_step": NEXT_STEP,
     "final_gate": FINAL_GATE,
     "run_summary": _GATE + "SELECT compliance_status, count(*) AS n FROM g GROUP BY compliance_status",
+    "run_registry": RUN_REGISTRY,
     "enrichment_plan": ENRICHMENT_PLAN,
     "handoff": HANDOFF,
     "enrichment_queue": ENRICHMENT_QUEUE,

@@ -260,5 +260,7 @@ def run_counts(rows: DataFrame, status: str = "compliance_status") -> DataFrame:
 
 
 def run_states(log: DataFrame) -> DataFrame:
-    """Latest state of each run from an append-only log (run_id, ts, ...)."""
-    return log.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "run_id"]), "ts").alias("s"), F.min("ts").alias("started_at")).select("run_id", "started_at", "s.*")
+    """Latest state of each run from an append-only log (run_id, ts, ...): equal or null times are decided by the other columns, in their order."""
+    rest = [c for c in log.columns if c not in ("run_id", "ts")]
+    last = F.max(F.struct("ts", *rest)).alias("s")
+    return log.groupBy("run_id").agg(last, F.min("ts").alias("started_at")).select("run_id", "started_at", *(F.col(f"s.{c}").alias(c) for c in log.columns if c != "run_id"))
