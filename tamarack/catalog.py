@@ -364,7 +364,7 @@ DAILY_USAGE = "WITH u AS (SELECT ts::DATE AS day, event_type, count(*) AS used F
 
 def row_budget(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("ord"), "event_type", "user_id")
-    return budget.row_budget(e, F.col("user_id") % 5 == 0, 300).where("selected").select("ord", "event_type", "user_id")
+    return budget.row_budget(e, F.col("event_type") == "purchase", 300).where("selected").select("ord", "event_type", "user_id")
 
 
 def query_budget(spark, sf):
@@ -444,6 +444,46 @@ SELECT page_id, domain, score, signals FROM s WHERE domain <> '' AND NOT regexp_
 AND NOT (contains(substr(snippet, 1, 180) || ' ' || domain, 'eauaux') OR (NOT contains(every, 'thing') AND contains(every, 'keit')))"""
 
 
+def hits_ingested(spark, sf):
+    """Turns as archived search answers of two hits, the first without a link; some hits state no position."""
+    c = table(spark, sf, "conversations")
+    none = F.lit(None)
+    bare = F.struct(F.col("role").alias("title"), none.cast("string").alias("link"), none.cast("string").alias("snippet"), none.cast("int").alias("position"))
+    link = F.concat(F.lit("https://"), F.col("role"), F.lit(".example/"))
+    full = F.struct(F.col("role").alias("title"), link.alias("link"), F.col("text").alias("snippet"), F.when(F.col("role") == "user", F.col("turn").cast("int")).alias("position"))
+    body = F.to_json(F.struct(F.array(bare, full).alias("organic")))
+    return search.ingest_hits(c.select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", "title", "link", F.md5(F.col("snippet").cast("binary")).alias("snippet_md5"), "position")
+
+
+HITS_INGESTED = """SELECT conv_id, turn, role AS title, 'https://' || role || '.example/' AS link, md5(coalesce(text, '')) AS snippet_md5, CASE WHEN role = 'user' THEN coalesce(turn::INT, 2) ELSE 2 END AS position
+FROM conversations WHERE role IS NOT NULL"""
+
+
+def research_ingested(spark, sf):
+    """Documents as archived research answers: the text as answer, credits stated for one language, hits without an address left out."""
+    d = table(spark, sf, "documents")
+    hit = lambda url: F.struct(F.col("source").alias("title"), url.alias("url"), F.col("text").alias("content"), F.lit(0.5).alias("score"))
+    hits = F.array(hit(F.lit(None).cast("string")), hit(F.concat(F.lit("https://"), F.col("lang"), F.lit(".example/"))))
+    usage = F.struct(F.when(F.col("lang") == "de", 2).alias("credits"))
+    body = F.to_json(F.struct(F.col("source").alias("query"), F.col("text").alias("answer"), usage.alias("usage"), hits.alias("results")))
+    out = search.ingest_research(d.select("doc_id", body.alias("body")))
+    return out.select("doc_id", "research_query", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), "credits", F.array_join(F.col("hits.url"), "|").alias("urls"))
+
+
+RESEARCH_INGESTED = """SELECT doc_id, coalesce(source, '') AS research_query, md5(coalesce(text, '')) AS answer_md5, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS credits, coalesce('https://' || lang || '.example/', '') AS urls FROM documents"""
+
+
+def scrapes_ingested(spark, sf):
+    """Pages as archived scrapes; those without a body state no status."""
+    p = table(spark, sf, "pages")
+    meta = F.struct(F.col("url").alias("sourceURL"), F.when(F.col("html").isNotNull(), 200).alias("statusCode"))
+    body = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.col("html").alias("markdown"), meta.alias("metadata")).alias("data")))
+    return search.ingest_scrapes(p.select("page_id", body.alias("body"))).select("page_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), "source_url", "title", "status_code", "warning")
+
+
+SCRAPES_INGESTED = """SELECT page_id, md5(coalesce(html, '')) AS markdown_md5, coalesce(url, '') AS source_url, '' AS title, CASE WHEN html IS NULL THEN 0 ELSE 200 END AS status_code, '' AS warning FROM pages"""
+
+
 def mail_export(spark, sf):
     """Documents with an address as rows of the mailing hand-off."""
     email = contacts.site_email("text")
@@ -692,7 +732,7 @@ QUERIES = {
     for f in (
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
-        cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, mail_export, first_urls, props_json,
+        cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, mail_export, first_urls, props_json,
         quality, pain_scores, next_step, final_gate, run_summary, run_registry, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
     )
 }
@@ -721,13 +761,16 @@ ORACLE_SQL: dict[str, str] = {
     "cooldown": COOLDOWN,
     "check_states": "SELECT user_id, event_type, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type",
     "daily_usage": DAILY_USAGE,
-    "row_budget": "SELECT event_id AS ord, event_type, user_id FROM events WHERE user_id % 5 = 0 ORDER BY event_id LIMIT 300",
+    "row_budget": "SELECT event_id AS ord, event_type, user_id FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 300",
     "query_budget": QUERY_BUDGET,
     "credit_budget": CREDIT_BUDGET,
     "queries_until_goal": QUERIES_UNTIL,
     "rotation": ROTATION,
     "hits_summary": HITS_SUMMARY,
     "search_filter": SEARCH_FILTER,
+    "hits_ingested": HITS_INGESTED,
+    "research_ingested": RESEARCH_INGESTED,
+    "scrapes_ingested": SCRAPES_INGESTED,
     "mail_export": MAIL_EXPORT,
     "first_urls": FIRST_URLS,
     "props_json": PROPS_JSON,
