@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, language_id, line_quality, packing, periodic_runs, private_data, quality_classifier, simhash, substrings, warc
+from . import bpe, embeddings, language_id, line_quality, packing, periodic_runs, prefix_trie, private_data, quality_classifier, simhash, substrings, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 #: Base32 of a SHA-1: each five hex digits are four signs of the alphabet.
 _BASE32 = """
