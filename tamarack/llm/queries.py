@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, language_id, line_quality, packing, periodic_runs, prefix_trie, private_data, quality_classifier, simhash, substrings, warc
+from . import bpe, embeddings, language_id, line_quality, main_text, packing, periodic_runs, prefix_trie, private_data, quality_classifier, simhash, substrings, warc
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
+    "op11_main_text": op11_main_text,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_prefix_trie": op13_prefix_trie,
 }
