@@ -94,6 +94,11 @@ _BASE32 = """
       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 5 * g, 5))::BIGINT >> (15 - 5 * k)) & 31)::INT, 1)
     ), 'string_agg', '')), 'string_agg', '')
 """
+#: CRC-32 of a conv_id's decimal digits, bit by bit.
+_CRC32 = """
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295::BIGINT)
+"""
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": f"""
@@ -119,4 +124,29 @@ component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_
 degree AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN component c USING (vec_id) LEFT JOIN degree d USING (vec_id)""",
+    "op13_prefix_trie": f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns, ({_CRC32} % 9)::INT AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+),
+member AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt),
+node AS (
+  SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CASE WHEN len(turns) = depth THEN conv_id END::VARCHAR, ',' ORDER BY conv_id) AS ends
+  FROM member GROUP BY prefix, depth
+),
+child AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM node n LEFT JOIN child c USING (prefix, depth)),
+above AS (SELECT prefix AS whole, n_convs, n_children, depth AS own, unnest(range(depth + 1)) AS depth FROM known),
+subtree AS (
+  SELECT whole[1:depth] AS prefix, depth, count(*) FILTER (n_children = 0) AS n_leaves,
+         sum(CASE WHEN own > 0 THEN (n_convs - 1) * strlen(whole[own].text) ELSE 0 END) AS saved_tokens
+  FROM above GROUP BY ALL
+)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM known k JOIN subtree s USING (prefix, depth) LEFT JOIN node p ON p.depth = k.depth - 1 AND p.prefix = k.prefix[1:k.depth - 1]""",
 }
