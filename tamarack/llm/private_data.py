@@ -145,8 +145,9 @@ def _share(both: Column, df: Column, df_e: Column, n: Column) -> Column:
 def disclosing(held: DataFrame, documents: DataFrame, threshold: float, common: int = 2000) -> DataFrame:
     """(id, start, end, share): the places of the terms of each row of ``held`` that disclose at least ``threshold`` of an entity in it.
 
-    ``held`` has id, n, text and names (the row's distinct entities). Pairs that no count could bring to the threshold are left out
-    before they are counted; so are the ``common`` most frequent of the terms too frequent for any entity, before any shuffle.
+    ``held`` has id, n, text and names (the row's distinct entities). A term and an entity are paired only where they may meet in
+    two texts; those that meet in one are rated without pairs, so a text with very many entities costs its terms once, not once
+    for each. Pairs that no count could bring to the threshold are left out before they are counted; so are the ``common`` most frequent of the terms too frequent for any entity, before any shuffle.
     """
     df_t = materialize(document_frequency(documents), "term-counts")
     names = held.select("id", "n", F.explode("names").alias("entity"))
@@ -163,13 +164,26 @@ def disclosing(held: DataFrame, documents: DataFrame, threshold: float, common:
     words = words.where((F.char_length("term") >= 3) & F.col("term").rlike(r"\p{L}"))
     words = materialize(words.where(~F.col("term").isin(frequent)) if frequent else words, "held-words")
     rare = words.select("id", "term").distinct().join(df_t.where(F.col("df") <= limit), "term")
-    pairs = materialize(rare.join(groups, "id").where("df <= most").select("id", "n", *_GROUP, "term", "df"), "entity-terms")
-    counted = pairs.groupBy(*_GROUP, "term").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("n").alias("n"))
-    rated = counted.withColumn("share", _share(F.col("both"), F.col("df"), F.col("df_e"), F.col("n"))).where(F.col("share") >= threshold)
-    rated = materialize(rated.select(*_GROUP, "term", "share"), "disclosing")
-    best = materialize(pairs.join(rated, [*_GROUP, "term"]).groupBy("id", "term").agg(F.max("share").alias("share")), "disclosing-terms")
+    rare = materialize(rare.select("id", "term", "df"), "rare-terms")
+    # meeting once, a term discloses most of the text's rarest entity: the share falls as df_e grows
+    lowest = groups.groupBy("id", "n").agg(F.min("df_e").alias("df_e"))
+    once = rare.join(lowest, "id").select("id", "term", _share(F.lit(1), F.col("df"), F.col("df_e"), F.col("n")).alias("share"))
+    # what meets twice or more meets in another text than the one of the group that has most terms; that one is looked up
+    texts = groups.where("df_e > 1").join(rare.groupBy("id").agg(F.count("*").alias("size")), "id")
+    largest = texts.groupBy(*_GROUP).agg(F.max(F.struct("size", "id")).alias("top")).select(*_GROUP, F.col("top.id").alias("largest"))
+    texts = materialize(texts.join(largest, _GROUP).where("id != largest").select("id", "n", *_GROUP, "most", "largest"), "entity-texts")
+    pairs = rare.where("df > 1").join(texts, "id").where("df <= most").select("id", "largest", "n", *_GROUP, "term", "df")
+    pairs = materialize(pairs, "entity-terms")
+    counted = pairs.groupBy(*_GROUP, "term", "largest").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("n").alias("n"))
+    there = rare.select(F.col("id").alias("largest"), "term", F.lit(True).alias("there"))
+    counted = counted.join(there, ["largest", "term"], "left").withColumn("both", F.col("both") + F.col("there").isNotNull().cast("long"))
+    rated = counted.withColumn("share", _share(F.col("both"), F.col("df"), F.col("df_e"), F.col("n"))).where((F.col("both") > 1) & (F.col("share") >= threshold))
+    rated = materialize(rated.select(*_GROUP, "term", "share", "largest", "there"), "disclosing")
+    more = pairs.join(rated, [*_GROUP, "term"]).select("id", "term", "share").unionByName(rated.where("there").select(F.col("largest").alias("id"), "term", "share"))
+    best = once.where(F.col("share") >= threshold).unionByName(more).groupBy("id", "term").agg(F.max("share").alias("share"))
+    best = materialize(best, "disclosing-terms")
     out = materialize(words.join(best, ["id", "term"]).select("id", "start", "end", "share"), "term-places")
-    discard(df_t, rows, groups, words, pairs, rated, best)
+    discard(df_t, rows, groups, words, rare, texts, pairs, rated, best)
     return out
 
 

@@ -66,8 +66,8 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0].n_chars == len(clean[0].text) and private_data.sanitise(df).count() == len(rows)
 
 
-def plain_terms(texts, threshold=0.8):
-    """Spans of kind term by the formula, entity by entity, in plain Python."""
+def plain_shares(texts, threshold=0.8):
+    """(start, end, share) of the term spans of each text by the formula, entity by entity, in plain Python."""
     n, held, words, df = len(texts), [], [], collections.Counter()
     for t in texts:
         found = [x.split(":") for x in plain(t).split(",") if x]
@@ -82,7 +82,15 @@ def plain_terms(texts, threshold=0.8):
         df_e.update(names)
         both.update((e, t) for e in names for t in {w[2] for w in own})
     share = lambda e, t: math.log((both[e, t] * n / df_e[e] + 2) / (df[t] + 2)) / math.log(n / df_e[e])
-    return [[f"term:{a}:{b}" for a, b, t in own if any(df_e[e] < n and share(e, t) >= threshold for e in names) and not any(x < b and a < y for _, x, y in found)] for (found, names), own in zip(held, words)]
+    out = []
+    for (found, names), own in zip(held, words):
+        shares = [(a, b, max((share(e, t) for e in names if df_e[e] < n), default=-1)) for a, b, t in own]
+        out.append([s for s in shares if s[2] >= threshold and not any(x < s[1] and s[0] < y for _, x, y in found)])
+    return out
+
+
+def plain_terms(texts):
+    return [[f"term:{a}:{b}" for a, b, _ in spans] for spans in plain_shares(texts)]
 
 
 def test_terms_against_brute_force(spark):
@@ -104,6 +112,28 @@ def test_terms_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_many_groups_in_one_text(spark, monkeypatch):
+    """A text whose addresses each stand in a text of their own too: rows grow with the text, not with its square."""
+    rows = {}
+    for k in (100, 400):
+        texts = [f"own{i} a{i}@far.example say{i % 5} both{i}" for i in range(k)] + [f"filler text {i}" for i in range(300)]
+        texts.append(" ".join(f"own{i if i % 2 else -i} a{i}@far.example" for i in range(k)))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        written = {}
+
+        def keep(frame, name, real=private_data.materialize, written=written):
+            out = real(frame, name)
+            written[name] = out.count()
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(private_data, "materialize", keep)
+            got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in private_data.report(df).collect()}
+        assert [got[i] for i in range(len(texts))] == plain_terms(texts)
+        rows[k] = max(written.values())
+    assert rows[400] < 5 * rows[100]
+
+
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"u{i}@m{i % 7}.example is" for i in range(20000))
     rows = [(i, f"plain text {i}", "x", -i) for i in range(9)] + [(99, text, "y", 5)]
