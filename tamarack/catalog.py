@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import contacts, markers
 from .functions.values import clamp_score, clean_text, country_hint, is_dach, lead_id, merge_tokens, normalize_category, normalize_domain, normalize_url, parse_confidence, parse_score, split_tokens
 from .operators import budget, classify, facts, merge, pages, search
-from .plans import gates, patches, queue
+from .plans import gates, patches, queue, runs
 from .plans import waterfall as waterfalls
-from .sources.tables import table
+from .sources.tables import read_master, shared_folder, table
 
 FLAGSHIP = "site_grades"
 
@@ -596,6 +598,7 @@ def run_registry(spark, sf):
     """Events as the append-only log of runs, one run for each user: its start and its latest state."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("event_type").alias("status"), F.col("value").alias("total"))
     clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    e = e.withColumn("ord", F.struct("ts", "event_id"))
     return gates.run_states(e).select("run_id", clock("started_at"), clock("ts"), "event_id", "status", "total")
 
 
@@ -603,6 +606,29 @@ RUN_REGISTRY = """SELECT user_id AS run_id, strftime(min(ts) OVER (PARTITION BY
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY events.ts DESC NULLS LAST, event_id DESC NULLS LAST) = 1"""
 
 
+LISTS = ["en", "de", "fr", "es", "de"]
+
+
+def import_runs(spark, sf):
+    """Pages as lists of leads, one for each language in the URL, imported one after the other, the last one a second time: the registry's rows."""
+    rows = _leads(spark, sf).withColumn("list", F.split_part("signals", F.lit("|"), F.lit(1))).withColumnRenamed("domain", "domain_key").select("list", "ord", "domain_key", "url", "company_name")
+    folder = f"{shared_folder(spark)}/imports-{uuid.uuid4().hex}"
+    for name in LISTS:
+        runs.import_leads(spark, folder, rows.where(F.col("list") == name).drop("list"), name, "t1", 0, ["pages"], lambda: "2026-01-01T00:00:00Z")
+    master = read_master(spark, f"{folder}/master").agg(F.count("*").alias("n_leads"), F.count_if(F.col("source_lists").contains("|")).alias("n_of_several_lists"))
+    states = runs.registry(spark, f"{folder}/runs").select(F.col("notes").alias("list"), "run_type", "status", "started_at", "finished_at", "input_paths", *runs.COUNTS, "error")
+    return states.join(F.broadcast(master))  # one row, from an aggregate without keys
+
+
+IMPORT_RUNS = f"""WITH {LEADS}, i AS (SELECT split_part(signals, '|', 1) AS list, domain FROM l), k AS (SELECT * FROM (VALUES (1, 'en'), (2, 'de'), (3, 'fr'), (4, 'es')) v(place, list)),
+d AS (SELECT domain, min(place) AS first, count(DISTINCT list) AS lists FROM i JOIN k USING (list) WHERE domain <> '' GROUP BY domain),
+c AS (SELECT list, place, (SELECT count(*) FROM i WHERE i.list = k.list) AS records_read, (SELECT count(*) FROM d WHERE first <= place) AS records_written, (SELECT count(*) FROM d WHERE first = place) AS records_created,
+  (SELECT count(*) FROM i WHERE i.list = k.list AND domain = '') AS records_skipped FROM k)
+SELECT r.list, 'scrape_import' AS run_type, 'done' AS status, '2026-01-01T00:00:00Z' AS started_at, '2026-01-01T00:00:00Z' AS finished_at, 'pages' AS input_paths, records_read, records_written, records_created, records_read - records_created - records_skipped AS records_updated, records_skipped, '' AS error,
+  (SELECT count(*) FROM d) AS n_leads, (SELECT count(*) FROM d WHERE lists > 1) AS n_of_several_lists
+FROM (SELECT list, records_read, records_written, records_created, records_skipped FROM c UNION ALL SELECT 'de', 0, 0, 0, 0) r"""
+
+
 def enrichment_plan(spark, sf):
     rows = _queue(spark, sf).withColumns({"lead_grade": F.col("lead_quality"), "legal_name": F.when(F.col("phone_main") != "", F.col("company_name")).otherwise(""), "email_general": F.lit("info@example.de"), "decision_maker_1_name": F.col("managing_director_name")})
     return gates.plan_enrichment(rows).select("lead_id", "enrichment_stage", "next_action", "firecrawl_status", "serper_status", "tavily_status")
@@ -733,7 +759,7 @@ QUERIES = {
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
         cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, mail_export, first_urls, props_json,
-        quality, pain_scores, next_step, final_gate, run_summary, run_registry, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
+        quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
     )
 }
 
@@ -780,6 +806,7 @@ ORACLE_SQL: dict[str, str] = {
     "final_gate": FINAL_GATE,
     "run_summary": _GATE + "SELECT compliance_status, count(*) AS n FROM g GROUP BY compliance_status",
     "run_registry": RUN_REGISTRY,
+    "import_runs": IMPORT_RUNS,
     "enrichment_plan": ENRICHMENT_PLAN,
     "handoff": HANDOFF,
     "enrichment_queue": ENRICHMENT_QUEUE,

@@ -57,19 +57,24 @@ def dedupe_leads(rows: DataFrame) -> DataFrame:
     return out.withColumns(parts).withColumnRenamed("_key", "domain").select("domain", *[c for c in columns if c != "domain"])
 
 
-def incoming_by_domain(rows: DataFrame, key: str = "domain_key") -> DataFrame:
-    """Incoming rows folded per key: the first filled value of each column, in order, and the number of rows."""
+def incoming_by_domain(rows: DataFrame, key: str = "domain_key", keyless: bool = False) -> DataFrame:
+    """Incoming rows folded per key: the first filled value of each column, in order, and the number of rows.
+
+    Rows without a key are left out, or folded under the empty key if ``keyless``.
+    """
     values = [c for c in rows.columns if c not in (key, "ord")]
-    return rows.where(has(key)).groupBy(key).agg(*(F.min_by(c, F.when(has(c), F.col("ord"))).alias(c) for c in values), F.count("*").alias("n_rows"), F.min("ord").alias("ord"))
+    rows = rows.withColumn(key, F.when(has(key), F.col(key)).otherwise("")) if keyless else rows.where(has(key))
+    return rows.groupBy(key).agg(*(F.min_by(c, F.when(has(c), F.col("ord"))).alias(c) for c in values), F.count("*").alias("n_rows"), F.min("ord").alias("ord"))
 
 
-def upsert_leads(master: DataFrame, incoming: DataFrame, source: str, run_id: str, now: str) -> DataFrame:
+def upsert_leads(master: DataFrame, incoming: DataFrame, source: str, run_id: str, now: str, keyless: bool = False) -> DataFrame:
     """Full outer merge on ``domain_key``: stored values win, blanks are filled, provenance lists grow.
 
     New keys get a surrogate key, defaults and the fields of a canonical row. ``is_created`` and ``is_updated`` say what
-    happened to each row, ``incoming_rows`` how many rows came for it.
+    happened to each row, ``incoming_rows`` how many rows came for it. ``keyless`` adds a row of the empty key for the
+    incoming rows without one, for counting; it isn't to be stored.
     """
-    new = incoming_by_domain(incoming)
+    new = incoming_by_domain(incoming, keyless=keyless)
     new = new.select(F.col("domain_key").alias("_key"), "n_rows", *(F.col(c).alias(f"_{c}") for c in new.columns if c in FILL))
     joined = master.withColumn("_stored", F.lit(True)).join(new, master["domain_key"] == new["_key"], "full_outer")
     created, met = F.col("_stored").isNull(), F.col("n_rows").isNotNull()

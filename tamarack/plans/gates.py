@@ -259,8 +259,11 @@ def run_counts(rows: DataFrame, status: str = "compliance_status") -> DataFrame:
     return rows.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def run_states(log: DataFrame) -> DataFrame:
-    """Latest state of each run from an append-only log (run_id, ts, ...): equal or null times are decided by the other columns, in their order."""
-    rest = [c for c in log.columns if c not in ("run_id", "ts")]
-    last = F.max(F.struct("ts", *rest)).alias("s")
-    return log.groupBy("run_id").agg(last, F.min("ts").alias("started_at")).select("run_id", "started_at", *(F.col(f"s.{c}").alias(c) for c in log.columns if c != "run_id"))
+def run_states(log: DataFrame, order: str = "ord") -> DataFrame:
+    """Latest state of each run from an append-only log (run_id, ts, ord, ...), and when it started.
+
+    The entry of the greatest ordinal is the latest, whatever the entries' times and states are: times of whole seconds tie.
+    """
+    rest = [c for c in log.columns if c not in ("run_id", order)]
+    last, first = F.max_by(F.struct(*rest), order).alias("s"), F.min_by("ts", order).alias("started_at")
+    return log.groupBy("run_id").agg(last, first).select("run_id", "started_at", *(F.col(f"s.{c}").alias(c) for c in rest))

@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_text, filled
+from . import commits
+
+_own: list[str] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that driver and executors share and read again: later steps start from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is the one of ``spark.checkpoint.dir``; where the session names none and runs in one process, a temporary one.
+    Where the session names none and runs in one process: a temporary one, removed when the process ends.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tamarack-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tamarack-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return "file://" + _own[0]
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later steps start from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for frames that no later step reads."""
+    for df in frames:
+        commits.delete(df.sparkSession, df._written_to)
 
 
 def sniff_delimiter(header: str, fallback: str = ";") -> str:
@@ -71,40 +93,61 @@ def conform(df: DataFrame, columns: list[str], defaults: dict[str, str] | None =
     return df.select(*map(cell, columns), *[c for c in df.columns if c not in columns])
 
 
-def write_master(df: DataFrame, folder: str) -> str:
-    """Write the table as the next version below ``folder``, then switch the pointer; readers see the old or the new whole.
+def update_master(spark: SparkSession, folder: str, change: Callable[[DataFrame | None], DataFrame], writer: str = "", batch: int | None = None, attempts: int = 20) -> int:
+    """Commit ``change`` of the current table (None: there is none yet) as the next version; returns the version.
 
-    The version being read is never overwritten. Each write has a path of its own, so that one that broke off between
-    the table and the pointer leaves nothing but an unread folder, and the next one goes through.
+    Versions are numbered commits that exist once. A writer whose number was taken by another one reads the table anew and changes
+    that, so of writers side by side none loses rows. ``batch`` numbers a writer's batches upwards: one that was committed before
+    isn't made again, whoever retries it. Readers see the table of a commit as a whole; what a broken-off write left is never read.
+    """
+    for _ in range(attempts):
+        now = commits.latest(spark, folder)
+        version, known = now if now else (0, {"batches": {}})
+        if batch is not None and known["batches"].get(writer, -1) >= batch:
+            return version
+        path = f"v={version + 1}-{uuid.uuid4().hex}"
+        change(spark.read.parquet(f"{folder}/{known['path']}") if now else None).write.mode("errorifexists").parquet(f"{folder}/{path}")
+        batches = known["batches"] | ({} if batch is None else {writer: batch})
+        if commits.commit(spark, folder, version + 1, {"version": version + 1, "path": path, "batches": batches}):
+            return version + 1
+        commits.delete(spark, f"{folder}/{path}")
+    raise commits.Conflict(f"{attempts} other writers came first in {folder}")
+
+
+def write_master(df: DataFrame, folder: str, made_from: int | None = None) -> str:
+    """Replace the table as a whole; readers see the old or the new one. Returns the new one's path.
+
+    ``made_from`` is the version that ``df`` was made from (0: there was none): a Conflict is raised if another has come since.
+    Without it the last writer's table stands. The version being read is never overwritten.
     """
     spark = df.sparkSession
-    version = (current_version(spark, folder) or 0) + 1
-    path = f"v={version}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{folder}/{path}")
-    spark.createDataFrame([(version, path)], _POINTER).coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
-    return f"{folder}/{path}"
 
+    def checked(_):
+        if made_from is not None and made_from != (current_version(spark, folder) or 0):
+            raise commits.Conflict(f"{folder} is past version {made_from}")
+        return df
 
-_POINTER = "version long, path string"
+    version = update_master(spark, folder, checked, attempts=20 if made_from is None else 1)
+    return f"{folder}/{commits.entry(spark, folder, version)['path']}"
 
 
-def _current(spark: SparkSession, folder: str):
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(_POINTER).parquet(f"{folder}/_versions").agg(F.max(F.struct("version", "path")).alias("v")).first().v
-    except AnalysisException:
-        return None
+def current_version(spark: SparkSession, folder: str) -> int | None:
+    known = commits.numbers(spark, folder)
+    return known[-1] if known else None
 
 
-def current_version(spark: SparkSession, folder: str) -> int | None:
-    found = _current(spark, folder)
-    return found and found.version
+def read_master(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
+    """The table of the current version, or of an earlier one that is still there."""
+    version = version or current_version(spark, folder)
+    return None if version is None else spark.read.parquet(f"{folder}/{commits.entry(spark, folder, version)['path']}")
 
 
-def read_master(spark: SparkSession, folder: str) -> DataFrame | None:
-    found = _current(spark, folder)
-    return None if found is None else spark.read.parquet(f"{folder}/{found.path}")
+def forget_versions(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
+    """Delete the tables of all but the last ``keep`` versions; their log entries stay, so that no number is given out twice."""
+    old = commits.numbers(spark, folder)[: -keep or None]
+    for version in old:
+        commits.delete(spark, f"{folder}/{commits.entry(spark, folder, version)['path']}")
+    return old
 
 
 def write_buckets(df: DataFrame, folder: str, bucket: str, run_id: str) -> None:

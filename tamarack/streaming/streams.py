@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import upsert_leads
-from ..sources.tables import read_master, write_master
+from ..sources.tables import update_master
 
 
 def stream_upsert(files: DataFrame, folder: str, source: str, checkpoint: str, now: Callable[[int], str], empty: DataFrame) -> StreamingQuery:
     """Merge each batch of new rows (domain_key, ord, ...) into the master below ``folder``.
 
-    A batch that is retried writes a further version with the same rows, since merging the same rows again changes nothing but times.
+    The batch's number goes into the commit under the checkpoint's path, so a batch that is retried after its commit changes
+    nothing, and other writers of the same master lose no rows to this one nor it to them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = read_master(batch.sparkSession, folder)
-        merged = upsert_leads(empty if stored is None else stored, batch, source, f"batch-{number}", now(number))
-        write_master(merged.drop("is_created", "is_updated", "incoming_rows"), folder)
+        def change(stored: DataFrame | None) -> DataFrame:
+            merged = upsert_leads(empty if stored is None else stored, batch, source, f"batch-{number}", now(number))
+            return merged.drop("is_created", "is_updated", "incoming_rows")
+
+        update_master(batch.sparkSession, folder, change, checkpoint, number)
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -68,11 +68,36 @@ def test_streamed_counts_and_cooldown(spark, tmp_path):
 def test_a_write_that_broke_off_is_no_hindrance(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "master")
     tables.write_master(spark.range(3), folder)
-    real = spark.createDataFrame
-    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
-    with pytest.raises(RuntimeError):  # after the table, before the pointer
-        tables.write_master(spark.range(5), folder)
-    monkeypatch.undo()
-    assert real and tables.read_master(spark, folder).count() == 3
+    with monkeypatch.context() as m:
+        m.setattr(tables.commits, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):  # after the table, before the commit
+            tables.write_master(spark.range(5), folder)
+    assert tables.read_master(spark, folder).count() == 3
     tables.write_master(spark.range(7), folder)
     assert tables.read_master(spark, folder).count() == 7 and tables.current_version(spark, folder) == 2
+
+
+def test_streamed_upsert_beside_a_batch_import(spark, tmp_path, monkeypatch):
+    """A batch import commits while a streamed batch is being merged, and a streamed batch comes again after its commit."""
+    folder, real = str(tmp_path / "master"), tables.commits.commit
+    rows = spark.createDataFrame([(1, "a.example", "A")], "ord long, domain_key string, company_name string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    empty = spark.createDataFrame([], "domain_key string, lead_id string, company_name string")
+    came = []
+
+    def late(s, where, number, value):
+        if not came:
+            came.append(number)
+            other = streams.upsert_leads(empty, rows.withColumn("domain_key", F.lit("b.example")), "list", "r", "t")
+            tables.update_master(s, folder, lambda stored: other.drop("is_created", "is_updated", "incoming_rows"))
+        return real(s, where, number, value)
+
+    with monkeypatch.context() as m:
+        m.setattr(tables.commits, "commit", late)
+        streams.stream_upsert(stream, folder, "s", str(tmp_path / "ck"), str, empty).awaitTermination()
+    assert {r.domain_key for r in tables.read_master(spark, folder).collect()} == {"a.example", "b.example"}
+    (tmp_path / "ck" / "commits" / "0").unlink()  # as if the driver was lost after the master's commit
+    (tmp_path / "ck" / "commits" / ".0.crc").unlink(missing_ok=True)
+    streams.stream_upsert(stream, folder, "s", str(tmp_path / "ck"), str, empty).awaitTermination()
+    assert tables.current_version(spark, folder) == 2
