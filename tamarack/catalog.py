@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import contacts, markers
 from .functions.values import clamp_score, clean_text, country_hint, is_dach, lead_id, merge_tokens, normalize_category, normalize_domain, normalize_url, parse_confidence, parse_score, split_tokens
-from .operators import budget, classify, facts, merge, pages, search
+from .operators import budget, classify, dictionary, facts, merge, pages, search
 from .plans import gates, patches, queue, runs
 from .plans import waterfall as waterfalls
 from .sources.tables import read_master, shared_folder, table
@@ -236,6 +236,20 @@ def docs_identities(spark, sf):
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(company["legal_form"] != "").alias("with_form"), F.count_if(company["legal_name"] != "").alias("with_name"), F.count_if(who["name"] != "").alias("with_person"), F.count_if(contacts.address("text") != "").alias("with_address"))
 
 
+def dictionary_hits(spark, sf):
+    """The benchmark's texts, titles of its items' first words, and part names as a dictionary: which documents contain which?"""
+    b, p = table(spark, sf, "benchmark"), table(spark, sf, "part")
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    terms = b.select(F.concat(F.lit("item "), "item_id").alias("term_id"), F.col("text").alias("term"))
+    terms = terms.unionByName(b.select(F.concat(F.lit("opening "), "item_id").alias("term_id"), opening.alias("term")))
+    terms = terms.unionByName(p.select(F.concat(F.lit("part "), "p_partkey").alias("term_id"), F.col("p_name").alias("term")))
+    return dictionary.match_dictionary(table(spark, sf, "documents"), terms, "doc_id", "text", "term_id", "term")
+
+
+DICTIONARY_HITS = """WITH t AS (SELECT 'item ' || item_id AS term_id, text AS term FROM benchmark UNION ALL SELECT 'opening ' || item_id, array_to_string(str_split(text, ' ')[1:3], ' ') FROM benchmark UNION ALL SELECT 'part ' || p_partkey, p_name FROM part)
+SELECT DISTINCT doc_id, term_id FROM documents d JOIN t ON contains(lower(d.text), lower(t.term)) WHERE term <> ''"""
+
+
 # --- leads ---------------------------------------------------------------------------------------
 
 
@@ -757,7 +771,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
-        docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
+        docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, dictionary_hits, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
         cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, mail_export, first_urls, props_json,
         quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
     )
@@ -776,6 +790,7 @@ ORACLE_SQL: dict[str, str] = {
     "docs_emails": DOCS_EMAILS,
     "docs_phones": DOCS_PHONES,
     "docs_claims": DOCS_CLAIMS,
+    "dictionary_hits": DICTIONARY_HITS,
     "leads_dedupe": LEADS_DEDUPE,
     "leads_upsert": LEADS_UPSERT,
     "upsert_counts": UPSERT_COUNTS,

@@ -10,19 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spent_before(rows: DataFrame, cost: Column | str, order: str = "ord", out: str = "spent_before", per_range: int = 200_000) -> DataFrame:
-    """``rows`` with the sum of ``cost`` over all earlier rows; ``order`` must be a distinct number.
+def order_ranges(rows: DataFrame, order: str = "ord", per_range: int = 200_000, most: int = 1000) -> tuple[Column, int]:
+    """The number of the range that a row's ``order`` lies in, and how many ranges there are.
 
     The order's quantiles part the rows into ranges of about ``per_range`` rows, however the numbers are spread
-    (1000 ranges at most: of a longer table each holds more). Costs are summed as decimals of six places, so sums don't depend on the order of adding.
+    (``most`` ranges at most: of a longer table each holds more).
     """
-    cost = F.col(cost) if isinstance(cost, str) else cost
-    parts = max(1, min(1000, -(-rows.count() // per_range)))
+    parts = max(1, min(most, -(-rows.count() // per_range)))
     bounds = []
     if parts > 1:
         bounds = sorted(set(rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]))
     edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    bucketed = rows.withColumns({"_spent_range": F.size(F.filter(edges, lambda b: b < F.col(order))), "_spent_cost": cost.cast("decimal(28,6)")})
+    return F.size(F.filter(edges, lambda b: b < F.col(order))), parts
+
+
+def spent_before(rows: DataFrame, cost: Column | str, order: str = "ord", out: str = "spent_before", per_range: int = 200_000) -> DataFrame:
+    """``rows`` with the sum of ``cost`` over all earlier rows; ``order`` must be a distinct number.
+
+    Costs are summed as decimals of six places, so sums don't depend on the order of adding. See ``order_ranges`` for the ranges.
+    """
+    cost = F.col(cost) if isinstance(cost, str) else cost
+    place, parts = order_ranges(rows, order, per_range)
+    bucketed = rows.withColumns({"_spent_range": place, "_spent_cost": cost.cast("decimal(28,6)")})
     sums = {r["_spent_range"]: r.total for r in bucketed.groupBy("_spent_range").agg(F.sum("_spent_cost").alias("total")).collect()}  # a row for each range
     total, before = 0, []
     for b in range(parts):

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import bool_string, clean_text, filled, has, lead_id, merge_tokens, normalize_domain, parse_confidence, parse_score, valid_email
+from ..functions.values import bool_string, clean_text, filled, has, lead_id, merge_tokens, normalize_domain, parse_confidence, parse_score, split_tokens, valid_email
+from .budget import order_ranges
 
 # Columns of lead rows that hold scores or token lists.
 SCORES = ["vhd_fit_score", "lead_score", "input_lead_score"]
@@ -31,30 +32,63 @@ def last_per_key(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
 
+def joined_tokens(rows: DataFrame, key: str, columns: list[str], order: str = "ord") -> DataFrame:
+    """For each key the distinct tokens of each column, lower-cased, by their first place.
+
+    First places are taken before tokens are gathered, so a key's rows meet in no task, only its distinct tokens.
+    """
+
+    def placed(k: int, c: str) -> Column:
+        return F.transform(split_tokens(c, lower=True), lambda t, i: F.struct(F.lit(k).alias("which"), i.alias("pos"), t.alias("token")))
+
+    each = [placed(k, c) for k, c in enumerate(columns)]
+    firsts = rows.select(key, order, F.explode(F.concat(*each)).alias("t")).groupBy(key, "t.which", "t.token").agg(F.min(F.struct(order, "t.pos")).alias("place"))
+    one = F.struct("place", "token")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("which") == k, one))).alias(c) for k, c in enumerate(columns)]
+    return firsts.groupBy(key).agg(*lists).select(key, *(F.array_join(F.transform(c, lambda x: x["token"]), "|").alias(c) for c in columns))
+
+
+def joined_notes(rows: DataFrame, key: str, column: str = "notes", order: str = "ord", per_range: int = 200_000) -> DataFrame:
+    """For each key its filled notes in order, joined range by range: a task holds the rows of one range, then one text of each."""
+    filled_in = rows.where(F.col(column).isNotNull() & (F.col(column) != "")).select(key, order, column)
+    place, _ = order_ranges(filled_in, order, per_range)
+    in_order = lambda parts, value: F.array_join(F.transform(F.array_sort(parts), lambda x: x[value]), " | ")
+    pieces = filled_in.withColumn("_range", place).groupBy(key, "_range").agg(in_order(F.collect_list(F.struct(order, column)), column).alias(column))
+    return pieces.groupBy(key).agg(in_order(F.collect_list(F.struct("_range", column)), column).alias(column))
+
+
 def dedupe_leads(rows: DataFrame) -> DataFrame:
     """One row per domain, as folding the rows in order gives it.
 
     The better score wins, ties stay with the earlier row, and blanks are filled from the loser. That equals
     a precedence: the rows that raise the running maximum, latest first, then the others in
-    order. Token lists are united and notes joined in input order. Takes ``ord``; rows without a domain are dropped.
+    order. Token lists are united and notes joined in input order. Takes ``ord``, a distinct number; rows without a domain are dropped.
+
+    A row that raises the maximum is the first one of its score, so rows are combined by (domain, score) first, before any
+    shuffle: the first row as a whole, and for each column its first filled value. Only a domain's distinct scores meet in one
+    task; of them those raise it whose first row comes before the first rows of all higher scores.
     """
     columns = rows.columns
     domain = F.coalesce(*(filled(_present(c, columns)) for c in ("domain", "source_url", "url")))
     score = F.greatest(*(parse_score(_present(c, columns)) for c in SCORES))
     keyed = rows.withColumns({"_key": normalize_domain(domain), "_score": score}).where(F.col("_key") != "")
-    best = F.expr("max(_score) OVER (PARTITION BY _key ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    keyed = keyed.withColumn("_raises", best.isNull() | (F.col("_score") > best))
-    precedence = F.when(F.col("_raises"), F.struct(F.lit(0).alias("a"), (-F.col("ord")).alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("ord").alias("b")))
-    keyed = keyed.withColumn("_rank", precedence)
-    plain = [c for c in columns if c not in ("domain", "ord", "notes", *TOKENS)]
-    aggregated = [F.min_by(c, F.when(has(c), F.col("_rank"))).alias(c) for c in plain]
     tokens = [c for c in TOKENS if c in columns]
-    ordered = [F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("v")))).alias(c) for c in tokens + ["notes"] * ("notes" in columns)]
-    out = keyed.groupBy("_key").agg(F.min("ord").alias("ord"), *aggregated, *ordered)
-    parts = {c: merge_tokens(F.array_join(F.transform(c, lambda s: F.coalesce(s["v"], F.lit(""))), "|"), lower=True) for c in tokens}
+    plain = [c for c in columns if c not in ("domain", "ord", "notes", *TOKENS)]
+    firsts = [a for i, c in enumerate(plain) for a in (F.min_by(c, F.when(has(c), F.col("ord"))).alias(f"_v{i}"), F.min(F.when(has(c), F.col("ord"))).alias(f"_o{i}"))]
+    by_score = keyed.groupBy("_key", "_score").agg(F.min("ord").alias("ord"), F.min_by(F.struct(F.lit(0).alias("_"), *plain), "ord").alias("_row"), *firsts)
+    higher = F.expr("min(ord) OVER (PARTITION BY _key ORDER BY _score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    by_score = by_score.withColumn("_higher", higher).withColumn("_raises", F.col("_higher").isNull() | (F.col("ord") < F.col("_higher")))
+
+    def pick(i: int, c: str) -> Column:
+        own = F.col("_row")[c]
+        return F.coalesce(F.max_by(own, F.when(F.col("_raises") & has(own), F.col("ord"))), F.min_by(f"_v{i}", f"_o{i}")).alias(c)
+
+    out = by_score.groupBy("_key").agg(F.min("ord").alias("ord"), *(pick(i, c) for i, c in enumerate(plain)))
+    if tokens:
+        out = out.join(joined_tokens(keyed, "_key", tokens), "_key", "left").na.fill("", tokens)
     if "notes" in columns:
-        parts["notes"] = F.array_join(F.filter(F.transform("notes", lambda s: s["v"]), lambda v: v.isNotNull() & (v != "")), " | ")
-    return out.withColumns(parts).withColumnRenamed("_key", "domain").select("domain", *[c for c in columns if c != "domain"])
+        out = out.join(joined_notes(keyed, "_key"), "_key", "left").na.fill("", ["notes"])
+    return out.withColumnRenamed("_key", "domain").select("domain", *[c for c in columns if c != "domain"])
 
 
 def incoming_by_domain(rows: DataFrame, key: str = "domain_key", keyless: bool = False) -> DataFrame:

@@ -31,6 +31,31 @@ def test_dedupe_equals_the_sequential_fold(spark):
         assert [got[d][k] or "" for k in names[2:]] == [w[k] for k in names[2:]]
 
 
+def test_dedupe_of_a_hot_domain_sends_only_its_scores(spark):
+    """Half the rows are of one domain: what is shuffled for it are its distinct scores and tokens, and notes range by range."""
+    n = 40000
+    df = spark.range(n).select(
+        F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, "hot.example").otherwise(F.concat(F.lit("d"), F.col("id") % 997, F.lit(".example"))).alias("domain"),
+        (F.col("id") * 7919 % 101).cast("string").alias("vhd_fit_score"), F.when(F.col("id") % 50 == 48, F.concat(F.lit("n"), "id")).otherwise("").alias("company_name"), F.concat(F.lit("t"), F.col("id") % 13).alias("signals"),
+    )
+    out = merge.dedupe_leads(df.repartition(8))
+    rows = out.collect()
+    hot = next(r for r in rows if r.domain == "hot.example")
+    best = next(i for i in range(0, n, 2) if i * 7919 % 101 == 100)
+    raising, top = [], -1
+    for i in range(0, best + 1, 2):
+        if i * 7919 % 101 > top:
+            top, raising = i * 7919 % 101, raising + [i]
+    named = [i for i in reversed(raising) if i % 50 == 48] or [48]
+    assert (hot.vhd_fit_score, hot.company_name, len(hot.signals.split("|"))) == ("100", f"n{named[0]}", 13)
+    assert len(rows) == 1 + len({i % 997 for i in range(1, n, 2)})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_key" in plan and "_score" in plan  # the only window is over distinct scores
+    joined = merge.joined_notes(df.select("ord", "domain", F.col("signals").alias("notes")), "domain", per_range=1000)
+    first = {r.domain: r.notes for r in joined.collect()}["hot.example"]
+    assert first == " | ".join(f"t{i % 13}" for i in range(0, n, 2))
+
+
 def test_upsert_is_idempotent_and_keeps_stored_values(spark):
     stored = spark.createDataFrame([("a.example", "lead_1", "", "kept")], "domain_key string, lead_id string, url string, company_name string")
     rows = spark.createDataFrame([(1, "a.example", "u", "new"), (2, "b.example", "v", ""), (3, "b.example", "", "b"), (4, "", "w", "")], "ord long, domain_key string, url string, company_name string")
