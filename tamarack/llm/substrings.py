@@ -34,6 +34,8 @@ from .common import discard, materialize, release, slices, unused
 GRAM = 48
 #: Texts are cut into stretches of so many bytes where anchors' surroundings are taken out of them.
 STRETCH = 1 << 20
+#: Bytes whose hashes are held at once while anchors are picked: about a hundred bytes of arrays for each.
+PIECE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -89,7 +91,7 @@ def anchors(hashed: Hashed, valid: np.ndarray, length: int) -> np.ndarray:
     return np.unique(least & place).astype(np.int64)
 
 
-def _pieces(texts: list[bytes], length: int, most: int = 3 << 20):
+def _pieces(texts: list[bytes], length: int, most: int = PIECE):
     """(row, offset, piece) of texts; longer ones are cut with an overlap that keeps every window whole."""
     for row, t in enumerate(texts):
         if len(t) >= length:
@@ -100,11 +102,11 @@ def _pieces(texts: list[bytes], length: int, most: int = 3 << 20):
 def _anchor_rows(length: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, most=2 << 20):
+            for part in slices(batch, most=PIECE):
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()]
                 buffer, held = [], 0
                 for piece in [*_pieces(texts, length), None]:
-                    if piece is None or held + len(piece[2]) > 4 << 20:
+                    if piece is None or held + len(piece[2]) > 2 * PIECE:
                         if buffer:
                             yield _anchor_batch(buffer, texts, part, length)
                         buffer, held = [], 0
@@ -259,7 +261,7 @@ def repeats(contexts: list[bytes], left: np.ndarray, right: np.ndarray, group: n
     return np.where(found, far, 0), np.where(found, length - near, 0)
 
 
-def _sorter(length: int, block: int = 8192):
+def _sorter(length: int, block: int = 2048):
     names = [*_KEY, "start", "end"]
 
     def work(rows):
@@ -460,12 +462,13 @@ def digests(documents: DataFrame, length: int = 200) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, got in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data, runs = text.encode("utf-8", "replace"), merge(got)
-                out.append((len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(cut(data, runs)).hexdigest()))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for part in slices(batch, most=4 << 20):
+                out = []
+                for text, got in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    data, runs = text.encode("utf-8", "replace"), merge(got)
+                    out.append((len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(cut(data, runs)).hexdigest()))
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {(1 << 63) - 1}L)"))
@@ -485,15 +488,16 @@ def remove(documents: DataFrame, length: int = 200) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, got in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if text is not None and got:
-                    data = text.encode("utf-8", "replace")
-                    text = cut(data, to_characters(data, merge(got))).decode("utf-8")
-                texts.append(text)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            for part in slices(batch, most=4 << 20):
+                texts = []
+                for text, got in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                    if text is not None and got:
+                        data = text.encode("utf-8", "replace")
+                        text = cut(data, to_characters(data, merge(got))).decode("utf-8")
+                    texts.append(text)
+                columns = part.columns[:-1]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
     out = rows.mapInArrow(run, documents.schema)
     if "n_chars" in documents.columns:
