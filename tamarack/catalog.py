@@ -11,6 +11,7 @@ from .functions import contacts, markers
 from .functions.values import clamp_score, clean_text, country_hint, is_dach, lead_id, merge_tokens, normalize_category, normalize_domain, normalize_url, parse_confidence, parse_score, split_tokens
 from .operators import budget, classify, dictionary, facts, merge, pages, search
 from .plans import gates, patches, queue, runs
+from .plans import single_pass as single_passes
 from .plans import waterfall as waterfalls
 from .sources.tables import read_master, shared_folder, table
 
@@ -500,6 +501,24 @@ def scrapes_ingested(spark, sf):
 SCRAPES_INGESTED = """SELECT page_id, md5(coalesce(html, '')) AS markdown_md5, coalesce(url, '') AS source_url, '' AS title, CASE WHEN html IS NULL THEN 0 ELSE 200 END AS status_code, '' AS warning FROM pages"""
 
 
+def bodies_checked(spark, sf):
+    """Turns as archived search answers, some cut off, empty, or of another shape by the key: how many of each kind, and hits of the good ones."""
+    c = table(spark, sf, "conversations")
+    hit = F.struct(F.col("role").alias("title"), F.concat(F.lit("https://"), F.col("role"), F.lit(".example/")).alias("link"), F.col("text").alias("snippet"))
+    whole = F.to_json(F.struct(F.array(hit).alias("organic")))
+    k = F.pmod("conv_id", F.lit(11))
+    broken = F.when(k == 1, F.substring(whole, F.lit(1), F.char_length(whole) - 3)).when(k == 2, "<html>502</html>").when(k == 3, None).when(k == 4, " ").when(k == 5, '{"error": "quota"}').when(k == 6, "[1, 2]").when(k == 7, F.concat(whole, F.lit("}")))
+    good, bad = search.accept_bodies(c.select("conv_id", "turn", F.when(k.between(1, 7), broken).otherwise(whole).alias("body")), "hits")
+    counts = bad.groupBy("reason").agg(F.count("*").alias("n_bodies"), F.sum(F.char_length("body")).alias("n_chars"), F.lit(0).cast("long").alias("n_hits"))
+    return counts.unionByName(search.hit_rows(good).agg(F.lit("ok").alias("reason"), F.countDistinct("conv_id", "turn").alias("n_bodies"), F.lit(None).cast("long").alias("n_chars"), F.count("*").alias("n_hits")))
+
+
+BODIES_CHECKED = """WITH b AS (SELECT conv_id, ((conv_id % 11) + 11) % 11 AS k, json_object('organic', [json_object('title', role, 'link', 'https://' || role || '.example/', 'snippet', text)])::VARCHAR AS whole FROM conversations),
+d AS (SELECT k, CASE k WHEN 1 THEN substr(whole, 1, length(whole) - 3) WHEN 2 THEN '<html>502</html>' WHEN 3 THEN NULL WHEN 4 THEN ' ' WHEN 5 THEN '{"error": "quota"}' WHEN 6 THEN '[1, 2]' WHEN 7 THEN whole || '}' ELSE whole END AS body FROM b),
+r AS (SELECT body, CASE WHEN body IS NULL THEN 'null' WHEN trim(body) = '' THEN 'blank' WHEN NOT json_valid(body) THEN 'malformed' WHEN json_extract(CASE WHEN json_valid(body) THEN body END, '$.organic') IS NULL THEN 'unexpected' ELSE 'ok' END AS reason FROM d)
+SELECT reason, count(*) AS n_bodies, CASE WHEN reason <> 'ok' THEN sum(length(body)) END::BIGINT AS n_chars, count(*) FILTER (reason = 'ok') AS n_hits FROM r GROUP BY reason"""
+
+
 def mail_export(spark, sf):
     """Documents with an address as rows of the mailing hand-off."""
     email = contacts.site_email("text")
@@ -735,6 +754,47 @@ def single_pass(spark, sf):
     return rows.withColumn("g", gate).groupBy("priority", F.col("g.status").alias("status")).agg(F.count("*").alias("n_leads"))
 
 
+def single_pass_rows(spark, sf):
+    """Every customer lead with its site's facts through the single pass: rows of 48 columns."""
+    k = F.regexp_extract("domain", r"\d+", 0).cast("long")
+    blank = lambda condition, value: F.when(condition, value).otherwise("")
+    site = F.concat(F.lit("https://"), "domain", F.lit("/"))
+    rows = _queue(spark, sf).select("domain", "company_name", "lead_type", "vhd_fit_score", "is_shop", "is_woocommerce", "possible_shop_levers", F.col("phone_main").alias("phone"), k.alias("k"))
+    rows = rows.withColumns({"email": blank(F.col("k") % 4 == 1, F.concat(F.lit("info@"), "domain")), "company_name": blank(F.col("k") % 5 != 2, F.col("company_name")), "exclusion_reason": blank(F.col("k") % 31 == 0, F.lit("blocked")), "country_hint": blank(F.col("k") % 2 == 0, F.lit("de")), "is_dach": blank(F.col("k") % 3 == 0, F.lit("yes")), "signals": blank(F.col("k") % 5 == 0, F.lit("x|wordpress")), "tracking_signals": blank(F.col("k") % 4 == 0, F.lit("ga4|gtm")), "notes": blank(F.col("k") % 6 == 0, F.concat(F.lit("n"), "k"))})
+    named = F.col("k") % 2 == 0
+    facts = rows.where("k % 3 <> 2").select("domain", blank(F.col("k") % 7 != 0, F.concat(F.lit("Muster "), "k", F.lit(" GmbH"))).alias("legal_name"), F.lit("GmbH").alias("legal_form"), F.concat(site, F.lit("impressum")).alias("imprint_url"), F.concat(site, F.lit("kontakt")).alias("contact_url"), blank(named, F.lit("Erika Muster")).alias("managing_director_name"), F.when(F.col("k") % 4 == 0, "Inhaber").otherwise("Geschaeftsfuehrer").alias("managing_director_role"), F.lit("post@example.de").alias("general_email"), F.lit("+49 40 1234567").alias("phone_main"), blank(named, F.lit("imprint")).alias("decision_source"), blank(named, F.lit("0.8")).alias("decision_confidence"))
+    return single_passes.single_pass(rows.drop("k"), "2026-01-01T00:00:00Z", facts)
+
+
+_PRIORITY = "CASE WHEN kind = 'agency' OR k % 31 = 0 THEN 'Reject' WHEN NOT shop AND NOT target THEN CASE WHEN overall >= 45 THEN 'Review' ELSE 'Reject' END WHEN overall >= 75 THEN 'A' WHEN overall >= 55 THEN 'B' WHEN overall >= 40 THEN 'C' ELSE 'Review' END"
+SINGLE_PASS_ROWS = f"""WITH {_Q},
+n AS (SELECT q.*, c_name, 'c' || k || '.example.de' AS domain FROM q JOIN customer ON c_custkey = k),
+s AS (SELECT *, least(100, score + CASE WHEN shop THEN 15 ELSE 0 END + CASE WHEN target THEN 15 ELSE 0 END + CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 5 ELSE 0 END)::INT AS relevance, least(100, 20 + 12 + CASE WHEN target THEN 12 ELSE 0 END - CASE WHEN lever = 0 THEN 12 ELSE 0 END)::INT AS technical,
+  least(100, 15 + CASE WHEN lever = 0 THEN 30 ELSE 0 END + CASE WHEN conv THEN 15 ELSE 0 END)::INT AS conversion, least(100, score + CASE WHEN lever = 4 THEN 12 ELSE 0 END + CASE WHEN target AND shop THEN 10 ELSE 0 END)::INT AS potential FROM n),
+o AS (SELECT *, round_even(relevance * 0.35::DOUBLE + technical * 0.25::DOUBLE + conversion * 0.20::DOUBLE + potential * 0.20::DOUBLE, 0)::INT AS overall FROM s),
+p AS (SELECT *, {_PRIORITY} AS priority FROM o),
+f AS (SELECT *, priority IN ('A', 'B') AND k % 3 <> 2 AS met, CASE lever WHEN 0 THEN '{classify.ANGLES[0][1]}' WHEN 1 THEN '{classify.ANGLES[1][1]}' WHEN 2 THEN '{classify.ANGLES[2][1]}' WHEN 3 THEN '{classify.ANGLES[4][1]}' ELSE '{classify.ANGLE_ELSE}' END AS angle,
+  concat_ws('|', CASE lever {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LEVERS))} END, CASE WHEN conv THEN 'conversion_path_review' END) AS levers FROM p),
+g AS (SELECT *, met AND k % 7 <> 0 AS imprint, met AND k % 2 = 0 AS person, CASE WHEN k % 3 <> 1 THEN '+49 30 ' || (k + 1000000) WHEN met THEN '+49 40 1234567' ELSE '' END AS phone, CASE WHEN k % 4 = 1 THEN 'info@' || domain WHEN met THEN 'post@example.de' ELSE '' END AS email FROM f),
+h AS (SELECT *, CASE WHEN priority IN ('A', 'B') THEN CASE WHEN phone <> '' THEN 'phone_main' ELSE 'manual_linkedin_research' END WHEN email <> '' THEN 'manual_review_generic_email_only' ELSE 'manual_review' END AS channel,
+  CASE WHEN k % 31 = 0 OR priority = 'Reject' THEN 'do_not_contact' WHEN priority IN ('A', 'B') AND phone <> '' THEN 'outreach_ready' ELSE 'manual_review' END AS status FROM g),
+r AS (SELECT *, CASE status WHEN 'do_not_contact' THEN 'Lead is rejected, excluded, or has a do-not-contact signal.' WHEN 'outreach_ready' THEN 'A/B lead with concrete shop relevance and phone-first channel.' ELSE 'Lead needs manual review before outreach readiness.' END AS reason FROM h)
+SELECT 'lead_' || substr(sha1(domain), 1, 12) AS lead_id, domain, 'https://' || domain || '/' AS website_url, CASE WHEN imprint THEN 'Muster ' || k || ' GmbH' WHEN k % 5 <> 2 THEN c_name ELSE 'C' || k END AS company_name,
+  CASE WHEN imprint THEN 'website_imprint' WHEN k % 5 <> 2 THEN 'input_csv:company_name' ELSE 'derived_from_domain' END AS company_name_source, CASE WHEN imprint THEN '0.95' WHEN k % 5 <> 2 THEN '0.70' ELSE '0.35' END AS company_name_confidence,
+  CASE WHEN imprint THEN 'Muster ' || k || ' GmbH' ELSE '' END AS legal_name, CASE WHEN met THEN 'GmbH' ELSE '' END AS legal_form, '' AS street, '' AS zip, '' AS city, CASE WHEN k % 2 = 0 THEN 'DE' WHEN k % 3 = 0 THEN 'DACH' ELSE '' END AS country,
+  CASE WHEN met THEN 'https://' || domain || '/impressum' ELSE '' END AS imprint_url, '' AS register_source, '' AS register_number, CASE WHEN person AND k % 4 <> 0 THEN 'Erika Muster' ELSE '' END AS managing_director, CASE WHEN person AND k % 4 = 0 THEN 'Erika Muster' ELSE '' END AS owner_name,
+  CASE WHEN person THEN 'Erika Muster' ELSE '' END AS decision_maker_1_name, CASE WHEN person AND k % 4 <> 0 THEN 'Geschaeftsfuehrer' WHEN person THEN 'Inhaber' WHEN priority IN ('A', 'B') OR target THEN 'Inhaber/Geschaeftsfuehrer oder E-Commerce-Leitung' ELSE 'Inhaber/Geschaeftsfuehrer' END AS decision_maker_1_role,
+  CASE WHEN person THEN 'imprint' ELSE '' END AS decision_maker_1_source, CASE WHEN person THEN '0.80' ELSE '' END AS decision_maker_1_confidence, '' AS linkedin_company_url, '' AS linkedin_person_url, phone AS phone_main,
+  CASE WHEN k % 3 <> 1 THEN 'input_csv:phone' WHEN met THEN 'website_public_page' ELSE '' END AS phone_main_source, email AS email_general, CASE WHEN k % 4 = 1 THEN 'input_csv:email' WHEN met THEN 'website_public_page' ELSE '' END AS email_general_source, '' AS email_personal, '' AS email_personal_source,
+  CASE WHEN met THEN 'https://' || domain || '/kontakt' ELSE '' END AS contact_form_url, concat_ws('|', CASE WHEN target THEN 'woocommerce' END, CASE WHEN k % 5 = 0 THEN 'wordpress' END, CASE WHEN k % 4 = 0 THEN 'ga4|gtm' END) AS technology_stack,
+  target::VARCHAR AS woocommerce_detected, (k % 5 = 0)::VARCHAR AS wordpress_detected, relevance::VARCHAR AS shop_relevance_score, technical::VARCHAR AS technical_pain_score, conversion::VARCHAR AS conversion_pain_score, potential::VARCHAR AS business_potential_score, priority AS overall_priority, channel AS recommended_outreach_channel, angle AS outreach_angle,
+  CASE WHEN priority IN ('A', 'B') THEN CASE WHEN target THEN 'WooCommerce shop' ELSE 'verified shop' END || ' with documented shop optimization lever: ' || angle || ' Technical growth optimization is offered; business-specific relevance exists; first contact channel recommended: ' || channel || '.'
+    ELSE 'Not ready for outreach; manual relevance and channel review required.' END AS mutmassliche_einwilligung_reason,
+  CASE WHEN person THEN 'Art. 6(1)(f) GDPR legitimate-interest review required; process only business-relevant data needed for B2B lead review; keep source evidence and allow manual review before outreach.' ELSE 'Company-level enrichment only; if personal data is added later, perform Art. 6(1)(f) GDPR legitimate-interest balancing and keep data minimised.' END AS gdpr_legal_basis_note,
+  status AS compliance_status, (status = 'do_not_contact')::VARCHAR AS do_not_contact, CASE WHEN status = 'do_not_contact' THEN reason ELSE '' END AS do_not_contact_reason, '2026-01-01T00:00:00Z' AS last_enriched_at,
+  CASE status WHEN 'outreach_ready' THEN 'manual_call_review' ELSE status END AS next_action, concat_ws(' | ', CASE WHEN k % 6 = 0 THEN 'n' || k END, reason, CASE WHEN levers <> '' THEN 'source_levers=' || levers END) AS notes FROM r"""
+
+
 def _answers(spark, sf) -> dict[str, DataFrame]:
     """Archived answers for the customers, from their keys: imprints and people in search hits, scraped imprints, research."""
     c = table(spark, sf, "customer").select(F.concat(F.lit("lead_"), F.col("c_custkey")).alias("lead_id"), F.col("c_custkey").alias("k"))
@@ -772,8 +832,8 @@ QUERIES = {
     for f in (
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, dictionary_hits, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
-        cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, mail_export, first_urls, props_json,
-        quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, waterfall, values_parsed,
+        cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, bodies_checked, mail_export, first_urls, props_json,
+        quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, single_pass_rows, waterfall, values_parsed,
     )
 }
 
@@ -812,6 +872,7 @@ ORACLE_SQL: dict[str, str] = {
     "hits_ingested": HITS_INGESTED,
     "research_ingested": RESEARCH_INGESTED,
     "scrapes_ingested": SCRAPES_INGESTED,
+    "bodies_checked": BODIES_CHECKED,
     "mail_export": MAIL_EXPORT,
     "first_urls": FIRST_URLS,
     "props_json": PROPS_JSON,
@@ -828,5 +889,6 @@ ORACLE_SQL: dict[str, str] = {
     "lead_import": LEAD_IMPORT,
     "results_join": RESULTS_JOIN,
     "planned_queries": PLANNED_QUERIES,
+    "single_pass_rows": SINGLE_PASS_ROWS,
     "values_parsed": VALUES_PARSED,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markers
 from ..functions.contacts import site_email
 from ..functions.values import clean_text, country_hint, filled, has, merge_signals, normalize_domain, same_domain, truthy
+from ..sources.tables import cut
 from .pages import html_text
 
 # Parts of domains that searches should never bring in.
@@ -55,46 +56,93 @@ def search_score(labels: Column, email: Column, phone: Column, weights: dict[str
 
 
 HITS = "array<struct<url:string,link:string,title:string,description:string,snippet:string,extra_snippets:array<string>,profile:struct<name:string>>>"
+#: Kinds of archived answers: the shape of their bodies, and what one must hold to be of use.
+BODIES = {
+    "search": (f"struct<web:struct<results:{HITS}>,items:{HITS}>", lambda p: F.coalesce(p["web"]["results"], p["items"])),
+    "hits": ("struct<organic:array<struct<title:string,link:string,snippet:string,position:int>>>", lambda p: p["organic"]),
+    "research": ("struct<query:string,answer:string,usage:struct<credits:int>,results:array<struct<title:string,url:string,content:string,score:double,raw_content:string>>>", lambda p: F.coalesce(p["query"], p["answer"], p["results"].cast("string"))),
+    "scrapes": ("struct<success:boolean,data:struct<markdown:string,warning:string,metadata:struct<title:string,sourceURL:string,statusCode:int>>>", lambda p: p["data"]),
+}
 
 
-def ingest_search_responses(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Archived search answers (query, body as JSON) to one row per hit; answers that can't be parsed give none.
+def parsed_bodies(responses: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """``responses`` with the body as a struct ``_p`` instead of JSON text."""
+    return responses.withColumn("_p", F.from_json(body, BODIES[kind][0])).drop(body)
+
+
+def accept_bodies(responses: DataFrame, kind: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Archived answers that can be read, parsed as ``parsed_bodies`` does, and the others with their body and a ``reason``.
 
-    Takes hits from ``web.results`` or ``items``. Markup is stripped, extra snippets are appended, and the company is the
-    profile's name, else the title.
+    Reasons: ``null``, ``blank``, ``malformed`` (no JSON), ``unexpected`` (JSON without what its kind must hold). The answers are
+    read and parsed once; both results come from that one writing, in a folder each.
     """
-    parsed = F.from_json(body, f"struct<web:struct<results:{HITS}>,items:{HITS}>")
-    rows = responses.withColumn("_p", parsed).select(*responses.columns, F.posexplode(F.coalesce("_p.web.results", "_p.items")).alias("pos", "hit"))
+    shape, needed = BODIES[kind]
+    p = F.from_json(body, shape)
+    rows = responses.withColumn("_p", p)
+    held = needed(F.col("_p"))
+    # from_json reads what it can of broken text, so whether it is JSON at all is asked of the strict parser; that stops after
+    # the first value, so the text is put where nothing may follow it: no text but one value fits both in an array and in an object
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
+    reason = F.when(F.col(body).isNull(), "null").when(F.btrim(F.col(body), F.lit(" \t\r\n")) == "", "blank").when(~whole, "malformed").when(held.isNull(), "unexpected").otherwise("ok")
+    rows = cut(rows.withColumns({"_reason": reason, body: F.when(reason != "ok", F.col(body))}), "bodies", "_reason")
+    good = rows.where("_reason = 'ok'").drop("_reason", body)
+    bad = rows.where("_reason != 'ok'").drop("_p").withColumnRenamed("_reason", "reason")
+    return good, bad
+
+
+def search_rows(answers: DataFrame) -> DataFrame:
+    """One row per hit of parsed search answers, from ``web.results`` or ``items``.
+
+    Markup is stripped, extra snippets are appended, and the company is the profile's name, else the title.
+    """
+    keep = [c for c in answers.columns if c != "_p"]
+    rows = answers.select(*keep, F.posexplode(F.coalesce("_p.web.results", "_p.items")).alias("pos", "hit"))
     url = F.coalesce("hit.url", "hit.link", F.lit(""))
     text = F.concat_ws(" ", F.coalesce("hit.description", "hit.snippet"), F.array_join("hit.extra_snippets", " "))
     title = html_text("hit.title")
     domain = normalize_domain(url)
-    out = rows.select(*[c for c in responses.columns if c != body], "pos", url.alias("url"), domain.alias("domain"), title.alias("title"), html_text(text).alias("snippet"), F.coalesce(filled("hit.profile.name"), title).alias("company_name"))
+    out = rows.select(*keep, "pos", url.alias("url"), domain.alias("domain"), title.alias("title"), html_text(text).alias("snippet"), F.coalesce(filled("hit.profile.name"), title).alias("company_name"))
     labels = signals(F.concat_ws(" ", "title", "snippet"), F.col("url"))
     out = out.withColumns({"signals": labels, "email": site_email("snippet"), "country_hint": country_hint("domain")})
     return out.withColumn("score", search_score(F.col("signals"), F.col("email"), F.lit("")))
 
 
-def ingest_hits(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Archived enrichment-search answers to typed hits: without a link they are dropped, position defaults to index + 1."""
-    hit = "array<struct<title:string,link:string,snippet:string,position:int>>"
-    rows = responses.withColumn("_h", F.from_json(body, f"struct<organic:{hit}>")["organic"]).select(*[c for c in responses.columns if c != body], F.posexplode("_h").alias("i", "h"))
-    rows = rows.select(*[c for c in rows.columns if c not in ("i", "h")], F.coalesce("h.title", F.lit("")).alias("title"), F.coalesce("h.link", F.lit("")).alias("link"), F.coalesce("h.snippet", F.lit("")).alias("snippet"), F.coalesce("h.position", F.col("i") + 1).alias("position"))
+def hit_rows(answers: DataFrame) -> DataFrame:
+    """Typed hits of parsed enrichment searches: without a link they are dropped, position defaults to index + 1."""
+    keep = [c for c in answers.columns if c != "_p"]
+    rows = answers.select(*keep, F.posexplode("_p.organic").alias("i", "h"))
+    rows = rows.select(*keep, F.coalesce("h.title", F.lit("")).alias("title"), F.coalesce("h.link", F.lit("")).alias("link"), F.coalesce("h.snippet", F.lit("")).alias("snippet"), F.coalesce("h.position", F.col("i") + 1).alias("position"))
     return rows.where(F.col("link") != "")
 
 
+def research_rows(answers: DataFrame) -> DataFrame:
+    """Query, answer, credits (1 by default) and hits with title, url, content and score of parsed research answers."""
+    return answers.select(*[c for c in answers.columns if c != "_p"], F.coalesce("_p.query", F.lit("")).alias("research_query"), F.coalesce("_p.answer", F.lit("")).alias("answer"), F.coalesce("_p.usage.credits", F.lit(1)).alias("credits"), F.filter(F.coalesce("_p.results", F.array()), lambda h: h["url"].isNotNull() & (h["url"] != "")).alias("hits"))
+
+
+def scrape_rows(answers: DataFrame) -> DataFrame:
+    """Markdown, source address, title, status and warning of parsed scrapes."""
+    return answers.select(*[c for c in answers.columns if c != "_p"], F.coalesce("_p.data.markdown", F.lit("")).alias("markdown"), F.coalesce("_p.data.metadata.sourceURL", F.lit("")).alias("source_url"), F.coalesce("_p.data.metadata.title", F.lit("")).alias("title"), F.coalesce("_p.data.metadata.statusCode", F.lit(0)).alias("status_code"), F.coalesce("_p.data.warning", F.lit("")).alias("warning"))
+
+
+def ingest_search_responses(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Archived search answers (query, body as JSON) to one row per hit; bodies that can't be read give none (see ``accept_bodies``)."""
+    return search_rows(parsed_bodies(responses, "search", body))
+
+
+def ingest_hits(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Archived enrichment-search answers to typed hits; bodies that can't be read give none (see ``accept_bodies``)."""
+    return hit_rows(parsed_bodies(responses, "hits", body))
+
+
 def ingest_research(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Archived research answers: query, answer, credits (1 by default) and hits with title, url, content and score."""
-    kind = "struct<query:string,answer:string,usage:struct<credits:int>,results:array<struct<title:string,url:string,content:string,score:double,raw_content:string>>>"
-    p = responses.withColumn("_p", F.from_json(body, kind))
-    return p.select(*[c for c in responses.columns if c != body], F.coalesce("_p.query", F.lit("")).alias("research_query"), F.coalesce("_p.answer", F.lit("")).alias("answer"), F.coalesce("_p.usage.credits", F.lit(1)).alias("credits"), F.filter(F.coalesce("_p.results", F.array()), lambda h: h["url"].isNotNull() & (h["url"] != "")).alias("hits"))
+    """Archived research answers; bodies that can't be read give blank ones (see ``accept_bodies``)."""
+    return research_rows(parsed_bodies(responses, "research", body))
 
 
 def ingest_scrapes(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Archived scrapes: markdown, source address, title, status and warning."""
-    kind = "struct<success:boolean,data:struct<markdown:string,warning:string,metadata:struct<title:string,sourceURL:string,statusCode:int>>>"
-    d = responses.withColumn("_d", F.from_json(body, kind)["data"])
-    return d.select(*[c for c in responses.columns if c != body], F.coalesce("_d.markdown", F.lit("")).alias("markdown"), F.coalesce("_d.metadata.sourceURL", F.lit("")).alias("source_url"), F.coalesce("_d.metadata.title", F.lit("")).alias("title"), F.coalesce("_d.metadata.statusCode", F.lit(0)).alias("status_code"), F.coalesce("_d.warning", F.lit("")).alias("warning"))
+    """Archived scrapes; bodies that can't be read give blank ones (see ``accept_bodies``)."""
+    return scrape_rows(parsed_bodies(responses, "scrapes", body))
 
 
 # Columns that a later search fills only where the stored row is blank.

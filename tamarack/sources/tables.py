@@ -38,11 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later steps start from there."""
+def cut(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later steps start from there.
+
+    With columns in ``folders`` the rows of each of their values lie in a folder, so that readers of one value read nothing else.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
