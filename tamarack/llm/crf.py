@@ -51,15 +51,15 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pair
             go = np.searchsorted(-sizes[own], -t, side="left")  # the first of them reach item t
             step[:go] = (step[:go] @ a) * e[starts[own[:go]] + t][:, None, :]
             step[:go] /= step[:go].max(axis=(1, 2), keepdims=True)
-        transfer = np.zeros((len(sizes), k, k))
-        transfer[own] = step
+        slot = np.full(len(sizes), -1)  # only blocks of sequences of several blocks have a transfer matrix
+        slot[own] = np.arange(len(own))
         for r in range(1, int(parts.max())):
             at = np.flatnonzero(rank == r)
-            now = np.einsum("bi,bij->bj", before[at - 1], transfer[at - 1])
+            now = np.einsum("bi,bij->bj", before[at - 1], step[slot[at - 1]])
             before[at] = now / now.sum(axis=1, keepdims=True)
         for r in range(int(parts.max()) - 1, 0, -1):
             at = np.flatnonzero(rank == r)
-            now = np.einsum("bij,bj->bi", transfer[at], after[at])
+            now = np.einsum("bij,bj->bi", step[slot[at]], after[at])
             after[at - 1] = now / now.sum(axis=1, keepdims=True)
     alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones(n)
     if n:
@@ -86,6 +86,42 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pair
     return out, (x.T @ y) * a
 
 
+def marginal_chunks(emission, n: int, trans: np.ndarray, chunk: int):
+    """Label marginals of one chain of any length, chunk by chunk from its end: (first item, marginals (items, K)).
+
+    ``emission`` (a, b) gives the log scores of the items from a to b. The first pass keeps the forward sums that enter each chunk, the
+    second takes the chunk's forward sums anew and carries the backward sums, so a chunk is all that is held at once.
+    """
+    a = np.exp(trans - trans.max())
+    starts = range(0, n, chunk)
+
+    def scores(at):
+        e = emission(at, min(at + chunk, n))
+        return np.exp(e - e.max(axis=1, keepdims=True))
+
+    def forward(e, now):
+        out = np.empty_like(e)
+        for t in range(len(e)):
+            now = (now @ a if now is not None else 1.0) * e[t]
+            now = out[t] = now / now.sum()
+        return out
+
+    enters, now = [], None
+    for at in starts:
+        enters.append(now)
+        now = forward(scores(at), now)[-1]
+    back = np.ones(len(trans))
+    for at, now in zip(reversed(starts), reversed(enters)):
+        e = scores(at)
+        out = forward(e, now)
+        for t in range(len(e) - 1, -1, -1):
+            out[t] *= back
+            out[t] /= out[t].sum()
+            back = a @ (e[t] * back)
+            back /= back.sum()
+        yield at, out
+
+
 def viterbi(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The best label sequence of each sequence, as one flat array; ties go to the lower label."""
     lay = Layout(lengths)

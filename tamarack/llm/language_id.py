@@ -22,13 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, remainder, slices
-from .crf import Adam, marginals
+from .crf import Adam, marginal_chunks, marginals
 from .subword import Subwords
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES, BITS = (2, 3, 4), 16
 #: Weights of a table of n-grams at most, over all languages: with more than 64 of them, n-grams share more places.
 WEIGHTS = 1 << 22
+#: Numbers (words times languages) that are worked on at once, and that the scores of words met before take.
+CELLS, KEPT = 1 << 22, 1 << 23
+#: With more languages, chains go item by item: a transfer matrix for each block would cost more than it saves.
+FEW = 16
 UNKNOWN = "und"
 
 
@@ -41,10 +45,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Emissions:
-    """Log scores of a word for each language, kept for words met before (at most ``keep`` of them)."""
+    """Log scores of a word for each language, kept for words met before (at most ``keep`` of them, fewer of very many languages)."""
 
     def __init__(self, model: dict, keep: int = 200_000):
-        self.model, self.keep = model, keep
+        self.model, self.keep = model, min(keep, KEPT // max(1, len(model["languages"])))
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, len(model["languages"])))
 
@@ -130,7 +134,8 @@ def fit(documents: DataFrame, per_language: int = 120, in_all: int = 4000) -> di
     each = min(per_language, max(8, in_all // max(1, known)))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     # a row for each language, all of which the model holds anyway; small languages give all they have
-    some = rows.select("doc_id", "text", "lang").join(F.broadcast(counts), F.col("lang") == F.col("name")).where(share * F.col("n") < each)
+    counts = F.broadcast(counts) if known <= 10_000 else counts
+    some = rows.select("doc_id", "text", "lang").join(counts, F.col("lang") == F.col("name")).where(share * F.col("n") < each)
     got = some.select("doc_id", "text", "lang").orderBy("doc_id", "text", "lang").limit(2 * each * max(1, known)).collect()
     return train([r.text for r in got], [r.lang for r in got])
 
@@ -142,7 +147,56 @@ def label_words(texts: list[str | None], emissions: Emissions) -> tuple[np.ndarr
     flat = [w for d in docs for w in d]
     if not emissions.model["languages"]:
         return np.zeros((len(flat), 1)), lengths
-    return marginals(emissions(flat), lengths, emissions.model["trans"]), lengths
+    return _chains(emissions, flat, lengths), lengths
+
+
+def _chains(emissions: Emissions, words: list[str], lengths: np.ndarray) -> np.ndarray:
+    trans = emissions.model["trans"]
+    return marginals(emissions(words), lengths, trans, block=256 if len(trans) <= FEW else max(256, int(lengths.max(initial=0))))
+
+
+def judge_texts(texts: list[str | None], emissions: Emissions, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the language of the largest share, that share, its number of words and of switches between languages.
+
+    Texts are taken together as long as words (and texts) times languages stay below ``cells``; a longer one goes chunk by chunk.
+    """
+    k = max(1, len(emissions.model["languages"]))
+    docs = [words_of(t) for t in texts]
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    best, score, switches = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
+    if not emissions.model["languages"]:
+        return best, score, lengths, switches
+    first = 0
+    while first < len(docs):
+        end, words = first, 0
+        while end < len(docs) and (end == first or (words + int(lengths[end]) + end - first) * k <= cells):
+            words += int(lengths[end])
+            end += 1
+        if words * k > cells:
+            sums, switches[first] = _by_chunks(docs[first], emissions, max(1, cells // (4 * k)))
+            sums = sums[None, :]
+        else:
+            own = lengths[first:end]
+            p = _chains(emissions, [w for d in docs[first:end] for w in d], own)
+            doc = np.repeat(np.arange(end - first), own)
+            sums = np.stack([np.bincount(doc, weights=p[:, j], minlength=end - first) for j in range(k)], axis=1)
+            label = p.argmax(axis=1) if len(p) else np.zeros(0, int)
+            switch = (label[1:] != label[:-1]) & (doc[1:] == doc[:-1])
+            switches[first:end] = np.bincount(doc[1:], weights=switch, minlength=end - first).astype(np.int64)
+        best[first:end] = sums.argmax(axis=1)
+        score[first:end] = np.minimum(sums.max(axis=1) / np.maximum(lengths[first:end], 1), 1.0)
+        first = end
+    return best, score, lengths, switches
+
+
+def _by_chunks(words: list[str], emissions: Emissions, chunk: int) -> tuple[np.ndarray, int]:
+    sums, switches, later = np.zeros(len(emissions.model["languages"])), 0, None
+    for _, p in marginal_chunks(lambda a, b: emissions(words[a:b]), len(words), emissions.model["trans"], chunk):
+        sums += p.sum(axis=0)
+        label = p.argmax(axis=1)
+        switches += int((label[1:] != label[:-1]).sum()) + (later is not None and int(label[-1]) != later)
+        later = int(label[0])
+    return sums, switches
 
 
 def predict(documents: DataFrame, model: dict) -> DataFrame:
@@ -155,19 +209,10 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
         languages, emissions = shared.value["languages"], Emissions(shared.value)
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                p, lengths = label_words(part.column(2).to_pylist(), emissions)
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                k = max(1, len(languages))
-                sums = np.zeros((len(lengths), k))
-                for j in range(len(languages)):
-                    sums[:, j] = np.bincount(doc, weights=p[:, j], minlength=len(lengths))
-                best, n = sums.argmax(axis=1), np.maximum(lengths, 1)
-                score = np.minimum(sums[np.arange(len(best)), best] / n, 1.0)
-                label = p.argmax(axis=1) if len(p) else np.zeros(0, int)
-                switch = (label[1:] != label[:-1]) & (doc[1:] == doc[:-1])
-                switches = np.bincount(doc[1:], weights=switch, minlength=len(lengths)).astype(np.int64)
+                best, score, lengths, switches = judge_texts(part.column(2).to_pylist(), emissions)
                 known = [bool(m) and bool(languages) for m in lengths]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], pa.string()), pa.array([float(s) if ok else 0.0 for s, ok in zip(score, known)]), pa.array(lengths), pa.array(switches)], names=names)
+                named = pa.array([languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), named, pa.array([float(s) if ok else 0.0 for s, ok in zip(score, known)]), pa.array(lengths), pa.array(switches)], names=names)
 
     held = remainder("doc_id") == 0
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, schema)

@@ -2,9 +2,12 @@
 
 import collections
 import itertools
+import random
 import re
+import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tamarack.llm import crf, language_id, line_quality, quality_classifier, queries
@@ -56,6 +59,53 @@ def test_blocks_carry_the_whole_chain():
     assert (crf.marginals(emission, np.array([5000]), trans)[:, 0] > 0.999).all()
 
 
+def many_language_model(k, bits=12):
+    rng = np.random.default_rng(3)
+    tables = [rng.normal(size=(1 << bits, k)).astype(np.float32) for _ in language_id.SIZES]
+    return {"languages": [f"l{i:03d}" for i in range(k)], "bits": bits, "tables": tables, "lexicon": {"abc": 0}, "lexicon_weights": rng.normal(size=(1, k)), "trans": rng.normal(size=(k, k)) * 0.3}
+
+
+@pytest.mark.parametrize("k, cells", [(3, 1 << 22), (3, 60), (20, 1 << 22), (20, 300)])
+def test_judged_texts_against_plain_forward_backward(k, cells):
+    rng = random.Random(k)
+    emissions = language_id.Emissions(many_language_model(k, 8))
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6)))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 30, 700, 5, 0, 1, 300)] + [None, "12 3", "abc ABC abc"]
+    best, score, lengths, switches = language_id.judge_texts(texts, emissions, cells)
+    trans = emissions.model["trans"]
+    for t, b, s, n, m in zip(texts, best, score, lengths, switches):
+        words = language_id.words_of(t)
+        assert n == len(words)
+        if not words:
+            assert (s, m) == (0, 0)
+            continue
+        e = emissions(words)
+        ahead, behind = [e[0]], [np.zeros(k)]
+        logs = lambda x: np.log(np.exp(x - x.max(axis=0)).sum(axis=0)) + x.max(axis=0)
+        for row in e[1:]:
+            ahead.append(logs(ahead[-1][:, None] + trans) + row)
+        for row in e[:0:-1]:
+            behind.append(logs((trans + (row + behind[-1])[None, :]).T))
+        p = np.array(ahead) + np.array(behind[::-1])
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        assert b == p.sum(axis=0).argmax() and abs(s - p.sum(axis=0).max() / n) < 1e-9
+        assert m == (np.diff(p.argmax(axis=1)) != 0).sum()
+
+
+def test_memory_of_many_languages():
+    """300 languages, 20,000 short texts and one of 5,000 words in one slice: under 300 MB."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(30000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(8)) for _ in range(20000)] + [" ".join(rng.choice(vocabulary) for _ in range(5000))]
+    emissions = language_id.Emissions(many_language_model(300))
+    tracemalloc.start()
+    best, _, lengths, _ = language_id.judge_texts(texts, emissions)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and lengths.sum() == 165000 and len(best) == 20001
+
+
 def test_words_are_letters_only():
     assert language_id.words_of("½ ² ⅷ ١") == [] and language_id.words_of("a½b Été٣x _y") == ["a", "b", "été", "x", "y"]
 
