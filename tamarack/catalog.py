@@ -12,6 +12,7 @@ from .functions.values import clamp_score, clean_text, country_hint, is_dach, le
 from .operators import budget, classify, dictionary, facts, merge, pages, search
 from .plans import gates, patches, queue, runs
 from .plans import single_pass as single_passes
+from .plans import verification as verifications
 from .plans import waterfall as waterfalls
 from .sources.tables import read_master, shared_folder, table
 
@@ -111,13 +112,13 @@ SITE_ROLLUP = f"""WITH {SITES} SELECT domain, count(*) AS requests,
 
 def _verified(spark, sf) -> DataFrame:
     """Sites with their signals, classified and scored by the rules of the care niche."""
-    p = fetched(spark, sf)
-    sites = pages.marker_hits(p, WORDS).join(pages.site_rollup(p), "domain").join(pages.site_contacts(p), "domain")
-    n = {f: F.col(f"{f}_n") for f in WORDS}
+    dictionaries = {f: ("text", words) for f, words in WORDS.items()}
+    sites = verifications.site_signals(fetched(spark, sf), dictionaries, {}, {}, [], None)
+    n = {f: F.size(f) for f in WORDS}
     registered = F.col("best_status") == 404
     kind = classify.classify_site_care(n["product"], n["gkv"], n["process"], n["ratgeber"], n["disqualifier"], registered)
     sites = sites.withColumn("_c", kind).select("*", "_c.*").drop("_c")
-    score = classify.fit_score_care(F.col("lead_type"), registered, n["product"], n["gkv"], n["process"], n["insurers"], F.size(F.array_distinct(F.split("checked_pages", r"\|"))), is_dach("domain"), F.col("email") != "", F.col("phone") != "")
+    score = classify.fit_score_care(F.col("lead_type"), registered, n["product"], n["gkv"], n["process"], n["insurers"], F.size(F.array_distinct("checked")), is_dach("domain"), F.col("email") != "", F.col("phone") != "")
     sites = sites.withColumn("vhd_fit_score", score)
     sites = sites.withColumn("next_action", classify.next_action_care(F.col("lead_type"), F.col("vhd_fit_score"), registered))
     return sites.withColumns({"grade": classify.grade_care(F.col("lead_type"), F.col("vhd_fit_score"), F.col("exclusion_reason")), "bucket": classify.bucket(F.col("lead_type"), F.col("vhd_fit_score"), F.col("next_action"))})
@@ -172,6 +173,64 @@ def shop_verification(spark, sf):
     return out.select("domain", "is_shop", "is_woocommerce", "lead_type", "exclusion_reason", "vhd_fit_score", "possible_shop_levers", "next_action", grade.alias("grade"))
 
 
+#: Dictionaries for the verification query: what they are looked for in, and words that the test pages hold.
+VERIFY = {
+    "shop": ("both", ["thing", "keit"]), "product": ("html", ["track(5", "track(17"]), "shipping": ("text", ["pour", "with"]), "legal": ("text", ["sich", "una "]), "strong": ("both", ["ciónes", "edthan"]),
+    **{f"care_{k}": ("both", words) for k, words in WORDS.items()},
+}
+_PLATFORMS = {"woocommerce": ["track(7", "track(5"], "shopify": ["track(6"], "jtl": ["<article>"]}
+_TRACKING = {"gtm": ["track(8"], "ga4": ['class="ad"'], "klaviyo": ["track(3", "track(4"]}
+_CLAIMS = [r"th[a-z]{2} the[a-z]{2}", r"ein [a-z]{3}ung"]
+
+
+def verification(spark, sf):
+    """Every site as a lead, some in cooldown, one never a lead and one without a domain: verification rows of 43 columns."""
+    p = fetched(spark, sf)
+    leads = p.groupBy("domain").agg(F.min_by("url", "page_id").alias("source_url"), F.min("page_id").alias("k"))
+    cooldown = leads.where("k % 10 = 0").select("domain")
+    leads = leads.select("domain", "source_url", F.when(F.col("k") % 2 == 0, F.concat(F.lit("Firma "), "k")).otherwise("").alias("company_name"), F.concat(F.lit("+49 30 "), F.col("k") + 1000000).alias("phone"), F.when(F.col("k") % 3 == 0, "at").otherwise("").alias("country_hint"), F.col("k").cast("string").alias("lead_score"), F.lit("in|put").alias("signals"))
+    more = table(spark, sf, "region").select(F.when(F.col("r_regionkey") == 0, "shop.amazon.de").when(F.col("r_regionkey") == 1, "demo.example.de").when(F.col("r_regionkey") == 2, "no-pages.example.ch").otherwise("").alias("domain"), F.lit("").alias("source_url"), F.col("r_name").alias("company_name"), F.lit("").alias("phone"), F.lit("").alias("country_hint"), F.lit("1").alias("lead_score"), F.lit("").alias("signals"))
+    return verifications.verify(leads.unionByName(more), p, "t1", cooldown=cooldown, dictionaries=VERIFY, platforms=_PLATFORMS, tracking=_TRACKING, claims=_CLAIMS, labelled=r"track\((\d+)\)")
+
+
+def _verification_sql() -> str:
+    words = " UNION ALL ".join(f"SELECT '{f}' AS family, '{w}' AS word, '{where}' AS place" for f, (where, ws) in VERIFY.items() for w in ws)
+    joined = ", ".join(f"coalesce(string_agg(DISTINCT word, '|' ORDER BY word) FILTER (family = '{f}'), '') AS {f}, count(DISTINCT word) FILTER (family = '{f}') AS {f}_n" for f in VERIFY)
+    has = lambda w: f"""coalesce(bool_or(contains(h, '{w}')), false)"""
+    platform = " ".join(f"WHEN {' OR '.join(map(has, ws))} THEN '{n}'" for n, ws in _PLATFORMS.items())
+    shown = " ".join(f"WHEN {' OR '.join(map(has, ws))} THEN concat_ws('|', {', '.join(f"CASE WHEN {has(w)} THEN '{w}' END" for w in ws)})" for ws in _PLATFORMS.values())
+    woo = ", ".join(f"CASE WHEN {has(w)} THEN '{w}' END" for w in sorted(_PLATFORMS["woocommerce"]))
+    tools = ", ".join(f"CASE WHEN {' OR '.join(map(has, ws))} THEN '{n}' END" for n, ws in sorted(_TRACKING.items()))
+    claims = " UNION ALL ".join(f"SELECT domain, {i} AS which, fetch_order, unnest(regexp_extract_all(text, '{c}')) AS said, generate_subscripts(regexp_extract_all(text, '{c}'), 1) AS pos FROM p" for i, c in enumerate(_CLAIMS))
+    return rf"""WITH {SITES}, w AS ({words}), t AS (SELECT *, lower(text) AS lt, lower(html) AS h, lower(text) || ' ' || lower(html) AS b FROM p),
+m AS (SELECT t.domain, {joined} FROM t LEFT JOIN w ON contains(CASE place WHEN 'text' THEN lt WHEN 'html' THEN h ELSE b END, word) GROUP BY t.domain),
+c0 AS ({claims}), c1 AS (SELECT domain, said, min((which, fetch_order, pos)) AS place FROM c0 GROUP BY ALL), c AS (SELECT domain, string_agg(said, '|' ORDER BY place) AS claims, count(*) AS claims_n FROM c1 GROUP BY domain),
+e AS (SELECT domain, fetch_order, lower(trim(regexp_extract(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+', 0), '.,;:()[]<>')) AS email FROM p),
+s AS (SELECT domain, CASE {platform} ELSE '' END AS platform, CASE {shown} ELSE '' END AS shown, concat_ws('|', {woo}) AS woo, concat_ws('|', {tools}) AS tools, count(*) AS requests, min(page_id) AS k, arg_min(url, page_id) AS source_url, arg_min(regexp_extract(html, 'track\((\d+)\)', 1), fetch_order) FILTER (regexp_extract(html, 'track\((\d+)\)', 1) <> '') AS ik,
+  coalesce(floor(avg(elapsed_ms) FILTER (status <> 0)), 0)::INT AS ms, floor(sum(strlen(html)) / 1024)::BIGINT AS kb, coalesce(min(status) FILTER (status <> 0), 0) AS best, coalesce(string_agg(path, '|' ORDER BY fetch_order) FILTER (status BETWEEN 200 AND 399 AND html <> ''), '') AS reachable, string_agg(path || ':' || status, '|' ORDER BY fetch_order) AS checked FROM t GROUP BY domain),
+j AS (SELECT s.*, m.* EXCLUDE (domain), coalesce(claims, '') AS claims, coalesce(claims_n, 0) AS claims_n, coalesce((SELECT arg_min(email, fetch_order) FROM e WHERE e.domain = s.domain AND email <> '' AND NOT regexp_matches(email, '\.(png|jpg|jpeg|gif|webp|svg)$')), '') AS email,
+  k % 3 = 0 OR regexp_matches(s.domain, '\.(de|at|ch)$') AS dach, reachable <> '' AND (strong_n > 0 OR product_n > 0) AS shop_, woo <> '' AS woo_ FROM s JOIN m USING (domain) LEFT JOIN c USING (domain)),
+y AS (SELECT *, CASE WHEN care_disqualifier_n >= 2 THEN 'service_provider' WHEN care_ratgeber_n >= 3 AND care_process_n = 0 AND ik IS NULL THEN 'ratgeber_site' WHEN ik IS NOT NULL AND (care_product_n >= 1 OR care_process_n >= 1) THEN 'pflegebox_anbieter' WHEN care_product_n >= 2 AND care_gkv_n >= 2 AND care_process_n >= 1 THEN 'pflegebox_anbieter' WHEN care_product_n >= 1 OR care_process_n >= 1 THEN 'review' ELSE 'rejected' END AS kind,
+  least(15, 5 * care_product_n) + least(15, 3 * care_gkv_n) + least(10, 5 * care_process_n) + least(10, 2 * care_insurers_n) + least(10, 4 * claims_n) + CASE WHEN ik IS NOT NULL THEN 35 ELSE 0 END + CASE WHEN dach THEN 5 ELSE 0 END + CASE WHEN email <> '' THEN 4 ELSE 0 END + 3 AS raw FROM j),
+z AS (SELECT *, CASE WHEN kind IN ('rejected', 'ratgeber_site', 'service_provider') THEN 0 WHEN kind = 'review' THEN least(raw, 55) ELSE least(raw, 100) END AS score FROM y),
+v AS (SELECT *, CASE WHEN kind IN ('rejected', 'ratgeber_site', 'service_provider') THEN 'reject' WHEN kind = 'review' THEN 'manual_review' WHEN score >= 85 AND ik IS NOT NULL THEN 'loom_candidate' WHEN score >= 65 THEN 'manual_review_high' WHEN ik IS NOT NULL THEN 'manual_review_ik_verified' ELSE 'manual_review_no_ik' END AS action,
+  CASE WHEN NOT shop_ THEN '' ELSE array_to_string(list_filter([CASE WHEN woo_ THEN 'woocommerce_growth_system' ELSE 'platform_check_needed' END, CASE WHEN tools <> '' THEN 'tracking_stack_visible' ELSE 'tracking_gap_possible' END, CASE WHEN contains(tools, 'gtm') OR contains(tools, 'ga4') THEN 'tracking_check' END, CASE WHEN contains(tools, 'gtm') THEN 'clarity_heatmap_opportunity' END, CASE WHEN contains(tools, 'ga4') AND NOT contains(tools, 'gtm') THEN 'gtm_setup_check' END,
+    CASE WHEN contains(tools, 'klaviyo') THEN 'advanced_email_marketing_stack' END, CASE WHEN contains(tools, 'klaviyo') THEN 'reputation_first_approach' END, CASE WHEN product_n = 0 THEN 'product_data_schema_check' END, CASE WHEN shipping_n > 0 THEN 'checkout_payment_shipping_review' ELSE 'checkout_shipping_info_check' END, CASE WHEN legal_n = 0 THEN 'trust_legal_surface_check' END, CASE WHEN ms >= 1200 OR kb >= 900 THEN 'performance_check' END, 'conversion_path_review'], lambda x: x IS NOT NULL), '|') END AS levers FROM z),
+good AS (SELECT domain, source_url, CASE WHEN k % 2 = 0 THEN 'Firma ' || k ELSE '' END AS company_name, 'standard' AS scoring_mode, kind AS lead_type, CASE WHEN shop_ THEN 'yes' ELSE 'no' END AS is_shop, CASE WHEN woo_ THEN 'yes' ELSE 'no' END AS is_woocommerce, platform AS detected_platform, shown AS detected_platform_signals, 'pflegebox' AS niche, kind AS care_lead_type, coalesce(ik, '') AS ik_number,
+  care_product AS care_product_signals, care_gkv AS care_gkv_signals, care_process AS care_process_signals, care_insurers AS care_insurer_signals, care_ratgeber AS care_ratgeber_signals, care_disqualifier AS care_disqualifier_signals, claims AS scale_indicators, CASE WHEN dach THEN 'yes' ELSE 'no' END AS is_dach, score::VARCHAR AS vhd_fit_score, action AS next_action,
+  CASE kind WHEN 'service_provider' THEN 'out_of_icp_business_type' WHEN 'ratgeber_site' THEN 'ratgeber_or_content_site' WHEN 'pflegebox_anbieter' THEN '' WHEN 'review' THEN 'weak_care_signals' ELSE 'no_care_signals' END AS exclusion_reason, email, '+49 30 ' || (k + 1000000) AS phone, reachable AS reachable_pages, checked AS checked_pages, best::VARCHAR AS best_status, ms::VARCHAR AS avg_response_ms, kb::VARCHAR AS total_html_kb, requests::VARCHAR AS http_request_count,
+  '' AS robots_status, 'no' AS skipped_by_robots, '' AS policy_skip_reason, concat_ws('|', CASE WHEN shop_ THEN 'shop' END, CASE WHEN woo_ THEN 'woocommerce' END, CASE WHEN dach THEN 'dach' END, CASE WHEN email <> '' THEN 'email' END, 'phone') AS verified_signals,
+  array_to_string(list_sort(list_filter(list_concat(str_split(shop, '|'), str_split(strong, '|')), lambda x: x <> '')), '|') AS shop_signals, woo AS woocommerce_signals, tools AS tracking_signals, legal AS legal_trust_signals, levers AS possible_shop_levers, k::VARCHAR AS input_lead_score, 'in|put' AS input_signals, 't1' AS checked_at FROM v WHERE k % 10 <> 0),
+bare AS (SELECT 'no-pages.example.ch' AS domain, r_name, 2 AS r FROM region WHERE r_regionkey = 2),
+halted AS (SELECT domain, source_url, CASE WHEN k % 2 = 0 THEN 'Firma ' || k ELSE '' END AS name, 'domain_cooldown' AS why, k::VARCHAR AS points, 'in|put' AS signals FROM s WHERE k % 10 = 0
+  UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'shop.amazon.de' WHEN 1 THEN 'demo.example.de' ELSE '' END, CASE r_regionkey WHEN 0 THEN 'shop.amazon.de' WHEN 1 THEN 'demo.example.de' ELSE '' END, r_name, CASE r_regionkey WHEN 0 THEN 'blocked_domain:amazon' WHEN 1 THEN 'technical_demo_subdomain' ELSE 'missing_domain' END, '1', '' FROM region WHERE r_regionkey <> 2),
+stopped AS (SELECT domain, source_url, name AS company_name, 'standard' AS scoring_mode, CASE WHEN why IN ('domain_cooldown', 'missing_domain') THEN 'skipped' ELSE 'rejected' END AS lead_type, 'no' AS is_shop, 'no' AS is_woocommerce, CASE WHEN regexp_matches(domain, '\.(de|at|ch)$') THEN 'yes' ELSE 'no' END AS is_dach, '0' AS vhd_fit_score, CASE WHEN why IN ('domain_cooldown', 'missing_domain') THEN 'skip' ELSE 'reject' END AS next_action, why AS exclusion_reason, why AS policy_skip_reason, points AS input_lead_score, signals AS input_signals, 't1' AS checked_at FROM halted
+  UNION ALL SELECT domain, domain, r_name, 'standard', 'rejected', 'no', 'no', 'yes', '0', 'reject', 'no_care_signals', '', '1', '', 't1' FROM bare),
+filled AS (SELECT * FROM good UNION ALL BY NAME SELECT * FROM stopped)
+SELECT * REPLACE ({", ".join(f"CASE WHEN domain = 'no-pages.example.ch' THEN '{v}' ELSE coalesce({c}, '') END AS {c}" for c, v in (("niche", "pflegebox"), ("care_lead_type", "rejected"), ("best_status", "0"), ("avg_response_ms", "0"), ("total_html_kb", "0"), ("http_request_count", "0"), ("skipped_by_robots", "no"), ("verified_signals", "dach")))},
+  {", ".join(f"coalesce({c}, '') AS {c}" for c in ("detected_platform", "detected_platform_signals", "ik_number", "care_product_signals", "care_gkv_signals", "care_process_signals", "care_insurer_signals", "care_ratgeber_signals", "care_disqualifier_signals", "scale_indicators", "email", "phone", "reachable_pages", "checked_pages", "robots_status", "shop_signals", "woocommerce_signals", "tracking_signals", "legal_trust_signals", "possible_shop_levers"))}) FROM filled"""
+
+
 def platforms(spark, sf):
     """Tracking tools, platform and signals of each page."""
     p = pages.read_pages(table(spark, sf, "pages"))
@@ -830,7 +889,7 @@ SELECT event_type, sum(trunc(v))::BIGINT AS score_sum, sum(round_even(greatest(0
 QUERIES = {
     f.__name__: f
     for f in (
-        site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, platforms,
+        site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, dictionary_hits, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
         cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, bodies_checked, mail_export, first_urls, props_json,
         quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, single_pass_rows, waterfall, values_parsed,
@@ -846,6 +905,7 @@ ORACLE_SQL: dict[str, str] = {
     "pages_discovered": PAGES_DISCOVERED,
     "marker_hits": _hits_sql(),
     "site_rollup": SITE_ROLLUP,
+    "verification": _verification_sql(),
     "platforms": PLATFORMS,
     "docs_emails": DOCS_EMAILS,
     "docs_phones": DOCS_PHONES,
