@@ -20,7 +20,7 @@ from ..operators.budget import credit_budget, query_budget, query_cap, row_budge
 from ..operators.classify import points
 from ..operators.facts import blank_to_null, identity_facts, sanitized
 from ..operators.search import imprint_hit, plan_queries, plan_research, summarize_hits
-from ..sources.tables import conform, cut
+from ..sources.tables import conform, cut, discard
 from .queue import QUEUE_COLUMNS, decide
 
 PROVIDERS = ("serper", "firecrawl", "tavily")
@@ -210,7 +210,8 @@ def run_waterfall(queue: DataFrame, answers: dict[str, DataFrame], limits: dict[
                 got = served.agg(F.count_if(F.col("paid") > 0).alias("n"), F.coalesce(F.sum("paid"), F.lit(0)).alias("spent")).first()
                 used[p] += int(got.spent)
                 step |= {"status": "completed", "rows": got.n, "spent": int(got.spent)}
-                now = cut(redecide(served.drop("paid"), enabled), "waterfall")
+                before, now = now, cut(redecide(served.drop("paid"), enabled), "waterfall")
+                discard(before, served)
             steps.append(step)
         report += steps
         if not any(s["status"] == "completed" for s in steps):
