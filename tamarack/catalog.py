@@ -760,6 +760,86 @@ def lead_import(spark, sf):
     return master.select("domain_key", "lead_id", "company_name", "lead_grade", "verification_status", "domain_alive", "woocommerce_confidence", "review_status", "source_lists")
 
 
+def _customer_master(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = _queue(spark, sf).withColumn("ord", F.regexp_extract("domain", r"\d+", 0).cast("long"))
+    empty = rows.select(F.lit("").alias("domain_key"), F.lit("").alias("lead_id")).limit(0)
+    return rows, merge.upsert_leads(empty, patches.scrape_rows(rows.select("ord", "domain", "company_name")), "customers", "r1", "t1").drop("is_created", "is_updated", "incoming_rows")
+
+
+def enrichment_import(spark, sf):
+    """Customers imported as a list, then their queue rows imported as enrichment results: evidence, stage and provider states in the master."""
+    rows, master = _customer_master(spark, sf)
+    k = F.col("ord")
+    done = rows.drop("lead_id").withColumns({"niche": F.when(k % 4 == 0, "pflegebox").otherwise(""), "serper_used": F.when(k % 9 == 0, "true").otherwise(""), "provider_recommended": F.when(k % 12 == 0, "serper").otherwise("")})
+    out, _ = patches.import_and_merge(master, patches.scrape_rows(rows.select("ord", "domain", "company_name")), patches.enrichment_patch(done, "t2"), "enrichment", "r2", "t2")
+    return out.select("domain_key", "lead_grade", "phone_main", "phone_main_source", "phone_main_confidence", "imprint_url", "imprint_url_confidence", "decision_maker_1_name", "decision_maker_1_role", "decision_maker_1_name_source", "pipeline_status", "review_status", "enrichment_stage", "serper_status", "last_completed_step", "last_completed_at", "source_lists")
+
+
+ENRICHMENT_IMPORT = f"""WITH {_Q}, c AS (SELECT *, CASE k % 11 WHEN 0 THEN '0.5' WHEN 1 THEN '85' ELSE '0.70' END AS sure, k % 8 = 0 AS nobody FROM w)
+SELECT 'c' || k || '.example.de' AS domain_key, CASE WHEN k % 4 = 0 THEN '' ELSE lead_quality END AS lead_grade, CASE WHEN k % 3 <> 1 THEN '+49 30 ' || (k + 1000000) ELSE '' END AS phone_main, CASE WHEN k % 3 <> 1 THEN 'lead-enrichment' ELSE '' END AS phone_main_source, CASE WHEN k % 3 <> 1 THEN sure ELSE '' END AS phone_main_confidence,
+  CASE WHEN k % 5 <> 0 THEN 'https://c' || k || '/impressum' ELSE '' END AS imprint_url, CASE WHEN k % 5 <> 0 THEN sure ELSE '' END AS imprint_url_confidence, CASE WHEN nobody THEN '' ELSE 'Erika Muster' END AS decision_maker_1_name, CASE WHEN nobody THEN '' ELSE 'Geschaeftsfuehrer' END AS decision_maker_1_role, CASE WHEN nobody THEN '' ELSE 'lead-enrichment' END AS decision_maker_1_name_source,
+  CASE WHEN k % 31 = 0 THEN 'do_not_contact' ELSE 'enriched' END AS pipeline_status, CASE WHEN k % 31 = 0 THEN 'do_not_contact' ELSE '' END AS review_status, 'enriched' AS enrichment_stage, CASE WHEN k % 9 = 0 THEN 'done' WHEN k % 12 = 0 THEN 'needed' ELSE '' END AS serper_status, 'enrichment' AS last_completed_step, 't2' AS last_completed_at, 'customers|enrichment' AS source_lists FROM c"""
+
+
+def handoff_import(spark, sf):
+    """Suppliers as results of the hand-off, matched to the customers' leads by lead_id alone: what the master then says of them."""
+    _, master = _customer_master(spark, sf)
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    results = s.select(k.alias("ord"), lead_id(F.concat(F.lit("c"), k + 1, F.lit(".example.de"))).alias("lead_id"), F.concat(F.lit("P. "), k).alias("person_name"), F.when(k % 2 == 0, F.concat(F.lit("s"), k, F.lit("@example.de"))).otherwise("").alias("business_email"), F.when(k % 3 == 0, "no_match").otherwise("").alias("status"))
+    out, _ = patches.import_and_merge(master, master.limit(0).select(F.lit(0).cast("long").alias("ord"), "domain_key"), patches.handoff_patch(results, "t2"), "clay", "r2", "t2", "lead_id")
+    return out.where("clay_status != ''").select("lead_id", "domain_key", "decision_maker_1_name", "decision_maker_1_name_source", "decision_maker_1_name_confidence", "email_general", "email_general_checked_at", "clay_status", "clay_last_synced_at")
+
+
+HANDOFF_IMPORT = """SELECT 'lead_' || substr(sha1('c' || c_custkey || '.example.de'), 1, 12) AS lead_id, 'c' || c_custkey || '.example.de' AS domain_key, 'P. ' || s_suppkey AS decision_maker_1_name, 'clay' AS decision_maker_1_name_source, '0.70' AS decision_maker_1_name_confidence, CASE WHEN s_suppkey % 2 = 0 THEN 's' || s_suppkey || '@example.de' ELSE '' END AS email_general,
+  CASE WHEN s_suppkey % 2 = 0 THEN 't2' ELSE '' END AS email_general_checked_at, CASE WHEN s_suppkey % 3 = 0 THEN 'no_match' ELSE 'done' END AS clay_status, 't2' AS clay_last_synced_at FROM supplier JOIN customer ON c_custkey = s_suppkey + 1 JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def queue_page(spark, sf):
+    """The second hundred domains of the enrichment queue, in input order."""
+    rows = _queue(spark, sf).drop("lead_id", "lead_quality", "why_relevant").withColumn("ord", F.regexp_extract("domain", r"\d+", 0).cast("long"))
+    good = F.col("lead_type") == "shop"
+    out = queue.build_queue(rows.where(good), rows.where(~good), "now", limit=100, offset=100)
+    return out.select("lead_id", "domain", "lead_quality", "input_bucket")
+
+
+QUEUE_PAGE = f"""WITH {_Q} SELECT 'lead_' || substr(sha1('c' || k || '.example.de'), 1, 12) AS lead_id, 'c' || k || '.example.de' AS domain, lead_quality, CASE WHEN kind = 'shop' THEN 'verified' ELSE 'review' END AS input_bucket
+FROM w ORDER BY kind <> 'shop', k LIMIT 100 OFFSET 100"""
+
+
+def review_needed(spark, sf):
+    """Customers whose enrichment a person should look at."""
+    rows = _queue(spark, sf).withColumns({"enrichment_status": F.when(F.col("is_shop") == "no", "provider_disabled").otherwise("planned"), "free_enrichment_status": F.col("imprint_parse_status")})
+    return rows.where(waterfalls.needs_review()).select("lead_id", "domain", "enrichment_status", "free_enrichment_status")
+
+
+REVIEW_NEEDED = f"""WITH {_Q} SELECT lead_id, 'c' || k || '.example.de' AS domain, CASE WHEN shop THEN 'planned' ELSE 'provider_disabled' END AS enrichment_status, CASE WHEN k % 7 = 0 THEN 'failed' ELSE 'complete' END AS free_enrichment_status FROM q WHERE NOT shop OR k % 7 = 0"""
+
+
+def known_pages(spark, sf):
+    """Each site's pages in the order in which they would be read: those that its lead names first."""
+    p = table(spark, sf, "pages").select(normalize_domain("url").alias("domain"), "url", "page_id", F.col("page_id").alias("fetch_order"))
+    leads = p.groupBy("domain").agg(F.max_by("url", "page_id").alias("imprint_url"), F.max_by("url", F.when(F.col("page_id") % 2 == 0, F.col("page_id"))).alias("contact_url"))
+    out = pages.attach_pages(leads, p, known=("imprint_url", "contact_url"))
+    return out.select("domain", "page_id", F.col("page_rank").cast("long").alias("page_rank"))
+
+
+KNOWN_PAGES = f"""WITH p AS (SELECT {HOST} AS domain, url, page_id FROM pages), l AS (SELECT domain, arg_max(url, page_id) AS imprint_url, arg_max(url, page_id) FILTER (page_id % 2 = 0) AS contact_url FROM p GROUP BY domain)
+SELECT domain, page_id, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN regexp_matches(regexp_replace(url, '^[a-z]*://[^/?#]*', ''), '^/?([?#].*)?$') THEN -1 WHEN url = imprint_url THEN 0 WHEN url = contact_url THEN 1 ELSE 2 END, page_id) AS page_rank FROM p JOIN l USING (domain)"""
+
+
+def pages_entities(spark, sf):
+    """Each page's text with its character references decoded."""
+    text = pages.decode_entities(pages.html_text("html"))
+    return table(spark, sf, "pages").select("page_id", text.alias("text")).select("page_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _entities_sql() -> str:
+    decoded = TEXT
+    for name, value in pages.ENTITIES.items():
+        decoded = f"replace({decoded}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    return f"WITH t AS (SELECT page_id, {decoded} AS text FROM pages) SELECT page_id, length(text) AS n_chars, md5(text) AS text_md5 FROM t"
+
+
 def results_join(spark, sf):
     """Suppliers as hand-off results of customers: by id first, else by domain."""
     leads = _queue(spark, sf).select("lead_id", "domain", "personal_email")
@@ -892,7 +972,7 @@ QUERIES = {
         site_grades, grade_counts, pages_normalized, pages_text, pages_links, pages_discovered, marker_hits, site_rollup, shop_verification, verification, platforms,
         docs_emails, docs_phones, docs_ids, docs_claims, docs_identities, dictionary_hits, leads_dedupe, leads_upsert, upsert_counts, search_merge, evidence_merge, patch_apply, patches_skipped, first_last_per_key,
         cooldown, check_states, daily_usage, row_budget, query_budget, credit_budget, queries_until_goal, rotation, hits_summary, responses_ingested, search_filter, hits_ingested, research_ingested, scrapes_ingested, bodies_checked, mail_export, first_urls, props_json,
-        quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, results_join, planned_queries, site_facts, single_pass, single_pass_rows, waterfall, values_parsed,
+        quality, pain_scores, next_step, final_gate, run_summary, run_registry, import_runs, enrichment_plan, handoff, enrichment_queue, lead_import, enrichment_import, handoff_import, queue_page, review_needed, known_pages, pages_entities, results_join, planned_queries, site_facts, single_pass, single_pass_rows, waterfall, values_parsed,
     )
 }
 
@@ -947,6 +1027,12 @@ ORACLE_SQL: dict[str, str] = {
     "handoff": HANDOFF,
     "enrichment_queue": ENRICHMENT_QUEUE,
     "lead_import": LEAD_IMPORT,
+    "enrichment_import": ENRICHMENT_IMPORT,
+    "handoff_import": HANDOFF_IMPORT,
+    "queue_page": QUEUE_PAGE,
+    "review_needed": REVIEW_NEEDED,
+    "known_pages": KNOWN_PAGES,
+    "pages_entities": _entities_sql(),
     "results_join": RESULTS_JOIN,
     "planned_queries": PLANNED_QUERIES,
     "single_pass_rows": SINGLE_PASS_ROWS,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contacts, markers
-from ..functions.values import absolute_url, as_col, clean_text, lead_id, normalize_domain, normalize_url
+from ..functions.values import absolute_url, as_col, clean_text, has, lead_id, normalize_domain, normalize_url
 
 # Entities that are decoded; numeric ones are decoded by rule.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&euro;": "€", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
@@ -60,11 +60,21 @@ def discover_page(links: DataFrame, key: str, tokens: list[str], default: str) -
     return found.select(key, "domain", F.when(F.col("hits") > 0, absolute_url("domain", "href")).otherwise(absolute_url("domain", F.lit(default))).alias("found_url"), (F.col("hits") > 0).alias("discovered"))
 
 
-def attach_pages(leads: DataFrame, pages: DataFrame, most: int = 7) -> DataFrame:
-    """Leads with their domain's pages, ``most`` of each at most, by ``fetch_order``."""
+def attach_pages(leads: DataFrame, pages: DataFrame, most: int | None = None, known: tuple[str, ...] = ()) -> DataFrame:
+    """Leads with their domain's pages (domain, url, fetch_order, ...) and each page's ``page_rank``: a site's start page first, then the addresses
+    that the lead itself names in the ``known`` columns, in their order, then the others by ``fetch_order``.
+
+    With ``most`` only so many pages of each lead stay, as a crawler's limit would have it; without it all of them do.
+    """
     joined = leads.join(pages, "domain")
-    rank = F.expr("row_number() OVER (PARTITION BY domain ORDER BY fetch_order)")
-    return joined.withColumn("page_rank", rank).where(F.col("page_rank") <= most)
+    path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]*://[^/?#]*", ""), r"[?#].*$", "")
+    place = F.when(path.isin("", "/"), -1)
+    for i, c in enumerate(known):
+        place = place.when(has(c) & (F.col("url") == F.col(c)), i)
+    ranked = joined.withColumn("_place", place.otherwise(len(known)))
+    rank = F.expr("row_number() OVER (PARTITION BY domain ORDER BY _place, fetch_order)")
+    ranked = ranked.withColumn("page_rank", rank).drop("_place")
+    return ranked if most is None else ranked.where(F.col("page_rank") <= most)
 
 
 def first_matching_url(pages: DataFrame, tokens: list[str]) -> DataFrame:

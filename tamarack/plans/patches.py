@@ -95,6 +95,7 @@ HANDOFF_ALIASES = {
     "clay_status": ["clay_status", "status"],
     "clay_notes": ["clay_notes", "notes"],
 }
+# Columns that carry evidence, and reasons of skipped rows.
 EVIDENCE = ["legal_name", "imprint_url", "email_general", "phone_main", "decision_maker_1_name", "linkedin_company_url", "linkedin_person_url"]
 SKIPS = ["domain_cooldown", "robots_blocked", "domain_blocked"]
 

@@ -31,11 +31,15 @@ def union_buckets(verified: DataFrame, review: DataFrame) -> DataFrame:
     return both.withColumn("ord", F.col("ord").cast("long") * 2 + F.col("_side") * (1 << 60)).drop("_side")
 
 
-def build_queue(verified: DataFrame, review: DataFrame, now: str, limit: int | None = None, enabled: dict[str, bool] | None = None) -> DataFrame:
-    """One row per domain with quality, angle, eligibility and next step; extra columns stay behind the queue's own."""
+def build_queue(verified: DataFrame, review: DataFrame, now: str, limit: int | None = None, enabled: dict[str, bool] | None = None, offset: int = 0) -> DataFrame:
+    """One row per domain with quality, angle, eligibility and next step; extra columns stay behind the queue's own.
+
+    ``limit`` and ``offset`` take a slice of the domains in input order.
+    """
     rows = dedupe_leads(union_buckets(verified, review))
-    if limit is not None:
-        rows = rows.orderBy("ord").limit(limit)
+    if limit is not None or offset:
+        rows = rows.orderBy("ord").offset(offset)
+        rows = rows if limit is None else rows.limit(limit)
     columns = rows.columns
     name = company_name("company_name" if "company_name" in columns else F.lit(""), "title" if "title" in columns else F.lit(""), "domain")
     levers = split_tokens("possible_shop_levers", lower=True) if "possible_shop_levers" in columns else F.array().cast("array<string>")
