@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import shutil
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.values import clean_text, filled
 from . import commits
@@ -153,9 +155,27 @@ def forget_versions(spark: SparkSession, folder: str, keep: int = 2) -> list[int
     return old
 
 
-def write_buckets(df: DataFrame, folder: str, bucket: str, run_id: str) -> None:
-    """One folder per bucket, below a folder of the run; the current state and each run's copy are the same files."""
-    df.write.mode("overwrite").partitionBy(bucket).parquet(f"{folder}/run_id={run_id}")
+def write_buckets(df: DataFrame, folder: str, bucket: str, run_id: str) -> str:
+    """Write a run's rows in a folder for each value of ``bucket``, then make them the current state; returns their path.
+
+    One writing serves both, the run's own copy and the current state: the latter is the commit with the greatest number, so readers see the state before or
+    after, never some buckets of each. A run that is written again has a copy of its own, and its last one counts.
+    """
+    spark = df.sparkSession
+    path = f"run_id={run_id}/{uuid.uuid4().hex}"
+    df.write.partitionBy(bucket).parquet(f"{folder}/{path}")
+    commits.append(spark, folder, lambda number: {"version": number, "run_id": run_id, "bucket": bucket, "path": path, "schema": df.schema.json()})
+    return f"{folder}/{path}"
+
+
+def read_buckets(spark: SparkSession, folder: str, bucket: str | None = None, run_id: str | None = None) -> DataFrame | None:
+    """The current state, or a run's copy; all of it, or the rows of one bucket. None if there is none."""
+    for number in reversed(commits.numbers(spark, folder)):
+        known = commits.entry(spark, folder, number)
+        if run_id in (None, known["run_id"]):
+            rows = spark.read.schema(StructType.fromJson(json.loads(known["schema"]))).parquet(f"{folder}/{known['path']}")
+            return rows if bucket is None else rows.where(F.col(known["bucket"]) == bucket)
+    return None
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -167,6 +187,33 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str]) -> None:
-    """Replace a database table; every column is text. The driver's jar is the caller's to supply."""
-    df.select(*(F.col(c).cast("string") for c in df.columns)).write.jdbc(url, name, mode="overwrite", properties=properties)
+def export_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str] | None = None) -> None:
+    """Replace the rows of a database table, which is made if there is none; every column is text. The driver's jar is the caller's to supply.
+
+    Tasks load a table ``name``_new side by side; then one transaction deletes the old rows and takes over the new ones. If a task or
+    the transaction fails, the old rows stand. A table that exists must have the same columns.
+    """
+    properties = properties or {}
+    text = df.select(*(F.col(c).cast("string") for c in df.columns))
+    text.write.jdbc(url, f"{name}_new", mode="overwrite", properties=properties)
+    text.limit(0).write.jdbc(url, name, mode="append", properties=properties)
+    jvm = df.sparkSession.sparkContext._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        try:
+            statement.executeUpdate(f"DELETE FROM {name}")
+            statement.executeUpdate(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {name}_new")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        statement.executeUpdate(f"DROP TABLE {name}_new")
+        connection.commit()
+    finally:
+        connection.close()

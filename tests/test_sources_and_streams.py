@@ -32,8 +32,50 @@ def test_exports(spark, tmp_path):
     assert back.columns == ["v", "missing", "k"] and back.count() == 2
     tables.export_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
-    tables.write_buckets(df, str(tmp_path / "b"), "k", "r1")
-    assert spark.read.parquet(str(tmp_path / "b" / "run_id=r1")).where("k = 'a'").count() == 1
+
+
+def test_buckets_switch_as_a_whole(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "b")
+    assert tables.read_buckets(spark, folder) is None
+    rows = lambda df: sorted((r.k, r.v) for r in df.collect())
+    one = spark.createDataFrame([("a", "x"), ("b", None), (None, "n")], "k string, v string")
+    two = spark.createDataFrame([("a", "y"), ("c", "z")], "k string, v string")
+    tables.write_buckets(one, folder, "k", "r1")
+    held = tables.read_buckets(spark, folder)
+    seen, real = [], tables.commits.commit
+    key = lambda df: sorted(map(repr, df.collect()))
+
+    def watched(*a):
+        seen.append(key(tables.read_buckets(spark, folder)))  # the new buckets are written, but not yet the state
+        return real(*a)
+
+    with monkeypatch.context() as m:
+        m.setattr(tables.commits, "commit", watched)
+        tables.write_buckets(two, folder, "k", "r2")
+    assert seen == [key(held)] and key(held) == key(tables.read_buckets(spark, folder, run_id="r1"))
+    assert rows(tables.read_buckets(spark, folder)) == rows(two) == rows(tables.read_buckets(spark, folder, run_id="r2"))
+    assert rows(tables.read_buckets(spark, folder, "c")) == [("c", "z")] and tables.read_buckets(spark, folder, "b").count() == 0
+    tables.write_buckets(two.where("k = 'a'"), folder, "k", "r1")  # a run that is written again
+    assert rows(tables.read_buckets(spark, folder)) == rows(tables.read_buckets(spark, folder, run_id="r1")) == [("a", "y")]
+    assert tables.read_buckets(spark, folder, run_id="none") is None
+
+
+def test_database_export_is_all_or_nothing(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    rows = lambda: sorted((r.K, r.V) for r in spark.read.jdbc(url, "leads").collect())
+    frame = lambda data: spark.createDataFrame(data, "K int, V string").repartition(3)
+    tables.export_jdbc(frame([(1, "a"), (2, None)]), url, "leads")
+    assert rows() == [("1", "a"), ("2", None)]
+    tables.export_jdbc(frame([(k, "b" * k) for k in range(50)]), url, "leads")
+    assert len(rows()) == 50 and ("49", "b" * 49) in rows()
+    broken = frame([(1, "x"), (2, "bad")]).withColumn("V", F.when(F.col("V") == "bad", F.raise_error(F.lit("lost"))).otherwise(F.col("V")))
+    with pytest.raises(Exception, match="lost"):
+        tables.export_jdbc(broken, url, "leads")
+    with pytest.raises(Exception):
+        tables.export_jdbc(frame([(1, "x")]).withColumn("MORE", F.lit("y")), url, "leads")
+    assert len(rows()) == 50
+    tables.export_jdbc(frame([]), url, "leads")
+    assert rows() == []
 
 
 def test_streamed_upsert_equals_batches(spark, tmp_path):
