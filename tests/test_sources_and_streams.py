@@ -143,3 +143,43 @@ def test_streamed_upsert_beside_a_batch_import(spark, tmp_path, monkeypatch):
     (tmp_path / "ck" / "commits" / ".0.crc").unlink(missing_ok=True)
     streams.stream_upsert(stream, folder, "s", str(tmp_path / "ck"), str, empty).awaitTermination()
     assert tables.current_version(spark, folder) == 2
+
+
+def test_streamed_cooldown_with_reasons_over_a_restart(spark, tmp_path):
+    """Checks in files by time, one late file and a restart between: each row's reason equals that of a fold over the rows as they came."""
+    import os
+    from datetime import timedelta
+
+    rows = [(r.user_id % 7, r.event_type, r.ts) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").collect()]
+    size = -(-len(rows) // 4)
+    files = [rows[k * size : (k + 1) * size] for k in range(4)]
+    late = files[2][: size // 2]
+    files = [files[0], files[1], files[2][size // 2 :], late, files[3]]
+    source = tmp_path / "checks"
+    os.makedirs(source)
+
+    def add(k):
+        frame = spark.createDataFrame(files[k], "user_id long, event_type string, ts timestamp").toPandas()
+        frame.to_parquet(source / f"{k}.parquet", coerce_timestamps="us")
+        os.utime(source / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+
+    def go():
+        stream = spark.readStream.schema("user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
+        out = streams.stream_check_states(stream, ["user_id", "event_type"], 3, lateness="60 days")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+
+    add(0), add(1)
+    go()
+    add(2), add(3), add(4)
+    go()
+    want, last = [], {}
+    for part in files:
+        for user, kind, ts in sorted(part, key=lambda r: r[2]):
+            known = last.get((user, kind))
+            skipped = known is not None and known > ts - timedelta(days=3)
+            want.append((user, kind, ts, known, "domain_cooldown" if skipped else ""))
+            if not skipped:
+                last[user, kind] = ts
+    got = sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr)
+    assert got == sorted(want, key=repr)
+    assert 0 < sum(r[4] == "" for r in got) < len(got) and any(r[3] is not None and r[3] > r[2] for r in got)
