@@ -18,7 +18,7 @@ SITE_EMAIL = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 SITE_PHONE = r"(?:\+49[\s.\-/]?|0049|0)[0-9][0-9\s()./-]{6,20}"
 DATES = r"^[\s.,;:]*\d{1,2}[./-]\d{1,3}[./-]\d{2,4}[\s.,;:]*$"
 # Legal forms in the order they are looked for.
-LEGAL_FORMS = [r"\bGmbH\s*&\s*Co\.\s*KG\b", r"\bGmbH\b", r"\bUG\s*\(haftungsbeschraenkt\)", r"\bUG\s*\(haftungsbeschränkt\)", r"\bAG\b", r"\be\.K\.", r"\be\.Kfm\.", r"\bKG\b", r"\bOHG\b", r"\bGbR\b", r"\bEinzelunternehmen\b"]
+LEGAL_FORMS = [r"\bGmbH\s*&\s*Co\.\s*KG\b", r"\bGmbH\b", r"\bUG\s*\(haftungsbeschraenkt\)\b", r"\bUG\s*\(haftungsbeschränkt\)\b", r"\bAG\b", r"\be\.K\.\b", r"\be\.Kfm\.\b", r"\bKG\b", r"\bOHG\b", r"\bGbR\b", r"\bEinzelunternehmen\b"]
 
 
 def strip_outer(c: Column, signs: str) -> Column:
@@ -86,7 +86,10 @@ def site_phone(text: Column | str) -> Column:
 
 
 def legal_form(text: Column | str) -> Column:
-    """The first of the legal forms, in their order, as it is spelled in the text."""
+    """The first of the legal forms, in their order, as it is spelled in the text.
+
+    Each must end at a word boundary, so those that end in a sign are met only where a letter or digit follows at once.
+    """
     t = F.coalesce(as_col(text), F.lit(""))
     return F.coalesce(*(F.nullif(F.regexp_extract(t, f"(?iu)({p})", 1), F.lit("")) for p in LEGAL_FORMS), F.lit(""))
 
@@ -119,14 +122,20 @@ def clean_legal_name(value: Column) -> Column:
     return strip_outer(last, " ,.;:-")
 
 
+def _places(found: Column, text: Column) -> Column:
+    """Where each of a pattern's successive matches begins (from 1): the first place of its text after the match before."""
+    at = lambda raw, start: F.call_function("locate", raw, text, start)
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    step = lambda a, raw: F.struct((at(raw, a["next"]) + F.char_length(raw)).alias("next"), F.array_append(a["at"], at(raw, a["next"])).alias("at"))
+    return F.aggregate(found, start, step, lambda a: a["at"])
+
+
 def legal_name_for(text: Column, form: Column) -> Column:
-    """The best plausible name that ends in ``form``: with a legal marker near it first, then the shortest, then the first."""
+    """The best plausible name that ends in ``form``: with a legal marker near its own place first, then the shortest, then the first."""
     quoted = F.regexp_replace(form, r"([.()&\\+*?\[\]{}^$|])", r"\\$1")
     pattern = F.concat(F.lit(r"([A-ZÄÖÜa-z0-9][A-ZÄÖÜa-zäöüß0-9&.,\-\s]{2,80}"), quoted, F.lit(")"))
-    found = F.regexp_extract_all(text, pattern, F.lit(1))
 
-    def rated(raw: Column, i: Column) -> Column:
-        at = F.call_function("instr", text, raw)
+    def rated(raw: Column, i: Column, at: Column) -> Column:
         near = F.lower(F.substring(text, F.greatest(at - 80, F.lit(1)), F.char_length(raw) + F.least(at - 1, F.lit(80)) + 40))
         marked = F.exists(F.array(*map(F.lit, CONTEXT_MARKERS)), lambda m: near.contains(m))
 
@@ -136,8 +145,12 @@ def legal_name_for(text: Column, form: Column) -> Column:
 
         return let(clean_legal_name(raw), row)
 
-    good = F.filter(F.transform(found, rated), lambda r: plausible_legal_name(r["name"], form))
-    return F.when(form == "", "").otherwise(F.coalesce(F.array_min(good)["name"], F.lit("")))
+    def best(found: Column) -> Column:
+        rows = let(_places(found, text), lambda places: F.transform(found, lambda raw, i: rated(raw, i, F.get(places, i))))
+        good = F.filter(rows, lambda r: plausible_legal_name(r["name"], form))
+        return F.coalesce(F.array_min(good)["name"], F.lit(""))
+
+    return F.when(form == "", "").otherwise(let(F.regexp_extract_all(text, pattern, F.lit(1)), best))
 
 
 def company_identity(text: Column | str) -> Column:
