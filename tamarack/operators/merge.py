@@ -158,20 +158,24 @@ def evidence_winner(rows: DataFrame, key: list[str], value: str = "value", confi
 
 
 def apply_patches(leads: DataFrame, patches: DataFrame, key: str, values: list[str], evidence: list[str] = ()) -> DataFrame:
-    """Leads with patches applied: filled cells overwrite, blanks never clear, evidence goes by confidence."""
-    reduced = reduce_patches(patches, key, values)
-    reduced = reduced.select(key, *(F.col(c).alias(f"_{c}") for c in values), F.lit(True).alias("_patched"))
+    """Leads with patches applied: filled cells overwrite, blanks never clear, evidence goes by confidence (see ``evidence_winner``).
+
+    One aggregation of the patches and one join, whatever the number of columns: each field's best patch then meets what is stored.
+    """
+    parts = {f: [f, f"{f}_source", f"{f}_confidence", f"{f}_checked_at"] for f in evidence}
+    latest = [F.max_by(c, F.when(has(c), F.col("ord"))).alias(f"_{c}") for c in values]
+    best = [F.max_by(F.struct(*(_present(p, patches.columns).alias(p) for p in ps)), F.when(has(f), F.struct(parse_confidence(_present(ps[2], patches.columns)), F.col("ord")))).alias(f"_best_{f}") for f, ps in parts.items()]
+    reduced = patches.where(has(key)).groupBy(key).agg(F.lit(True).alias("_patched"), *latest, *best)
     out = leads.join(reduced, key, "left")
     cells = {c: F.coalesce(filled(f"_{c}"), clean_text(_present(c, leads.columns))) for c in values}
-    out = out.withColumns(cells | {"is_patched": F.coalesce("_patched", F.lit(False))}).drop("_patched", *(f"_{c}" for c in values))
-    for field in evidence:
-        parts = [field, f"{field}_source", f"{field}_confidence", f"{field}_checked_at"]
-        stored = leads.select(key, *(_present(p, leads.columns).alias(p) for p in parts), F.lit(-1).cast("long").alias("ord"))
-        fresh = patches.select(key, *(_present(p, patches.columns).alias(p) for p in parts), F.col("ord").cast("long"))
-        won = evidence_winner(stored.unionByName(fresh), [key], field, parts[2], (parts[1], parts[3]))
-        won = won.select(key, *(F.col(p).alias(f"_{p}") for p in parts))
-        out = out.join(won, key, "left").withColumns({p: clean_text(f"_{p}") for p in parts}).drop(*(f"_{p}" for p in parts))
-    return out
+    cells["is_patched"] = F.coalesce("_patched", F.lit(False))
+    for f, ps in parts.items():
+        stored, fresh = {p: _present(p, leads.columns) for p in ps}, F.col(f"_best_{f}")
+        known, offered = parse_confidence(stored[ps[2]]), parse_confidence(fresh[ps[2]])
+        # ties go to the patch, as the later row; scored beats unscored
+        takes = fresh.isNotNull() & (~has(stored[f]) | known.isNull() | F.coalesce(offered >= known, F.lit(False)))
+        cells |= {p: clean_text(F.when(takes, fresh[p]).when(has(stored[f]), stored[p])) for p in ps}
+    return out.withColumns(cells).drop("_patched", *(f"_{c}" for c in values), *(f"_best_{f}" for f in parts))
 
 
 def unmatched_patches(leads: DataFrame, patches: DataFrame, key: str) -> DataFrame:
