@@ -50,8 +50,9 @@ def site_email(text: Column | str) -> Column:
 
 
 def normalize_phone(c: Column) -> Column:
+    """White space and outer signs go, and so does a bracket after a zero that nothing in the number opens; ``(040)`` stays whole."""
     phone = strip_outer(F.regexp_replace(c, r"(?U)\s+", " "), " .-/")
-    phone = F.regexp_replace(phone, r"(?<!\()0\)", "0")
+    phone = F.regexp_replace(phone, r"(\([^()]*\))|(0)\)", "$1$2")
     return F.regexp_replace(phone, r"\(\s*0\s*\)", "(0)")
 
 
