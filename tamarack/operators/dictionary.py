@@ -104,10 +104,11 @@ def _text_grams(texts: DataFrame, known, classes: frozenset[int], bits: int) ->
 def match_dictionary(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term_id: str, term: str, bits: int = BITS) -> DataFrame:
     """(text_id, term_id) for each text that contains the term, upper and lower case alike; ids may repeat, pairs are distinct.
 
-    Null texts contain nothing; null and empty terms are in no text.
+    Null texts contain nothing; null and empty terms are in no text. Texts meet each distinct term once; the ids that share it come last.
     """
     spark = texts.sparkSession
-    wanted = cut(terms.select(F.lower(F.col(term).cast("string")).alias("term"), F.col(term_id).alias("_id")).where("term != ''").withColumn("tid", F.monotonically_increasing_id()), "terms")
+    given = cut(terms.select(F.lower(F.col(term).cast("string")).alias("term"), F.col(term_id).alias("_id")).where("term != ''").distinct(), "terms")
+    wanted = cut(given.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "distinct-terms")
     where = cut(texts.select(F.lower(F.col(text).cast("string")).alias("text"), F.col(text_id).alias("_text_id")).where("text != ''").withColumn("row", F.monotonically_increasing_id()), "texts")
     grams = cut(_term_grams(wanted), "term-grams")
     classes = frozenset(r["class"] for r in grams.select("class").distinct().collect())  # nine at most
@@ -117,7 +118,10 @@ def match_dictionary(texts: DataFrame, terms: DataFrame, text_id: str, text: str
     rarest = grams.join(counts, "gram", "left").groupBy("tid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("one")).where("one.n > 0")
     rarest = cut(rarest.select("tid", "one.gram"), "rarest-grams")
     pairs = cut(met.join(rarest, "gram").select("row", "tid"), "candidates")
-    near = where.join(pairs.join(wanted, "tid").select("row", "term", "_id"), "row").where(F.contains("text", "term"))
-    out = cut(near.select(F.col("_text_id").alias(text_id), F.col("_id").alias(term_id)).distinct(), "dictionary-hits")
-    discard(wanted, where, grams, met, rarest, pairs)
+    near = where.join(pairs.join(wanted, "tid").select("row", "term"), "row").where(F.contains("text", "term"))
+    found = cut(near.select("_text_id", "term").distinct(), "found-terms")
+    hits = found.join(given, "term").select(F.col("_text_id").alias(text_id), F.col("_id").alias(term_id))
+    several = not given.groupBy("_id").count().where("count > 1").isEmpty()  # only an id of several terms can meet a text twice
+    out = cut(hits.distinct() if several else hits, "dictionary-hits")
+    discard(given, wanted, where, grams, met, rarest, pairs, found)
     return out
