@@ -58,13 +58,15 @@ def normalize_phone(c: Column) -> Column:
 
 def plausible_phone(c: Column) -> Column:
     """Eight digits or more, no date, no pair of years or of four-digit groups, no dotted list of short groups."""
-    digits = F.regexp_replace(c, r"\D", "")
-    groups = F.filter(F.split(c, r"\D+"), lambda g: g != "")
-    n, second = F.size(groups), F.coalesce(F.get(groups, 1), F.lit(""))
-    year = (n == 2) & second.rlike(r"^(19|20)\d\d$")
-    fours = (n == 2) & F.forall(groups, lambda g: F.char_length(g) == 4)
-    dotted = c.contains(".") & (n >= 4) & (F.size(F.filter(groups, lambda g: F.char_length(g) <= 2)) >= 2)
-    return (F.char_length(digits) >= 8) & ~digits.startswith("000") & ~c.rlike(r"^\d{1,2}[./-]\d{2,4}$") & ~year & ~fours & ~dotted
+
+    def body(groups: Column) -> Column:
+        n, second, digits = F.size(groups), F.coalesce(F.get(groups, 1), F.lit("")), F.array_join(groups, "")
+        year = (n == 2) & second.rlike(r"^(19|20)\d\d$")
+        fours = (n == 2) & F.forall(groups, lambda g: F.char_length(g) == 4)
+        dotted = c.contains(".") & (n >= 4) & (F.size(F.filter(groups, lambda g: F.char_length(g) <= 2)) >= 2)
+        return (F.char_length(digits) >= 8) & ~digits.startswith("000") & ~c.rlike(r"^\d{1,2}[./-]\d{2,4}$") & ~year & ~fours & ~dotted
+
+    return let(F.filter(F.split(c, r"\D+"), lambda g: g != ""), body)
 
 
 def extract_phones(text: Column | str, pattern: str = PHONE) -> Column:
@@ -101,17 +103,18 @@ QUANTITY = r"(?iu)\b\d+(?:[,.]\d+)?\s*(?:kg|g|gramm|ml|l|liter|stk|stück|pcs)\b
 STOP_WORDS = r"(?U)\b(eine|einer|einem|einen|umgründung|seminar|bestellungen)\b"
 NAME_MARKERS = ["Angaben gemaess", "Angaben gemass", "Angaben gemäß", "Impressum", "Kontakt", "Anbieter", "Diensteanbieter", "Betreiber"]
 CONTEXT_MARKERS = ["diensteanbieter", "anbieter", "betreiber", "firma", "impressum", "angaben gemaess", "angaben gemass", "angaben gemäß"]
+ANY_FORM = r"(?iu)\b(?:GmbH|UG|AG|e\.K|KG|OHG|GbR|Einzelunternehmen)"  # what each form above and below begins with
 FALLBACK_FORMS = ["GmbH", "UG", "AG", "e.K.", "KG", "OHG", "GbR"]
 
 
 def plausible_legal_name(value: Column, form: Column) -> Column:
-    text = clean_text(value)
-    lower = F.lower(text)
-    vendor = F.lit(False)
-    for t in VENDOR_TOKENS:
-        vendor = vendor | lower.contains(t)
-    words = F.size(F.filter(F.split(text, " "), lambda w: w != ""))
-    return (text != "") & lower.contains(F.lower(form)) & ~vendor & ~lower.rlike(QUANTITY) & ~lower.rlike(r"^(diensteanbieter|anbieter) ") & ~lower.rlike(STOP_WORDS) & (words >= 2) & (words <= 8)
+
+    def body(text: Column) -> Column:
+        words = F.size(F.filter(F.split(text, " "), lambda w: w != ""))
+        lower = let(F.lower(text), lambda x: x.contains(F.lower(form)) & ~x.rlike("|".join(VENDOR_TOKENS)) & ~x.rlike(QUANTITY) & ~x.rlike(r"^(diensteanbieter|anbieter) ") & ~x.rlike(STOP_WORDS))
+        return (text != "") & lower & (words >= 2) & (words <= 8)
+
+    return let(clean_text(value), body)
 
 
 def clean_legal_name(value: Column) -> Column:
@@ -155,7 +158,10 @@ def legal_name_for(text: Column, form: Column) -> Column:
 
 
 def company_identity(text: Column | str) -> Column:
-    """struct(legal_name, legal_form) of a text: the first legal form's best name, else the fallback forms' in turn."""
+    """struct(legal_name, legal_form) of a text: the first legal form's best name, else the fallback forms' in turn.
+
+    One pass tells the texts that hold none of the forms, which is most of them.
+    """
     out = lambda name, f: F.struct(name.alias("legal_name"), f.alias("legal_form"))
 
     def by_form(t: Column, f: str) -> Column:
@@ -169,7 +175,7 @@ def company_identity(text: Column | str) -> Column:
 
         return let(legal_form(t), formed)
 
-    return let(clean_text(text), body)
+    return let(clean_text(text), lambda t: F.when(t.rlike(ANY_FORM), body(t)).otherwise(out(F.lit(""), F.lit(""))))
 
 
 _NAME = r"\s*([A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-\s.]{3,80})"
@@ -196,9 +202,8 @@ def clean_person_name(value: Column) -> Column:
 
 
 def plausible_person_name(value: Column) -> Column:
-    text = clean_text(value)
-    lower = F.lower(text)
-    return (text != "") & ~lower.isin(NO_NAMES) & ~lower.rlike("umsatzsteuer|identifikationsnummer|register|adresse") & text.contains(" ") & ~text.rlike(r"(?U)\d")
+    lower = F.lower
+    return let(clean_text(value), lambda text: (text != "") & ~lower(text).isin(NO_NAMES) & ~lower(text).rlike("umsatzsteuer|identifikationsnummer|register|adresse") & text.contains(" ") & ~text.rlike(r"(?U)\d"))
 
 
 def decision_maker(text: Column | str) -> Column:
@@ -213,6 +218,7 @@ def decision_maker(text: Column | str) -> Column:
 
 # Shapes of street and town, and where they end.
 STREET = r"(?iu)\b((?:[A-Z][A-Za-z0-9.'\-]+\s+){0,2}[A-Z][A-Za-z0-9.'\-]*(?:strasse|str\.|straße|weg|allee|platz|ring|gasse)\s+\d+[a-zA-Z]?)"
+STREET_END = r"(?iu)(?:strasse|str\.|straße|weg|allee|platz|ring|gasse)\s+\d"
 TOWN = r"\b(\d{5}\s+[A-ZÄÖÜ][A-Za-zÄÖÜäöüß .'\-]{2,60})"
 STREET_STARTS = ["GmbH", "UG", "AG", "KG", "OHG", "GbR"]
 TOWN_ENDS = ["Geschäftsführer", "Geschaeftsfuehrer", "Inhaber", "Telefon", "E-Mail", "Email"]
@@ -222,7 +228,8 @@ def address(text: Column | str) -> Column:
     """Street with number, and postal code with town, joined by a comma; blank if neither is found."""
 
     def body(t: Column) -> Column:
-        street, town = clean_text(F.regexp_extract(t, STREET, 1)), clean_text(F.regexp_extract(t, TOWN, 1))
+        street = F.when(t.rlike(STREET_END), clean_text(F.regexp_extract(t, STREET, 1))).otherwise("")  # words are tried from each place only where some street ends
+        town = clean_text(F.regexp_extract(t, TOWN, 1))
         for m in STREET_STARTS:  # what stands before the first marker goes
             street = F.regexp_replace(street, f"^.*?{m}", "")
         for m in TOWN_ENDS:
@@ -239,11 +246,16 @@ ID_LABELLED = r"(?i)(?:IK[ \-]?(?:Nr\.?|Nummer)?|Instituts(?:ions)?kennzeichen)\
 def registration_id(text: Column | str, labelled: str = ID_LABELLED, words: tuple[str, ...] = ("institutionskennzeichen", "institutskennzeichen", " ik ", "ik-", "ik:"), digits: int = 9) -> Column:
     """Digits after an explicit label; else the first bare number of that length with a label in the 60 characters before it."""
     t = F.coalesce(as_col(text), F.lit(""))
-    direct = F.regexp_extract(t, labelled, 1)
-    near = F.regexp_extract_all(t, F.lit(rf"(?s)(.{{0,60}}?\b\d{{{digits}}}\b)"), F.lit(1))
-    fit = F.filter(near, lambda x: F.exists(F.array(*map(F.lit, words)), lambda w: F.lower(x).contains(w)))
-    bare = F.coalesce(F.regexp_extract(F.get(fit, 0), rf"(\d{{{digits}}})$", 1), F.lit(""))
-    return F.when(direct != "", direct).otherwise(bare)
+    number = rf"\b\d{{{digits}}}\b"
+
+    def bare(numbers: Column) -> Column:
+        """The first number with a label in what stands before it: the number before ends that stretch, 60 characters at most."""
+        labels = F.array(*map(F.lit, words))
+        rows = let(F.split(t, number), lambda gaps: F.transform(numbers, lambda x, i: F.struct(F.lower(F.right(F.get(gaps, i), F.lit(60))).alias("before"), x.alias("number"))))
+        fit = F.filter(rows, lambda r: F.exists(labels, lambda w: F.concat(r["before"], r["number"]).contains(w)))
+        return F.when(F.size(numbers) == 0, "").otherwise(F.coalesce(F.get(fit, 0)["number"], F.lit("")))
+
+    return let(F.regexp_extract(t, labelled, 1), lambda direct: F.when(direct != "", direct).otherwise(let(F.regexp_extract_all(t, F.lit(number), F.lit(0)), bare)))
 
 
 # Claims of size.
