@@ -25,12 +25,18 @@ def let(value: Column, body) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Null to blank, runs of Unicode white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(as_col(c).cast("string"), F.lit("")), r"(?U)\s+", " "))
+    runs = r"(?U) \s+|[\s&&[^ ]]\s*"  # a single space stays as it is and is no match
+    return F.trim(F.regexp_replace(F.coalesce(as_col(c).cast("string"), F.lit("")), runs, " "))
 
 
 def filled(c: Column | str) -> Column:
     """The cleaned text, or null where it is blank."""
-    return F.nullif(clean_text(c), F.lit(""))
+    return first_filled_or_null(c)
+
+
+def first_filled_or_null(*columns: Column | str) -> Column:
+    """The first value that isn't blank, cleaned, or null if none is; each is named once, so nested calls stay short."""
+    return F.get(F.filter(F.array(*map(clean_text, columns)), lambda x: x != ""), 0)
 
 
 def has(c: Column | str) -> Column:
@@ -39,13 +45,12 @@ def has(c: Column | str) -> Column:
 
 def first_filled(*columns: Column | str) -> Column:
     """The first value that isn't blank, cleaned; blank if none is."""
-    return F.coalesce(*(filled(c) for c in columns), F.lit(""))
+    return F.coalesce(first_filled_or_null(*columns), F.lit(""))
 
 
 def truthy(c: Column | str) -> Column:
     """Words for yes are true, words for no and blank are false, any other text is true."""
-    text = F.lower(clean_text(c))
-    return F.when(text.isin(TRUE_WORDS), True).when(text.isin(FALSE_WORDS), False).otherwise(text != "")
+    return let(F.lower(clean_text(c)), lambda text: F.when(text.isin(TRUE_WORDS), True).when(text.isin(FALSE_WORDS), False).otherwise(text != ""))
 
 
 def bool_string(c: Column) -> Column:
@@ -58,13 +63,12 @@ def yes_no(c: Column) -> Column:
 
 def between(c: Column, low: float, high: float) -> Column:
     """``c`` kept between two bounds; null stays null, which least and greatest alone would skip."""
-    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+    return let(c, lambda x: F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x))))
 
 
 def to_number(c: Column | str) -> Column:
     """A double, a comma taken as a point; null if the text is no number."""
-    text = F.regexp_replace(clean_text(c), ",", ".")
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return let(F.regexp_replace(clean_text(c), ",", "."), lambda text: F.when(text.rlike(NUMBER), text.try_cast("double")))
 
 
 def parse_score(c: Column | str, default: int = 0) -> Column:
@@ -79,37 +83,34 @@ def clamp_score(c: Column) -> Column:
 
 def parse_confidence(c: Column | str, default: float = 0.0) -> Column:
     """Between 0 and 1; numbers above 1 are percent, a percent sign at the end is dropped."""
-    number = to_number(F.regexp_replace(clean_text(c), r"%+$", ""))
-    share = F.when(number > 1, number / 100.0).otherwise(number)
+    share = let(to_number(F.regexp_replace(clean_text(c), r"%+$", "")), lambda number: F.when(number > 1, number / 100.0).otherwise(number))
     return F.coalesce(between(share, 0.0, 1.0), F.lit(default))
 
 
 def confidence_percent(c: Column | str, default: int = 0) -> Column:
     """Whole percent, rounded half to even; numbers from 0 to 1 are shares."""
-    number = to_number(c)
-    return F.coalesce(F.rint(F.when((number >= 0) & (number <= 1), number * 100).otherwise(number)).cast("int"), F.lit(default))
+    percent = let(to_number(c), lambda number: F.when((number >= 0) & (number <= 1), number * 100).otherwise(number))
+    return F.coalesce(F.rint(percent).cast("int"), F.lit(default))
 
 
 def first_valid_confidence(*columns: Column | str) -> Column:
     """The first column that holds a number, as a share between 0 and 1; 1.0 if none does."""
 
     def share(c):
-        number = to_number(c)
-        return between(F.when(number > 1, number / 100.0).otherwise(number), 0.0, 1.0)
+        return between(let(to_number(c), lambda number: F.when(number > 1, number / 100.0).otherwise(number)), 0.0, 1.0)
 
     return F.coalesce(*(share(c) for c in columns), F.lit(1.0))
 
 
 def format_confidence(c: Column | str) -> Column:
-    number = to_number(c)
-    return F.when(number.isNull(), "").otherwise(F.format_string("%.2f", number))
+    return let(to_number(c), lambda number: F.when(number.isNull(), "").otherwise(F.format_string("%.2f", number)))
 
 
 def normalize_domain(c: Column | str) -> Column:
     """Host of a URL, a bare domain or an e-mail address: lower case, no user, port, ``www.`` or outer dots."""
-    raw = F.lower(clean_text(c))
-    raw = F.when(raw.contains("@") & ~raw.contains("://"), F.element_at(F.split(raw, "@"), -1)).otherwise(raw)
-    rest = F.when(raw.contains("://"), F.regexp_replace(raw, r"^.*?://", "")).otherwise(raw)
+    # each step names the one before it once: steps that named it twice doubled the expression each time
+    raw = F.regexp_replace(F.lower(clean_text(c)), r"^(?!.*://).*@", "")
+    rest = F.regexp_replace(raw, r"^.*?://", "")
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":.*$", "")
     return F.regexp_replace(F.regexp_replace(host, r"^\.+|\.+$", ""), r"^www\.", "")
@@ -117,20 +118,18 @@ def normalize_domain(c: Column | str) -> Column:
 
 def normalize_url(c: Column | str, fallback: Column | str | None = None) -> Column:
     """https URL with the normalized host and the path, without query and fragment; else the fallback domain's root."""
-    raw = clean_text(c)
-    domain = normalize_domain(raw)
-    rest = F.when(raw.contains("://"), F.regexp_replace(raw, r"^.*?://", "")).otherwise(raw)
-    path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    other = normalize_domain(fallback) if fallback is not None else F.lit("")
-    root = F.when(other != "", F.concat(F.lit("https://"), other, F.lit("/"))).otherwise("")
-    return F.when((raw != "") & (domain != ""), F.concat(F.lit("https://"), domain, path)).otherwise(root)
+    root = let(normalize_domain(fallback), lambda other: F.when(other != "", F.concat(F.lit("https://"), other, F.lit("/"))).otherwise("")) if fallback is not None else F.lit("")
+
+    def address(raw: Column) -> Column:
+        path = F.regexp_extract(F.regexp_replace(raw, r"^.*?://", ""), r"^[^/?#]*(/[^?#]*)?", 1)
+        return let(normalize_domain(raw), lambda domain: F.when(domain != "", F.concat(F.lit("https://"), domain, F.regexp_replace(path, "^$", "/"))))
+
+    return F.coalesce(let(clean_text(c), address), root)
 
 
 def lead_id(domain: Column | str) -> Column:
     """Surrogate key of a domain: ``lead_`` and the first 12 hex digits of its SHA-1."""
-    d = normalize_domain(domain)
-    return F.when(d != "", F.concat(F.lit("lead_"), F.substring(F.sha1(d.cast("binary")), 1, 12))).otherwise("")
+    return let(normalize_domain(domain), lambda d: F.when(d != "", F.concat(F.lit("lead_"), F.substring(F.sha1(d.cast("binary")), 1, 12))).otherwise(""))
 
 
 def split_tokens(c: Column | str, lower: bool = False) -> Column:
@@ -189,7 +188,7 @@ LOW_VALUE_NAMES = ["impressum", "kontakt", "datenschutz", "home", "shop", "start
 
 def clean_company_name(c: Column | str) -> Column:
     text = F.trim(F.regexp_replace(F.trim(F.regexp_replace(clean_text(c), r"\s*\|\s*.*$", "")), r"\s+-\s+.*$", ""))
-    return F.when(F.lower(text).isin(LOW_VALUE_NAMES), "").otherwise(text)
+    return let(text, lambda x: F.when(F.lower(x).isin(LOW_VALUE_NAMES), "").otherwise(x))
 
 
 def company_name(name: Column | str, title: Column | str, domain: Column | str) -> Column:
@@ -198,23 +197,25 @@ def company_name(name: Column | str, title: Column | str, domain: Column | str)
     # title case starts anew after every sign that is no letter
     runs = F.regexp_extract_all(stem, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     titled = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
-    given, by_title = clean_company_name(name), clean_company_name(title)
 
     def out(value, source, confidence):
         return F.struct(value.alias("name"), F.lit(source).alias("source"), F.lit(confidence).cast("double").alias("confidence"))
 
-    return (
-        F.when(given != "", out(given, "input_csv:company_name", 0.70))
-        .when(by_title != "", out(by_title, "input_csv:title", 0.45))
-        .when(has(domain), out(titled, "derived_from_domain", 0.35))
-        .otherwise(out(F.lit(""), "", 0.0))
-    )
+    def body(names: Column) -> Column:
+        given, by_title = names["given"], names["title"]
+        return (
+            F.when(given != "", out(given, "input_csv:company_name", 0.70))
+            .when(by_title != "", out(by_title, "input_csv:title", 0.45))
+            .when(has(domain), out(titled, "derived_from_domain", 0.35))
+            .otherwise(out(F.lit(""), "", 0.0))
+        )
+
+    return let(F.struct(clean_company_name(name).alias("given"), clean_company_name(title).alias("title")), body)
 
 
 def valid_email(c: Column | str) -> Column:
     """Has an at sign, a dot after the last one, and no space."""
-    text = clean_text(c)
-    return text.contains("@") & F.element_at(F.split(text, "@"), -1).contains(".") & ~text.contains(" ")
+    return let(clean_text(c), lambda text: text.contains("@") & F.element_at(F.split(text, "@"), -1).contains(".") & ~text.contains(" "))
 
 
 def absolute_url(domain: Column | str, href: Column | str) -> Column:
@@ -229,8 +230,7 @@ def absolute_url(domain: Column | str, href: Column | str) -> Column:
 
 
 def same_domain(url: Column | str, domain: Column | str) -> Column:
-    d = normalize_domain(domain)
-    return (d != "") & (normalize_domain(url) == d)
+    return let(normalize_domain(domain), lambda d: (d != "") & (normalize_domain(url) == d))
 
 
 # Categories of the scorer and their grades.

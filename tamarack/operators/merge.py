@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import bool_string, clean_text, filled, has, lead_id, merge_tokens, normalize_domain, parse_confidence, parse_score, split_tokens, valid_email
+from ..functions.values import bool_string, clean_text, filled, first_filled, has, lead_id, merge_tokens, normalize_domain, parse_confidence, parse_score, split_tokens, valid_email
 from .budget import order_ranges
 
 # Columns of lead rows that hold scores or token lists.
@@ -115,8 +115,8 @@ def upsert_leads(master: DataFrame, incoming: DataFrame, source: str, run_id: st
     key = F.coalesce("domain_key", "_key")
     out = {}
     for c in dict.fromkeys([*master.columns, *FILL]):
-        old = clean_text(_present(c, master.columns))
-        out[c] = F.coalesce(F.nullif(old, F.lit("")), filled(f"_{c}"), F.lit("")) if f"_{c}" in new.columns else old
+        old = _present(c, master.columns)
+        out[c] = first_filled(old, f"_{c}") if f"_{c}" in new.columns else clean_text(old)
     fresh = lambda c, value: F.when(created, value).otherwise(out.get(c, F.lit("")))
     for c, value in (("source_lists", source), ("scrape_sources_all", source), ("scrape_run_ids", run_id)):
         old = _present(c, master.columns)

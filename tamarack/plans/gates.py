@@ -9,19 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import bool_string, clean_text, confidence_percent, first_valid_confidence, quality_rank, truthy, valid_email
+from ..functions.values import bool_string, clean_text, confidence_percent, first_filled, first_valid_confidence, quality_rank, truthy, valid_email
 
 Row = dict[str, Column]
 
 
 class Cells:
-    """Cleaned text columns of a table by name; blank where the table has none."""
+    """Cleaned text columns of a table by name; blank where the table has none. ``cleaned``: the table's columns are so already."""
 
-    def __init__(self, columns: list[str]):
+    def __init__(self, columns: list[str], cleaned: bool = False):
         self.columns = set(columns)
+        self.cleaned = cleaned
 
     def __getitem__(self, name: str) -> Column:
-        return clean_text(name) if name in self.columns else F.lit("")
+        return F.lit("") if name not in self.columns else F.col(name) if self.cleaned else clean_text(name)
 
     def has(self, *names: str) -> Column:
         out = F.lit(False)
@@ -33,7 +34,8 @@ class Cells:
         return truthy(self[name]) if name in self.columns else F.lit(False)
 
     def first(self, *names: str) -> Column:
-        return F.coalesce(*(F.nullif(self[n], F.lit("")) for n in names), F.lit(""))
+        found = [n for n in names if n in self.columns]
+        return first_filled(*found) if found else F.lit("")
 
 
 def worthy(c: Cells) -> Column:
