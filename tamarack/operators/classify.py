@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import markers
-from ..functions.values import as_col, clean_text, first_filled, has, normalize_category, parse_score, split_tokens, truthy
+from ..functions.values import as_col, clean_text, first_filled, has, let, normalize_category, parse_score, split_tokens, truthy
 
 
 def points(*terms: tuple[Column, int]) -> Column:
@@ -224,14 +224,8 @@ def pain_scores(columns: list[str]) -> dict[str, Column]:
     potential = clamp(fit + points((F.array_contains(tokens, "advanced_email_marketing_stack"), 12), (target & shop, 10)))
     overall = clamp(F.rint(relevance * F.lit(0.35) + technical * F.lit(0.25) + conversion * F.lit(0.20) + potential * F.lit(0.20)).cast("int"))
     out = (has(_text("exclusion_reason", columns))) | F.lower(_text("lead_type", columns)).isin(LEAD_TYPES_OUT)
-    priority = (
-        F.when(out, "Reject")
-        .when(~flag_shop & ~flag_target, F.when(overall >= 45, "Review").otherwise("Reject"))
-        .when(overall >= 75, "A")
-        .when(overall >= 55, "B")
-        .when(overall >= 40, "C")
-        .otherwise("Review")
-    )
+    grades = lambda n: F.when(~flag_shop & ~flag_target, F.when(n >= 45, "Review").otherwise("Reject")).when(n >= 75, "A").when(n >= 55, "B").when(n >= 40, "C").otherwise("Review")
+    priority = F.when(out, "Reject").otherwise(let(overall, grades))
     return {"shop_relevance_score": relevance, "technical_pain_score": technical, "conversion_pain_score": conversion, "business_potential_score": potential, "overall_numeric_score": overall, "overall_priority": priority}
 
 
@@ -263,11 +257,15 @@ ANGLE_ELSE = "Shop-Relevanz manuell pruefen und konkreten WooCommerce-Hebel scha
 
 
 def outreach_angle(lever_tokens: Column) -> Column:
-    result = None
-    for names, text in ANGLES:
-        met = F.arrays_overlap(lever_tokens, F.array(*map(F.lit, names)))
-        result = F.when(met, text) if result is None else result.when(met, text)
-    return result.otherwise(ANGLE_ELSE)
+
+    def body(tokens: Column) -> Column:
+        result = None
+        for names, text in ANGLES:
+            met = F.arrays_overlap(tokens, F.array(*map(F.lit, names)))
+            result = F.when(met, text) if result is None else result.when(met, text)
+        return result.otherwise(ANGLE_ELSE)
+
+    return let(lever_tokens, body)
 
 
 def desired_role(priority: Column, is_woocommerce: Column) -> Column:

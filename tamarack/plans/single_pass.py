@@ -31,19 +31,20 @@ def single_pass(rows: DataFrame, now: str, facts: DataFrame | None = None, offer
     ``facts`` has one row for each domain, as ``public_facts`` makes them (missing columns count as blank); they are used for
     leads of priority A and B only. What the lead row states itself stays, but for a company name of less confidence than an imprint's.
     """
-    c = Cells(rows.columns)
+    rows = rows.select(*(clean_text(n).alias(n) for n in rows.columns))
+    c = Cells(rows.columns, cleaned=True)
     domain = normalize_domain(c.first("domain", "source_url", "url"))
-    r = rows.withColumns({"_domain": domain, "_priority": pain_scores(rows.columns)["overall_priority"]})
+    # what several cells name is a column first, evaluated once
+    scores = pain_scores(rows.columns)
+    r = rows.withColumns({"_domain": domain, "_priority": scores.pop("overall_priority"), **{f"_{n}": s for n, s in scores.items()}, "_angle": outreach_angle(split_tokens(c["possible_shop_levers"], lower=True))})
+    r = r.withColumn("_named", company_name(c["company_name"], c["title"], F.col("_domain")))
     own = [f for f in FACTS if facts is not None and f in facts.columns]
     if own:
         r = r.join(facts.select(normalize_domain("domain").alias("_domain"), *(clean_text(f).alias(f"_f_{f}") for f in own)), "_domain", "left")
     wanted = F.col("_priority").isin("A", "B") & (F.col("_domain") != "")
     fact = {f: F.when(wanted, F.coalesce(f"_f_{f}", F.lit(""))).otherwise("") if f in own else F.lit("") for f in FACTS}
 
-    scores = pain_scores(rows.columns)
-    levers = split_tokens(c["possible_shop_levers"], lower=True)
-    angle, priority = outreach_angle(levers), F.col("_priority")
-    named = company_name(c["company_name"], c["title"], F.col("_domain"))
+    angle, priority, named = F.col("_angle"), F.col("_priority"), F.col("_named")
     by_imprint = (fact["legal_name"] != "") & (named["confidence"] < 0.95)
     signals = F.array_join(F.concat(split_tokens(c["verified_signals"]), split_tokens(c["signals"])), " ")
     woocommerce = c.yes("is_woocommerce") | F.array_join(F.concat(split_tokens(c["woocommerce_signals"]), split_tokens(c["verified_signals"])), " ").contains("woocommerce")
@@ -53,9 +54,12 @@ def single_pass(rows: DataFrame, now: str, facts: DataFrame | None = None, offer
     email = F.when(c["email"] != "", c["email"]).otherwise(fact["general_email"])
     phone = F.when(c["phone"] != "", c["phone"]).otherwise(fact["phone_main"])
     source = lambda given, found, what: F.when(given != "", f"input_csv:{what}").when(found != "", "website_public_page").otherwise("")
+    r = r.withColumns({"_phone": phone, "_email": email})
+    phone, email = F.col("_phone"), F.col("_email")
     how = outreach_channel(priority, phone, email)
     concrete = (angle != "") & priority.isin("A", "B")
-    gate = outreach_gate(priority, phone != "", F.lit(False), priority.isin("A", "B", "C", "Review"), concrete, c["exclusion_reason"] != "")
+    r = r.withColumn("_gate", outreach_gate(priority, phone != "", F.lit(False), priority.isin("A", "B", "C", "Review"), concrete, c["exclusion_reason"] != ""))
+    gate = F.col("_gate")
     reason = consent_reason(priority, angle, how, woocommerce, offer)
     stated = F.upper(c.first("country", "country_hint"))
     notes = F.array(c["notes"], gate["reason"], F.when(c["possible_shop_levers"] != "", F.concat(F.lit("source_levers="), c["possible_shop_levers"])).otherwise(""))
@@ -84,7 +88,7 @@ def single_pass(rows: DataFrame, now: str, facts: DataFrame | None = None, offer
         "technology_stack": technology_stack(c.yes("is_woocommerce"), F.array(signals), split_tokens(c["tracking_signals"])),
         "woocommerce_detected": bool_string(woocommerce),
         "wordpress_detected": bool_string(signals.contains("wordpress")),
-        **{n: scores[n].cast("string") for n in ("shop_relevance_score", "technical_pain_score", "conversion_pain_score", "business_potential_score")},
+        **{n: F.col(f"_{n}").cast("string") for n in ("shop_relevance_score", "technical_pain_score", "conversion_pain_score", "business_potential_score")},
         "overall_priority": priority,
         "recommended_outreach_channel": how,
         "outreach_angle": angle,
