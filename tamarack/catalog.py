@@ -14,7 +14,7 @@ from .plans import gates, patches, queue, runs
 from .plans import single_pass as single_passes
 from .plans import verification as verifications
 from .plans import waterfall as waterfalls
-from .sources.tables import read_master, shared_folder, table
+from .sources.tables import read_master, shared_folder, spread, table
 
 FLAGSHIP = "site_grades"
 
@@ -292,8 +292,8 @@ SELECT lang, count(*) AS n_docs, sum(len(claims))::BIGINT AS n_claims FROM c WHE
 def docs_identities(spark, sf):
     """Legal names, people and addresses found in all documents, per language; the patterns are those for imprints."""
     d = table(spark, sf, "documents")
-    who, company = contacts.decision_maker("text"), contacts.company_identity("text")
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(company["legal_form"] != "").alias("with_form"), F.count_if(company["legal_name"] != "").alias("with_name"), F.count_if(who["name"] != "").alias("with_person"), F.count_if(contacts.address("text") != "").alias("with_address"))
+    d = d.select("lang", contacts.decision_maker("text").alias("who"), contacts.company_identity("text").alias("company"), contacts.address("text").alias("address"))
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("company.legal_form") != "").alias("with_form"), F.count_if(F.col("company.legal_name") != "").alias("with_name"), F.count_if(F.col("who.name") != "").alias("with_person"), F.count_if(F.col("address") != "").alias("with_address"))
 
 
 def dictionary_hits(spark, sf):
@@ -614,7 +614,7 @@ _LEVERS = ["checkout_payment_shipping_review", "tracking_gap_possible", "gtm_set
 
 def _queue(spark, sf) -> DataFrame:
     """Customers as queue rows: score by balance, type by segment, and attributes left blank by the key."""
-    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    c, n = spread(table(spark, sf, "customer"), "c_custkey"), table(spark, sf, "nation")
     k = F.col("c_custkey")
     blank = lambda condition, value: F.when(condition, value).otherwise("")
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "agency").when(F.col("c_mktsegment") == "MACHINERY", "review").otherwise("shop")
@@ -936,7 +936,7 @@ SELECT 'lead_' || substr(sha1(domain), 1, 12) AS lead_id, domain, 'https://' ||
 
 def _answers(spark, sf) -> dict[str, DataFrame]:
     """Archived answers for the customers, from their keys: imprints and people in search hits, scraped imprints, research."""
-    c = table(spark, sf, "customer").select(F.concat(F.lit("lead_"), F.col("c_custkey")).alias("lead_id"), F.col("c_custkey").alias("k"))
+    c = spread(table(spark, sf, "customer"), "c_custkey").select(F.concat(F.lit("lead_"), F.col("c_custkey")).alias("lead_id"), F.col("c_custkey").alias("k"))
     site = F.concat(F.lit("https://c"), "k", F.lit(".example.de/"))
     hits = c.select("lead_id", "k", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("qno"))
     good = F.col("k") % 3 + 1 == F.col("qno")

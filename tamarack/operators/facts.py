@@ -11,18 +11,20 @@ from .classify import points
 from .pages import html_text
 
 
-def identity_facts(text: Column) -> dict[str, Column]:
-    """Identity and contact columns from one text."""
-    who, company = contacts.decision_maker(text), contacts.company_identity(text)
-    return {
-        "legal_name": company["legal_name"],
-        "legal_form": company["legal_form"],
-        "managing_director_name": who["name"],
-        "managing_director_role": who["role"],
-        "address": contacts.address(text),
-        "general_email": contacts.general_email(text),
-        "phone_main": contacts.main_phone(text),
+def with_identity(rows: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """Rows with identity and contact columns from one text column; company and person are found once for both their columns."""
+    t = F.col(text)
+    found = rows.withColumns({"_company": contacts.company_identity(t), "_who": contacts.decision_maker(t)})
+    cells = {
+        "legal_name": F.col("_company.legal_name"),
+        "legal_form": F.col("_company.legal_form"),
+        "managing_director_name": F.col("_who.name"),
+        "managing_director_role": F.col("_who.role"),
+        "address": contacts.address(t),
+        "general_email": contacts.general_email(t),
+        "phone_main": contacts.main_phone(t),
     }
+    return found.withColumns({f"{prefix}{k}": v for k, v in cells.items()}).drop("_company", "_who")
 
 
 def public_facts(pages: DataFrame, imprint_tokens: tuple[str, ...] = ("impressum", "imprint"), contact_tokens: tuple[str, ...] = ("kontakt", "contact")) -> DataFrame:
@@ -35,7 +37,7 @@ def public_facts(pages: DataFrame, imprint_tokens: tuple[str, ...] = ("impressum
     hit = lambda tokens: F.exists(F.array(*map(F.lit, tokens)), lambda t: F.lower("url").contains(t))
     kind = F.when(hit(imprint_tokens), 0).when(hit(contact_tokens), 1).otherwise(2)
     texts = ok.select("domain", "url", F.struct(kind.alias("kind"), "fetch_order").alias("place"), html_text("html").alias("text"))
-    found = texts.withColumns(identity_facts(F.col("text"))).drop("text")
+    found = with_identity(texts, "text").drop("text")
     first = lambda value, filled_by: F.min_by(value, F.when(F.col(filled_by) != "", F.col("place")))
     pick = lambda value, filled_by=None: F.coalesce(first(value, filled_by or value), F.lit("")).alias(value)
     pairs = [("legal_name", "legal_name"), ("legal_form", "legal_name"), ("managing_director_name", "managing_director_name"), ("managing_director_role", "managing_director_name")]

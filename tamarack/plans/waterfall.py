@@ -18,7 +18,7 @@ from ..functions import contacts
 from ..functions.values import bool_string, clean_text, filled, has, let, normalize_domain, parse_confidence, truthy
 from ..operators.budget import credit_budget, query_budget, query_cap, row_budget
 from ..operators.classify import points
-from ..operators.facts import blank_to_null, identity_facts, sanitized
+from ..operators.facts import blank_to_null, sanitized, with_identity
 from ..operators.search import imprint_hit, plan_queries, plan_research, summarize_hits
 from ..sources.tables import conform, cut, discard
 from .queue import QUEUE_COLUMNS, decide
@@ -105,7 +105,7 @@ def apply_scrapes(queue: DataFrame, scrapes: DataFrame, budget: int) -> DataFram
     rows = queue.withColumns({"_url": known_url(), "_queued": queued_for("firecrawl")})
     rows = row_budget(rows, F.col("_queued") & has("_url"), budget)
     fresh = scrapes.select("lead_id", clean_text("markdown").alias("_markdown"), F.char_length("markdown").alias("_chars"), clean_text("source_url").alias("_source"), clean_text("title").alias("_title"), clean_text("warning").alias("_warning"))
-    facts = fresh.withColumns({f"_f_{k}": v for k, v in identity_facts(F.col("_markdown")).items()})
+    facts = with_identity(fresh, "_markdown", "_f_")
     rows = rows.join(facts.withColumn("_met", F.lit(True)), "lead_id", "left")
     ran, met = F.col("selected"), F.col("selected") & F.coalesce("_met", F.lit(False))
     fact = lambda c: F.coalesce(f"_f_{c}", F.lit(""))
