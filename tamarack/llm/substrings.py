@@ -410,9 +410,16 @@ def spans(documents: DataFrame, length: int = 200, most: int = 500) -> DataFrame
     contexts = materialize(_stretches(docs, length).join(parts, [*_KEY, "stretch"]).select(*_KEY, "at", "data", "items").mapInArrow(_contexts(), schema), "contexts")
     small = contexts.where("not large").drop("large").repartition("m").sortWithinPartitions("m").mapInArrow(_sorter(length), "doc_id long, text_hash long, start int, end int")
     part = small.unionByName(_large_groups(contexts.where("large"), length))
-    single = chosen.where("k = 1").select(*_KEY, "q")
-    whole = repeated.join(single, [*_KEY, "q"], "left_anti").select(*_KEY, F.expr("q - lhs").alias("start"), F.expr("q + rhs").alias("end"))
-    out = materialize(whole.unionByName(part).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    # text by text: the repeated anchors without those that were compared singly
+    every = repeated.groupBy(*_KEY).agg(F.collect_list("q").alias("every"), F.max(F.expr("q + rhs")).alias("last"))
+    single = chosen.where("k = 1").groupBy(*_KEY).agg(F.collect_list("q").alias("single"))
+    left = F.array_except("every", F.coalesce("single", F.array().cast("array<int>")))
+    # rhs is ``length`` or what is left of the text, and then last is the text's end
+    around = F.transform(left, lambda q: F.struct(F.greatest(q - (length - GRAM), F.lit(0)).alias("start"), F.least(q + length, "last").alias("end")))
+    whole = every.join(single, _KEY, "left").select(*_KEY, around.alias("spans"))
+    part = part.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    out = whole.unionByName(part).groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = materialize(out.where("size(spans) > 0"), "spans")
     discard(repeated, kinds, sizes, chosen, contexts)
     return out
 

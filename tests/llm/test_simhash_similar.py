@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+
 from tamarack.llm import simhash_similar
 
 
@@ -88,3 +90,56 @@ def test_repeated_lines_and_order_of_rows(spark):
 def test_tiles_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash_similar, "TILE_ROWS", 4)
     test_stage_against_brute_force(spark)
+
+
+def test_marks_and_forest_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 400)
+    sets = []
+    for n in (4, 40, 400):
+        for _ in range(60):  # similarities on both sides of the limit
+            s = base[:n].copy()
+            at = rng.random(n) < rng.random() * 0.2
+            s[at] = rng.integers(-(1 << 63), (1 << 63) - 1, at.sum())
+            sets.append(np.unique(s))
+    node, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    fp = np.array([simhash_similar.bits_of(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+    part, marks = node // 2, np.array([simhash_similar.marks_of(s) for s in sets], dtype=object)
+    side = node, size, fp, part, marks
+    near = lambda i, j: np.bitwise_count(fp.view(np.uint64)[i] ^ fp.view(np.uint64)[j]) <= 20
+    linked = {(i, j) for i, j in combinations(node.tolist(), 2) if part[i] != part[j] and near(i, j) and simhash_similar.alike(sets[i], sets[j])}
+    got = [(min(i, j), max(i, j)) for x, y in simhash_similar.tile_pairs(side, side, 20) for i, j in zip(x.tolist(), y.tolist())]
+    assert linked and linked <= set(got) and len(set(got)) == len(got)
+    a, b = simhash_similar.forest(side, side, 20, (part, part), lambda i, j: simhash_similar.alike(sets[i], sets[j]))
+    assert {(min(x, y), max(x, y)) for x, y in zip(a, b)} <= linked and len(a) < len(np.unique(part))
+
+    def roots(pairs):
+        tree = {p: p for p in part.tolist()}
+        for i, j in pairs:
+            x, y = tree[part[i]], tree[part[j]]
+            tree = {k: x if v == y else v for k, v in tree.items()}
+        return {frozenset(k for k in tree if tree[k] == v) for v in tree.values()}
+
+    assert roots(zip(a, b)) == roots(linked)
+
+
+def test_rows_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(80)]
+    texts = []
+    for k in range(300):  # each shares its keys with nearly all, and is near, but seldom near enough
+        copy = list(base)
+        copy[4 + rng.randrange(72)] = f"v{k}"
+        texts.append(" ".join(copy))
+    counts, plain = {}, simhash_similar.materialize
+
+    def counting(df, name):
+        out = plain(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash_similar, "materialize", counting)
+    rows = list(enumerate(texts))
+    kept = simhash_similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in kept.collect()} == plain_kept(rows)
+    assert max(counts.values()) == counts["met-keys"] < 20 * len(rows)
